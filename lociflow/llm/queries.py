@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import langid, mixing, toxicity, urls
+from lociflow.llm import bpe, langid, mixing, neardup, tiff, toxicity, urls
 from lociflow.llm.common import fold
 
 
@@ -30,6 +30,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(_documents(spark, sf_dir, "doc_id", "text")).drop("text")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "n_strict", "soft_weight")
@@ -39,5 +51,8 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op7_bpe": op7_bpe,
+    "op9_tiff": op9_tiff,
     "op10_url_filter": op10_url_filter,
 }

@@ -28,6 +28,25 @@ _MIX = f"""
 OP3 = "WITH" + _MIX.replace("{docs}", "documents") + "SELECT doc_id, size, source_size, target, taken FROM mixed"
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+_DEDUP = f"""
+    w AS (SELECT doc_id, {_WORDS} AS ws FROM {{docs}}),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                 ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+    l2 AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    reach AS (SELECT doc_id AS x, doc_id AS y FROM {{docs}} UNION SELECT r.x, l2.y FROM reach r JOIN l2 ON r.y = l2.x),
+    grouped AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+"""
+
+OP5 = "WITH RECURSIVE" + _DEDUP.replace("{docs}", "documents") + """
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d JOIN grouped USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 def _terms(terms: list[str]) -> str:
     edge = r"[^\p{L}\p{N}]"
     return " + ".join(f"(regexp_matches(lower(coalesce(url, '')), '(^|{edge}){t}($|{edge})'))::INT * {n}" for t, n in terms) or "0"
@@ -46,4 +65,4 @@ def _op10() -> str:
     SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, n_strict, soft_weight FROM b"""
 
 
-ORACLE_SQL = {"op3_mixing": OP3, "op10_url_filter": _op10()}
+ORACLE_SQL = {"op3_mixing": OP3, "op5_near_duplicates": OP5, "op10_url_filter": _op10()}
