@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import bpe, langid, mixing, neardup, tiff, toxicity, urls
+from lociflow.llm import bpe, langid, mixing, neardup, tiff, toxicity, urls, vectors
 from lociflow.llm.common import fold
 
 
@@ -38,6 +38,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(_documents(spark, sf_dir, "doc_id", "text")).drop("text")
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_bpe": op7_bpe,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_tiff": op9_tiff,
     "op10_url_filter": op10_url_filter,
 }

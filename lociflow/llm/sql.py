@@ -47,6 +47,18 @@ OP5 = "WITH RECURSIVE" + _DEDUP.replace("{docs}", "documents") + """
     FROM documents d JOIN grouped USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
+OP8 = """WITH RECURSIVE v AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS m
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.m > 0 AND b.m > 0 AND len(a.v) = len(b.v)
+          WHERE list_inner_product(a.v, b.v) / (a.m * b.m) >= 0.98),
+    reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+    c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+    n AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY x)
+    SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+    FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+
 def _terms(terms: list[str]) -> str:
     edge = r"[^\p{L}\p{N}]"
     return " + ".join(f"(regexp_matches(lower(coalesce(url, '')), '(^|{edge}){t}($|{edge})'))::INT * {n}" for t, n in terms) or "0"
@@ -65,4 +77,4 @@ def _op10() -> str:
     SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, n_strict, soft_weight FROM b"""
 
 
-ORACLE_SQL = {"op3_mixing": OP3, "op5_near_duplicates": OP5, "op10_url_filter": _op10()}
+ORACLE_SQL = {"op3_mixing": OP3, "op5_near_duplicates": OP5, "op8_embedding_dedup": OP8, "op10_url_filter": _op10()}

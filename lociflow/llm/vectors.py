@@ -83,14 +83,21 @@ class Codes:
         return np.where(part >= own, 1.0, own * part + np.sqrt(np.maximum(0, 1 - own**2)) * np.sqrt(np.maximum(0, 1 - part**2)))
 
 
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, matrix) for each length of the vectors in the column."""
+    lengths, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy()
+    begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    for d in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == d)
+        yield d, at, flat[begin[at][:, None] + np.arange(d)]
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(cid, label, v) to (cid, key), a row for each band."""
     for batch in batches:
         cid, label = batch.column("cid").to_numpy(), batch.column("lh").to_numpy()
-        vectors = batch.column("v").to_pylist()
-        for d in {len(v) for v in vectors}:
-            at = np.array([k for k, v in enumerate(vectors) if len(v) == d])
-            bits = band_bits(unit(np.array([vectors[k] for k in at])))
+        for d, at, vectors in _by_length(batch.column("v")):
+            bits = band_bits(unit(vectors))
             seed = (label[at].astype(np.uint64) ^ np.uint64(d))[:, None]
             with np.errstate(over="ignore"):
                 keys = mix(mix(seed + np.arange(BANDS, dtype=np.uint64)) + bits.astype(np.uint64))
@@ -115,11 +122,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(threshold: float):
-    def compare(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, lo, hi, side = (batch.column(c).to_numpy() for c in ("key", "lo", "hi", "side"))
+    def compare(batch: pa.RecordBatch, rows: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, lo, hi, side, band = (batch.column(c).to_numpy()[rows] for c in ("key", "lo", "hi", "side", "band"))
         group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        units = unit(np.array(batch.column("v").to_pylist()))
-        codes, bands, band = Codes(units), band_bits(units), batch.column("band").to_numpy()
+        units = unit(vectors)
+        codes, bands = Codes(units), band_bits(units)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         at, d = np.arange(len(group)), 0
         while True:
@@ -134,11 +141,12 @@ def _linked(threshold: float):
             found.append((i, i + d))
         i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         counted = np.argmax(bands[i] == bands[j], axis=1) == band[i] if len(i) else np.zeros(0, bool)
-        return i, j, counted
+        return rows[i], rows[j], counted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
-            i, j, counted = compare(batch)
+            parts = [compare(batch, rows, vectors) for _, rows, vectors in _by_length(batch.column("v"))]  # a group's vectors have one length
+            i, j, counted = (np.concatenate([p[k] for p in parts]) for k in range(3))
             cid, n = batch.column("cid").to_numpy(), batch.column("n").to_numpy()
             links = np.zeros(len(cid), dtype=np.int64)
             np.add.at(links, i[counted], n[j[counted]])
