@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import bpe, langid, mixing, neardup, tiff, toxicity, urls, vectors
+from lociflow.llm import bpe, langid, licenses, mixing, neardup, tiff, toxicity, urls, vectors
 from lociflow.llm.common import fold
 
 
@@ -20,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.withColumn("held_out", fold("doc_id", 4) == 2), model).select("doc_id", "held_out", "score", "predicted", "n_passages")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,6 +57,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_license_scan": op2_license_scan,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_near_duplicates": op5_near_duplicates,

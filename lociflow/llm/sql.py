@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociflow.llm import urls
+from lociflow.llm import licenses, urls
 from lociflow.llm.mixing import MOST_EPOCHS, WEIGHTS
 
 _SIZE = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
@@ -59,6 +59,19 @@ OP8 = """WITH RECURSIVE v AS (
     FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)"""
 
 
+def _op2() -> str:
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+    words = r"list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+'), lambda w: w <> '')"
+    shingles = "unnest(CASE WHEN len(w) < 5 THEN [] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)"
+    return f"""WITH t0 AS (SELECT license_id, {words.format('body')} AS w FROM (VALUES {values}) AS v(license_id, body)),
+    t AS (SELECT DISTINCT license_id, {shingles} AS s FROM t0),
+    n AS (SELECT license_id, count(*) AS n FROM t GROUP BY 1),
+    d AS (SELECT doc_id, {words.format('text')} AS w FROM documents),
+    h AS (SELECT DISTINCT doc_id, {shingles} AS s FROM d),
+    m AS (SELECT doc_id, license_id, count(*) AS m FROM h JOIN t USING (s) GROUP BY 1, 2)
+    SELECT doc_id, license_id, n AS n_shingles, m AS n_matched, m / n AS containment FROM m JOIN n USING (license_id) WHERE 100 * m >= {licenses.PERCENT} * n"""
+
+
 def _terms(terms: list[str]) -> str:
     edge = r"[^\p{L}\p{N}]"
     return " + ".join(f"(regexp_matches(lower(coalesce(url, '')), '(^|{edge}){t}($|{edge})'))::INT * {n}" for t, n in terms) or "0"
@@ -77,4 +90,4 @@ def _op10() -> str:
     SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, n_strict, soft_weight FROM b"""
 
 
-ORACLE_SQL = {"op3_mixing": OP3, "op5_near_duplicates": OP5, "op8_embedding_dedup": OP8, "op10_url_filter": _op10()}
+ORACLE_SQL = {"op2_license_scan": _op2(), "op3_mixing": OP3, "op5_near_duplicates": OP5, "op8_embedding_dedup": OP8, "op10_url_filter": _op10()}
