@@ -15,8 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociflow.cluster import Stored
+
 #: Weights of the sources in code-point order, repeating; most epochs; documents in a key range, about.
 WEIGHTS, MOST_EPOCHS, RANGE_ROWS = (1, 2, 3), 3, 4_000
+#: One row a source is broadcast up to so many sources, and joined by a shuffle beyond.
+FEW_SOURCES = 10_000
 
 
 def size_of(text: Column) -> Column:
@@ -70,7 +74,22 @@ def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_co
     return rows.select(*[F.col(f"`{c}`") for c in names], "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The mix as documents: each as often as it is taken, a part counted as a whole; documents not taken go."""
-    copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    return mixed.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).drop("__copy", "size", "source_size", "target", "taken")
+def repeated(df: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix as documents: each as often as it is taken, a part counted as a whole; documents not taken go.
+
+    The columns stay as they are. Only ids, sources and sizes are shuffled: what the texts meet is one row a source, with
+    its epochs and the last document before its cut.
+    """
+    key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
+    mixed = mix(narrow, "text", "source", "id", **options)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0))
+    part = F.col("taken") > epochs * F.col("size")
+    cuts = Stored(mixed.groupBy(F.col("source").alias("__source")).agg(F.max(epochs).cast("int").alias("__epochs"), F.max(F.when(part, F.struct(key.alias("k"), F.col("id").alias("i"), F.col("size").alias("z")))).alias("__cut")), "cuts").df
+    if cuts.count() <= FEW_SOURCES:
+        cuts = F.broadcast(cuts)
+    size = size_of(F.col(f"`{text_col}`"))
+    place = F.struct(F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).alias("k"), F.col(f"`{id_col}`").alias("i"), size.alias("z"))
+    copies = F.when(size > 0, F.col("__epochs") + F.when(place <= F.col("__cut"), F.lit(1)).otherwise(F.lit(0))).otherwise(F.lit(0))
+    joined = df.join(cuts, F.col(f"`{source_col}`").eqNullSafe(F.col("__source"))).withColumn("__copies", copies).where("__copies > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in df.columns])
