@@ -1,7 +1,68 @@
-"""A training corpus from raw documents: five stages, each a step of the operators in lociflow.llm."""
-STAGES = []
+"""A tokenized training corpus from raw documents, in five stages; each is a step of the operators in lociflow.llm.
+
+Every stage works on all that its predecessor kept, and all but the last return the columns of documents. Empty
+tables stay empty; null texts leave with the language stage, which knows no language for them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lociflow.cluster import Stored
+from lociflow.llm import bpe, langid, mixing, neardup, toxicity
+
+#: A text of this many characters or more that looks like no language to this degree is rejected.
+LONG_TEXT, LEAST_COSINE = 200, 0.05
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without a letter, and long ones that resemble no learned language."""
+    model = langid.fit(docs)
+    named = langid.predict(docs, model)
+    odd = (F.length("text") >= LONG_TEXT) & (F.col("score") < LEAST_COSINE)
+    return named.where((F.col("lang_pred") != langid.UNKNOWN) & ~odd).select(*docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that the model of the labelled ones calls toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.join(labels, "doc_id"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near-duplicates."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that sources have their target weights."""
+    return mixing.repeated(docs)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode every document; as many rows as documents, repeats included."""
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("toxicity", not_toxic),
+    ("MinHash near-dedup", deduplicated),
+    ("mixing sources to target weights", mixed),
+    ("BPE encoding and decoding", tokenized),
+]
+
+#: Learned models and tokenizers have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order on documents; each but the last is written to the shared folder before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = Stored(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
+    return STAGES[-1][1](spark, docs, sf_dir)
