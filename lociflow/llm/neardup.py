@@ -2,9 +2,10 @@
 
 Two permutations make the whole signature: the first spreads the shingles over the places 0..2**22-1, the second,
 shifted by k places, gives coordinate k. BANDS bands of ROWS coordinates miss a pair at the threshold with a chance
-under 1e-5. Texts with equal shingle sets are one class from the start; classes that share a bucket are compared on
-their full sets, first with one leader of each bucket, then, while a bucket still holds several components, with a leader of
-each, and last every pair of different components, so no group is paired with itself as a whole.
+under 1e-5. Texts with equal shingle sets are one class from the start. The classes of a bucket are compared on their
+full sets with a few leaders of it; where a bucket still holds several components, all its pairs across components are
+estimated from the signatures, block by block, and those that may reach the threshold (their estimate is above it less SLACK,
+over six standard deviations) are compared on their full sets too. So no group is paired with itself as a whole.
 
 Null and empty texts have no shingle and link with nothing; texts under `width` words have their whole sequence as their
 one shingle. Rows that repeat stay, each with its class's component; a component's id ignores null ids, and rows with null
@@ -23,11 +24,15 @@ from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored, ship
 from lociflow.llm.components import connected_components
+from lociflow.llm.common import whole_groups
 from lociflow.llm.text import Words, mix, shingles, slices
 
 WIDTH, PERCENT = 5, 75
 ROWS, BANDS = 6, 60
+#: Leaders of a bucket; classes of a block; what an estimate may lack to the threshold.
+LEADERS, BLOCK, SLACK = 4, 1024, 0.15
 _PLACES, _BLOCK = 1 << 22, 2048
+_MASKS = np.random.default_rng(23).integers(1, 2**62, LEADERS - 1).tolist()
 _SALTS = np.random.default_rng(22).integers(1, 2**63, ROWS + 1, dtype=np.uint64) | np.uint64(1)
 
 
@@ -75,13 +80,41 @@ def _signed(batches):
 
 
 def _sets(batches):
-    """(cid, text) to (cid, its sorted shingle hashes)."""
+    """(cid, text) to (cid, its sorted shingle hashes, the low byte of each coordinate)."""
     for batch in batches:
         texts = batch.column("text")
         for i, j in slices(texts):
             h, owner = shingles(Words(texts.slice(i, j - i)), WIDTH)
-            bounds, data = (np.searchsorted(owner, np.arange(j - i + 1)) * 8).tolist(), h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), _binary([data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])], ["cid", "shingles"])
+            bounds = np.searchsorted(owner, np.arange(j - i + 1))
+            low, ends, data = signatures(h, bounds).astype(np.uint8), (bounds * 8).tolist(), h.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), _binary([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]), _binary([x.tobytes() for x in low])], ["cid", "shingles", "low"])
+
+
+def _across(percent: int):
+    """Sorted (key, lo, hi) groups to the pairs across components that may be linked."""
+    floor = percent / 100 - SLACK
+    least = int((floor + (1 - floor) / 256) * ROWS * BANDS)
+
+    def run(batches):
+        for batch in whole_groups(batches):
+            key, lo, hi, side, cid, component, n = (batch.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "cid", "component", "n"))
+            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(len(cid), -1)
+            group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+            at, d, found = np.arange(len(cid)), 0, []
+            while True:
+                d += 1
+                at = at[at + d < len(cid)]
+                at = at[group[at] == group[at + d]]
+                if not len(at):
+                    break
+                i = at[((lo[at] == hi[at]) | (side[at] != side[at + d])) & (component[at] != component[at + d])]
+                i = i[100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])]
+                i = i[(low[i] == low[i + d]).sum(axis=1) >= least]
+                found.append(np.stack([cid[i], cid[i + d]], axis=1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
 
 
 def _overlaps(percent: int):
@@ -121,12 +154,6 @@ class _Verifier:
         return found.where("linked").select("a", "b")
 
 
-def _fit_sizes(pairs: DataFrame, percent: int) -> DataFrame:
-    """Ordered distinct pairs whose set sizes allow the similarity: (x, nx, y, ny) to (a, b)."""
-    fits = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("x") != F.col("y"))
-    return pairs.where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: links are pairs with 100 * intersection >= percent * union."""
     ship(df.sparkSession)
@@ -136,33 +163,27 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     groups = signed.df.where("n > 0").groupBy("fp", "n", "bands").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("rep"))
     classes = Stored(groups.withColumn("cid", F.monotonically_increasing_id()), "classes")
     keys = classes.df.select("cid", "n", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("other"), F.min_by("n", "cid").alias("nl")).where("lead <> other").drop("other")
-    members = Stored(keys.join(shared, "key"), "buckets")
+    masks = [0, *_MASKS]
+    picked = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[F.min(F.col("cid").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"lead{k}") for k, x in enumerate(masks)]).where("m > 1")
+    members = Stored(keys.join(picked, "key").select("key", "cid", "n", "m", F.array_distinct(F.array(*[f"lead{k}" for k in range(len(masks))])).alias("leads")), "buckets")
 
     wanted = classes.df.join(members.df.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("rep.id").alias("ri"), F.col("rep.th").alias("rt"))
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("ri")) & (F.col("th") == F.col("rt"))).select("cid", "text")
-    sets = Stored(texts.mapInArrow(_sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+    sets = Stored(texts.mapInArrow(_sets, "cid long, shingles binary, low binary").dropDuplicates(["cid"]), "sets")
     verifier = _Verifier(sets.df, percent)
-    verifier.verify(_fit_sizes(members.df.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("lead").alias("y"), F.col("nl").alias("ny")), percent))
-    whole, last = False, None
-    while True:
-        found = Stored(connected_components(verifier.links(), "a", "b"), "components")
-        if last is not None:
-            last.drop()
-        last = found
-        if whole:
-            break
-        placed = members.df.select("key", "cid", "n").join(found.df.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = Stored(placed.join(several, "key"), "several")
-        leads = rest.df.groupBy("key", "component").agg(F.min("cid").alias("y"), F.min_by("n", "cid").alias("ny")).withColumnRenamed("component", "cy")
-        meet = rest.df.select("key", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-        compared, linked = verifier.verify(_fit_sizes(meet.join(leads, "key").where("cx <> cy"), percent))
-        if not linked:
-            others = meet.select("key", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("cx").alias("cy"))
-            compared, linked = verifier.verify(_fit_sizes(meet.join(others, "key").where("cx < cy"), percent))
-            whole = True
-        rest.drop()
+    led = members.df.select("cid", F.explode("leads").alias("lead")).where("cid <> lead")
+    verifier.verify(led.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct())
+    first = Stored(connected_components(verifier.links(), "a", "b"), "components")
+
+    placed = members.df.select("key", "cid", "n", "m").join(first.df.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    rest = placed.join(several, "key").withColumn("side", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.select("key", "cid", "n", "component", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    rest = rest.join(sets.df.select("cid", "low"), "cid").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "cid")
+    verifier.verify(rest.mapInArrow(_across(percent), "a long, b long").distinct())
+    found = Stored(connected_components(verifier.links(), "a", "b"), "components")
+    first.drop()
     sets.drop()
     members.drop()
     reach = classes.df.select("fp", "cid", "least").join(found.df.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))

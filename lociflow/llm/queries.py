@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.llm import bpe, langid, licenses, mixing, neardup, tiff, toxicity, urls, vectors
+from lociflow.cluster import Stored
+from lociflow.llm import bpe, langid, licenses, lm, mixing, neardup, tiff, toxicity, urls, vectors
 from lociflow.llm.common import fold
 
 
@@ -38,6 +39,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    train = docs.where(fold("doc_id", 7) != 2)
+    counts = Stored(lm.vocabulary(train), "vocabulary").df
+    model = lm.fit(counts, train)
+    return lm.score(docs.withColumn("held_out", fold("doc_id", 7) == 2), counts, model)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -61,6 +70,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_lm_score": op6_lm_score,
     "op7_bpe": op7_bpe,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_tiff": op9_tiff,

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored, ship
 from lociflow.llm.components import connected_components
+from lociflow.llm.common import whole_groups
 from lociflow.llm.text import mix
 
 COSINE, BITS, BANDS, BLOCK = 0.98, 16, 32, 512
@@ -104,23 +105,6 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid[at], BANDS)), pa.array(keys.ravel().astype(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(at)))], ["cid", "key", "band"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of whole groups of equal (key, lo, hi) from sorted batches; a group has at most two blocks."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        columns = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
-        last = np.ones(table.num_rows, dtype=bool)
-        for c in columns:
-            last &= c == c[-1]
-        cut = table.num_rows - int(last.sum())
-        held = table.slice(cut).combine_chunks().to_batches()[0] if table.num_rows else None
-        if cut:
-            yield table.slice(0, cut).combine_chunks().to_batches()[0]
-    if held is not None:
-        yield held
-
-
 def _linked(threshold: float):
     def compare(batch: pa.RecordBatch, rows: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, lo, hi, side, band = (batch.column(c).to_numpy()[rows] for c in ("key", "lo", "hi", "side", "band"))
@@ -144,7 +128,7 @@ def _linked(threshold: float):
         return rows[i], rows[j], counted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _groups(batches):
+        for batch in whole_groups(batches):
             parts = [compare(batch, rows, vectors) for _, rows, vectors in _by_length(batch.column("v"))]  # a group's vectors have one length
             i, j, counted = (np.concatenate([p[k] for p in parts]) for k in range(3))
             cid, n = batch.column("cid").to_numpy(), batch.column("n").to_numpy()
