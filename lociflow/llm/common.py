@@ -45,9 +45,12 @@ def with_text_udf(df: DataFrame, text_col: str, fn: Callable[[pa.Array], pa.Arra
 
 
 def per_class_sample(df: DataFrame, class_col: str, id_col: str, bound: int) -> DataFrame:
-    """About `bound` rows of each class at most, chosen by the hash of their ids; classes with fewer rows stay whole."""
+    """About `bound` rows of each class at most, chosen by the hash of their ids; classes with fewer rows stay whole.
+
+    One row a class is broadcast: the models fitted on these samples hold a row a class themselves.
+    """
     share = df.groupBy(class_col).agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count(F.lit(1))).alias("__share"))
-    return df.join(share, class_col).where(spread(id_col, 7) < F.col("__share")).drop("__share")
+    return df.join(F.broadcast(share), class_col).where(spread(id_col, 7) < F.col("__share")).drop("__share")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,10 +98,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def fit(df: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample: int = SAMPLE_PER_LABEL) -> Model:
-    """The model of the labelled rows (label 0 or 1); about `sample` texts of each label at most."""
+def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample: int = SAMPLE_PER_LABEL) -> Model:
+    """The model of df's rows that labels (id, label 0 or 1; the larger where an id repeats) tells of.
+
+    About `sample` ids of each label are chosen before any text is met, so their table is small and the texts stay in place.
+    """
     ship(df.sparkSession)
-    known = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text"))
+    told = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
+    ids = df.select(F.col(id_col).alias("i")).join(told, "i")
+    chosen = F.broadcast(per_class_sample(ids, "y", "i", sample).distinct())
+    known = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
 
     def keyed(batches):
         for batch in batches:
@@ -112,7 +118,7 @@ def fit(df: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col:
                 keys.append(np.where(first < len(h), h[np.minimum(first, max(len(h) - 1, 0))] if len(h) else 0, 0).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("y"), texts, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["y", "text", "key"])
 
-    rows = per_class_sample(known, "y", "i", sample).select("y", "text").mapInArrow(keyed, "y int, text string, key long")
+    rows = known.join(chosen, "i").select("y", "text").mapInArrow(keyed, "y int, text string, key long")
     kept = Stored(rows.groupBy("key", "y").agg(F.min("text").alias("text")).select("y", "text"), "toxicity-sample")
     rows = kept.df
 
