@@ -1,4 +1,8 @@
 """Every registered query of the engine and its SQL equivalent."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from lociflow.plans import tracks
+
+QUERIES: dict = dict(tracks.QUERIES)
+ORACLES: dict[str, str] = dict(tracks.ORACLES)
