@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lociflow.plans import tracks
+from lociflow.plans import tracks, trees
 
-QUERIES: dict = dict(tracks.QUERIES)
-ORACLES: dict[str, str] = dict(tracks.ORACLES)
+_PARTS = (tracks, trees)
+QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
