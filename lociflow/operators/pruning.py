@@ -25,6 +25,10 @@ def emissions(nodes: DataFrame, pi: tuple[float, float], masked: DataFrame | Non
     return nodes.withColumns({"e0": e[0], "e1": e[1]}).drop("__masked")
 
 
+def _ln(x: Column) -> Column:
+    return F.when(x > 0, F.ln(x)).otherwise(F.lit(float("-inf")))
+
+
 def _lse(x: Column, y: Column) -> Column:
     top = F.greatest(x, y)
     return F.when(top == F.lit(float("-inf")), top).otherwise(top + F.ln(F.exp(x - top) + F.exp(y - top)))
@@ -37,32 +41,36 @@ def prune(nodes: DataFrame, a: float, b: float, pi: tuple[float, float], levels:
     for k in range(levels):
         own = nodes.where(F.col("level") == k)
         if sums is None:
-            own = own.withColumns({"c0": F.lit(0.0), "c1": F.lit(0.0)})
+            own = own.withColumns({**{f"f{s}": F.lit(0.0) for s in range(2)}, **{f"n{s}": F.lit(0).cast("long") for s in range(2)}})
         else:
-            own = own.join(sums, "node", "left").withColumns({"c0": F.coalesce("c0", F.lit(0.0)), "c1": F.coalesce("c1", F.lit(0.0))})
-        own = own.withColumns({f"l{s}": F.ln(f"e{s}") + F.col(f"c{s}") for s in range(2)})
+            own = own.join(sums, "node", "left").withColumns({**{f"f{s}": F.coalesce(f"f{s}", F.lit(0.0)) for s in range(2)}, **{f"n{s}": F.coalesce(f"n{s}", F.lit(0)) for s in range(2)}})
+        own = own.withColumns({f"c{s}": F.when(F.col(f"n{s}") > 0, F.lit(float("-inf"))).otherwise(F.col(f"f{s}")) for s in range(2)})
+        own = own.withColumns({f"l{s}": _ln(F.col(f"e{s}")) + F.col(f"c{s}") for s in range(2)})
         if k + 1 < levels:
             times = nodes.where(F.col("level") == k + 1).select(F.col("node").alias("parent"), F.col("time").alias("__pt"))
             own = own.join(times, "parent", "left").withColumn("t", F.col("__pt") - F.col("time")).drop("__pt")
             p = transition_columns(a, b, F.col("t"))
-            own = own.withColumns({f"m{s}": _lse(F.ln(p[s][0]) + F.col("l0"), F.ln(p[s][1]) + F.col("l1")) for s in range(2)})
+            own = own.withColumns({f"m{s}": _lse(_ln(p[s][0]) + F.col("l0"), _ln(p[s][1]) + F.col("l1")) for s in range(2)})
         else:
             own = own.withColumns({"t": F.lit(None).cast("double"), "m0": F.lit(None).cast("double"), "m1": F.lit(None).cast("double")})
         by_level[k] = Stored(own, f"up-{k}").df
-        sums = by_level[k].groupBy(F.col("parent").alias("node")).agg(F.sum("m0").alias("c0"), F.sum("m1").alias("c1"))
-    root = by_level[levels - 1].withColumns({"u0": F.lit(float(pi[0])), "u1": F.lit(float(pi[1]))}).withColumns({"u0": F.ln("u0"), "u1": F.ln("u1")})
+        sums = by_level[k].groupBy(F.col("parent").alias("node")).agg(*[F.sum(F.when(F.col(f"m{s}") > float("-inf"), F.col(f"m{s}"))).alias(f"f{s}") for s in range(2)], *[F.count_if(F.col(f"m{s}") == float("-inf")).alias(f"n{s}") for s in range(2)])
+    root = by_level[levels - 1].withColumns({"u0": F.lit(float(pi[0])), "u1": F.lit(float(pi[1]))}).withColumns({"u0": _ln(F.col("u0")), "u1": _ln(F.col("u1"))})
     out, above = None, None
     for k in reversed(range(levels)):
         if k == levels - 1:
             here = root.withColumns({f"x{i}{j}": F.lit(None).cast("double") for i in range(2) for j in range(2)})
             here = here.withColumn("loglik", _lse(F.col("u0") + F.col("l0"), F.col("u1") + F.col("l1")))
         else:
-            from_above = above.select(F.col("node").alias("parent"), *[(F.col(f"u{s}") + F.ln(f"e{s}")).alias(f"h{s}") for s in range(2)], *[F.col(f"c{s}").alias(f"all{s}") for s in range(2)])
+            from_above = above.select(F.col("node").alias("parent"), *[(F.col(f"u{s}") + _ln(F.col(f"e{s}"))).alias(f"h{s}") for s in range(2)], *[F.col(f"f{s}").alias(f"all{s}") for s in range(2)], *[F.col(f"n{s}").alias(f"none{s}") for s in range(2)])
             here = by_level[k].join(from_above, "parent")
-            here = here.withColumns({f"cav{s}": F.col(f"h{s}") + F.col(f"all{s}") - F.col(f"m{s}") for s in range(2)})
+            # the siblings' messages: without this child's own, be it finite or not
+            lost = [F.col(f"m{s}") == float("-inf") for s in range(2)]
+            others = [F.when(F.col(f"none{s}") > lost[s].cast("int"), F.lit(float("-inf"))).otherwise(F.col(f"all{s}") - F.when(lost[s], F.lit(0.0)).otherwise(F.col(f"m{s}"))) for s in range(2)]
+            here = here.withColumns({f"cav{s}": F.col(f"h{s}") + others[s] for s in range(2)})
             p = transition_columns(a, b, F.col("t"))
-            here = here.withColumns({f"u{j}": _lse(F.col("cav0") + F.ln(p[0][j]), F.col("cav1") + F.ln(p[1][j])) for j in range(2)})
-            raw = {f"x{i}{j}": F.col(f"cav{i}") + F.ln(p[i][j]) + F.col(f"l{j}") for i in range(2) for j in range(2)}
+            here = here.withColumns({f"u{j}": _lse(F.col("cav0") + _ln(p[0][j]), F.col("cav1") + _ln(p[1][j])) for j in range(2)})
+            raw = {f"x{i}{j}": F.col(f"cav{i}") + _ln(p[i][j]) + F.col(f"l{j}") for i in range(2) for j in range(2)}
             here = here.withColumns(raw)
             here = here.withColumn("__top", F.greatest("x00", "x01", "x10", "x11"))
             total = sum((F.exp(F.col(x) - F.col("__top")) for x in raw), F.lit(0.0))
