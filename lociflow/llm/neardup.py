@@ -5,7 +5,8 @@ shifted by k places, gives coordinate k. BANDS bands of ROWS coordinates miss a
 under 1e-5. Texts with equal shingle sets are one class from the start. The classes of a bucket are compared on their
 full sets with a few leaders of it; where a bucket still holds several components, all its pairs across components are
 estimated from the signatures, block by block, and those that may reach the threshold (their estimate is above it less SLACK,
-over six standard deviations) are compared on their full sets too. So no group is paired with itself as a whole.
+over four standard deviations) are compared on their full sets there, each pair in the first band it shares. Only links leave
+the tasks, so no group is paired with itself as a whole.
 
 Null and empty texts have no shingle and link with nothing; texts under `width` words have their whole sequence as their
 one shingle. Rows that repeat stay, each with its class's component; a component's id ignores null ids, and rows with null
@@ -30,7 +31,7 @@ from lociflow.llm.text import Words, mix, shingles, slices
 WIDTH, PERCENT = 5, 75
 ROWS, BANDS = 6, 60
 #: Leaders of a bucket; classes of a block; what an estimate may lack to the threshold.
-LEADERS, BLOCK, SLACK = 4, 1024, 0.15
+LEADERS, BLOCK, SLACK = 2, 1024, 0.1
 _PLACES, _BLOCK = 1 << 22, 2048
 _MASKS = np.random.default_rng(23).integers(1, 2**62, LEADERS - 1).tolist()
 _SALTS = np.random.default_rng(22).integers(1, 2**63, ROWS + 1, dtype=np.uint64) | np.uint64(1)
@@ -90,17 +91,26 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), _binary([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]), _binary([x.tobytes() for x in low])], ["cid", "shingles", "low"])
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity; nothing links with an empty set."""
+    if not len(x) or not len(y):
+        return False
+    same = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return same > 0 and 100 * same >= percent * (len(x) + len(y) - same)
+
+
 def _across(percent: int):
-    """Sorted (key, lo, hi) groups to the pairs across components that may be linked."""
+    """Sorted (key, lo, hi) groups to the links across components."""
     floor = percent / 100 - SLACK
     least = int((floor + (1 - floor) / 256) * ROWS * BANDS)
 
     def run(batches):
         for batch in whole_groups(batches):
-            key, lo, hi, side, cid, component, n = (batch.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "cid", "component", "n"))
+            key, lo, hi, side, cid, component, n, band = (batch.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "cid", "component", "n", "band"))
             low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(len(cid), -1)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column("shingles")]
             group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-            at, d, found = np.arange(len(cid)), 0, []
+            at, d, a, b = np.arange(len(cid)), 0, [], []
             while True:
                 d += 1
                 at = at[at + d < len(cid)]
@@ -109,10 +119,15 @@ def _across(percent: int):
                     break
                 i = at[((lo[at] == hi[at]) | (side[at] != side[at + d])) & (component[at] != component[at + d])]
                 i = i[100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])]
-                i = i[(low[i] == low[i + d]).sum(axis=1) >= least]
-                found.append(np.stack([cid[i], cid[i + d]], axis=1))
-            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                same = low[i] == low[i + d]
+                may = same.sum(axis=1) >= least
+                i, same = i[may], same[may]
+                first = same.reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) if len(i) else i
+                for k in i[first == band[i]].tolist():
+                    if _linked(sets[k], sets[k + d], percent):
+                        a.append(int(cid[k]))
+                        b.append(int(cid[k + d]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -120,40 +135,13 @@ def _across(percent: int):
 def _overlaps(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                at = np.searchsorted(x, y)
-                same = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(100 * same >= percent * (len(x) + len(y) - same) and same > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+            pairs = zip(batch.column("sa"), batch.column("sb"), strict=True)
+            keep = [_linked(np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64), percent) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
     return run
 
 
-class _Verifier:
-    """Compares pairs of classes on their full sets and remembers which it has compared."""
-
-    def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent, self.done = sets, percent, []
-
-    def verify(self, pairs: DataFrame) -> tuple[int, int]:
-        """Compare the new pairs (a, b) among these; (pairs compared, links found)."""
-        for old in self.done:
-            pairs = pairs.join(old.df.select("a", "b"), ["a", "b"], "left_anti")
-        both = pairs.join(self.sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b").join(self.sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
-        got = Stored(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps(self.percent), "a long, b long, linked boolean"), "compared")
-        self.done.append(got)
-        n = got.df.agg(F.count(F.lit(1)).alias("n"), F.count_if("linked").alias("k")).first()
-        return n.n, n.k
-
-    def links(self) -> DataFrame:
-        found = self.done[0].df
-        for more in self.done[1:]:
-            found = found.union(more.df)
-        return found.where("linked").select("a", "b")
-
-
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row: links are pairs with 100 * intersection >= percent * union."""
     ship(df.sparkSession)
@@ -162,28 +150,30 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     signed = Stored(docs.mapInArrow(_signed, f"id {kind}, th long, n long, fp binary, bands array<long>"), "signed")
     groups = signed.df.where("n > 0").groupBy("fp", "n", "bands").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("rep"))
     classes = Stored(groups.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    keys = classes.df.select("cid", "n", F.explode("bands").alias("key"))
+    keys = classes.df.select("cid", "n", F.posexplode("bands").alias("band", "key"))
     masks = [0, *_MASKS]
     picked = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), *[F.min(F.col("cid").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"lead{k}") for k, x in enumerate(masks)]).where("m > 1")
-    members = Stored(keys.join(picked, "key").select("key", "cid", "n", "m", F.array_distinct(F.array(*[f"lead{k}" for k in range(len(masks))])).alias("leads")), "buckets")
+    members = Stored(keys.join(picked, "key").select("key", "band", "cid", "n", "m", F.array_distinct(F.array(*[f"lead{k}" for k in range(len(masks))])).alias("leads")), "buckets")
 
     wanted = classes.df.join(members.df.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("rep.id").alias("ri"), F.col("rep.th").alias("rt"))
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("ri")) & (F.col("th") == F.col("rt"))).select("cid", "text")
     sets = Stored(texts.mapInArrow(_sets, "cid long, shingles binary, low binary").dropDuplicates(["cid"]), "sets")
-    verifier = _Verifier(sets.df, percent)
     led = members.df.select("cid", F.explode("leads").alias("lead")).where("cid <> lead")
-    verifier.verify(led.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct())
-    first = Stored(connected_components(verifier.links(), "a", "b"), "components")
+    pairs = led.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+    both = pairs.join(sets.df.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.df.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
+    links = Stored(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps(percent), "a long, b long"), "links-to-leaders")
+    first = Stored(connected_components(links.df, "a", "b"), "components")
 
-    placed = members.df.select("key", "cid", "n", "m").join(first.df.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    placed = members.df.select("key", "band", "cid", "n", "m").join(first.df.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     rest = placed.join(several, "key").withColumn("side", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", "cid", "n", "component", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
-    rest = rest.join(sets.df.select("cid", "low"), "cid").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "cid")
-    verifier.verify(rest.mapInArrow(_across(percent), "a long, b long").distinct())
-    found = Stored(connected_components(verifier.links(), "a", "b"), "components")
-    first.drop()
+    rest = rest.select("key", "band", "cid", "n", "component", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
+    rest = rest.join(sets.df, "cid").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "cid")
+    across = Stored(rest.mapInArrow(_across(percent), "a long, b long"), "links-across")
+    found = Stored(connected_components(first.df.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across.df), "a", "b"), "components")
+    for table in (links, across, first):
+        table.drop()
     sets.drop()
     members.drop()
     reach = classes.df.select("fp", "cid", "least").join(found.df.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
