@@ -116,7 +116,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = batch.column("text"), np.array(batch.column("lang").to_pylist(), dtype=object)
-            for i, j in slices(texts):
+            for i, j in slices(texts, 1 << 19):
                 vectors = _unit(bundles(texts.slice(i, j - i))[0])
                 for lang in set(langs[i:j]):
                     sums[lang] = sums.get(lang, 0) + vectors[langs[i:j] == lang].sum(axis=0, dtype=np.float64)
@@ -134,7 +134,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
 
     def run(texts: pa.Array) -> pa.Array:
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
-        for i, j in slices(texts) if names else ():
+        for i, j in slices(texts, 1 << 19) if names else ():
             vectors, has = bundles(texts.slice(i, j - i))
             cos = _unit(vectors) @ prototypes.T
             best[i:j] = np.where(has, cos.argmax(axis=1), -1)
