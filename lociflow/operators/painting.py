@@ -1,0 +1,92 @@
+"""Painting samples along the genome: posteriors of every tree, then runs of equal posteriors as tracks.
+
+Trees hold as many nodes as there are samples and their ancestors, so whole trees are the unit of a task's arrays: many
+trees of a batch are pruned at once, height by height. Only what the chosen samples show leaves the task.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lociflow.cluster import ship
+from lociflow.functions.groups import whole_groups
+from lociflow.operators import intervals as iv
+from lociflow.operators.topology import trees
+
+
+def tree_rows(edges: DataFrame, nodes: DataFrame, tree_table: DataFrame, width: float) -> DataFrame:
+    """(tree, node, parent, time, e0, e1, is_sample) of every node in every tree; a root has a null parent. nodes: (node, time, e0, e1, is_sample)."""
+    at = tree_table.select(F.lit(0).alias("axis"), "tree", F.col("left").alias("at"))
+    held = iv.points_in(at, edges.withColumn("axis", F.lit(0)), ["axis"], "at", width).select("tree", "parent", "child")
+    below = held.select("tree", F.col("child").alias("node"), "parent")
+    roots = held.select("tree", F.col("parent").alias("node")).distinct().join(below.select("tree", "node"), ["tree", "node"], "left_anti")
+    return below.unionByName(roots.withColumn("parent", F.lit(None).cast("long"))).join(nodes, "node")
+
+
+def _messages(t: np.ndarray, a: float, b: float) -> np.ndarray:
+    """ln P(t) of the two-state chain, a matrix a branch."""
+    s, decay = a + b, np.exp(-(a + b) * t)
+    p = np.empty((len(t), 2, 2))
+    p[:, 0, 0], p[:, 0, 1] = (b + a * decay) / s, a * (1 - decay) / s
+    p[:, 1, 0], p[:, 1, 1] = b * (1 - decay) / s, (a + b * decay) / s
+    return np.log(np.maximum(p, 1e-300))
+
+
+def _pruned(a: float, b: float, pi: np.ndarray):
+    def run(batches):
+        for batch in whole_groups(batches, ["tree"]):
+            tree, node = batch.column("tree").to_numpy(), batch.column("node").to_numpy()
+            has = ~np.array(batch.column("parent").is_null().to_numpy(zero_copy_only=False))
+            parent = batch.column("parent").fill_null(-1).to_numpy()
+            time = batch.column("time").to_numpy()
+            e = np.log(np.maximum(np.stack([batch.column(f"e{k}").to_numpy() for k in range(2)], axis=1), 1e-300))
+            order = np.lexsort((node, tree))
+            code = np.rec.fromarrays([tree[order], node[order]])
+            up = np.full(len(node), -1)
+            up[has] = order[np.searchsorted(code, np.rec.fromarrays([tree[has], parent[has]], dtype=code.dtype))]
+            height = np.zeros(len(node), dtype=np.int64)
+            while True:
+                taller = height.copy()
+                np.maximum.at(taller, up[has], height[has] + 1)
+                if (taller == height).all():
+                    break
+                height = taller
+            branch = _messages(np.where(has, time[up] - time, 0.0), a, b)
+            below, sent, outside = np.zeros((len(node), 2)), np.zeros((len(node), 2)), np.tile(np.log(np.maximum(pi, 1e-300)), (len(node), 1))
+            for h in range(int(height.max(initial=0)) + 1):
+                i = np.flatnonzero(has & (height == h))
+                sent[i] = np.logaddexp.reduce(branch[i] + (e[i] + below[i])[:, None, :], axis=2)
+                np.add.at(below, up[i], sent[i])
+            for h in range(int(height.max(initial=0)), -1, -1):
+                i = np.flatnonzero(has & (height == h))
+                cavity = outside[up[i]] + e[up[i]] + below[up[i]] - sent[i]
+                cavity -= cavity.max(axis=1, keepdims=True)
+                outside[i] = np.logaddexp.reduce(cavity[:, :, None] + branch[i], axis=1)
+            out = []
+            for x in (outside + e + below, outside + below):
+                x = np.exp(x - x.max(axis=1, keepdims=True))
+                out.append(x / x.sum(axis=1, keepdims=True))
+            keep = np.flatnonzero(batch.column("is_sample").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(tree[keep]), pa.array(node[keep]), *[pa.array(x[keep, k]) for x in out for k in range(2)]], ["tree", "node", "g0", "g1", "loo0", "loo1"])
+
+    return run
+
+
+def paint(edges: DataFrame, nodes: DataFrame, a: float, b: float, pi: tuple[float, float], length: float, width: float, leave_one_out: bool = False) -> DataFrame:
+    """Tracks (sample, left, right, p0, p1, status) of all samples; where one is in no edge of a tree it has pi and missing information."""
+    ship(edges.sparkSession)
+    table = trees(edges, length, width)
+    rows = tree_rows(edges, nodes, table, width).select("tree", "node", "parent", "time", "e0", "e1", "is_sample")
+    done = rows.repartition("tree").sortWithinPartitions("tree").mapInArrow(_pruned(a, b, np.array(pi)), "tree long, node long, g0 double, g1 double, loo0 double, loo1 double")
+    kind = "loo" if leave_one_out else "g"
+    seen = done.join(table, "tree").select(F.col("node").alias("sample"), "left", "right", *[F.round(f"{kind}{k}", 12).alias(f"p{k}") for k in range(2)], F.lit("informative").alias("status"))
+    samples = nodes.where("is_sample").select(F.col("node").alias("sample"))
+    absent = samples.join(table.select("left", "right")).join(seen.select("sample", "left"), ["sample", "left"], "left_anti")
+    absent = absent.select("sample", "left", "right", *[F.lit(float(pi[k])).alias(f"p{k}") for k in range(2)], F.lit("missing-info").alias("status"))
+    return iv.merge_runs(seen.unionByName(absent), ["sample"], ["p0", "p1", "status"]).select("sample", "left", "right", "p0", "p1", "status")
+
+
+PAINTERS = {"pruning": paint}

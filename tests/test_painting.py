@@ -1,0 +1,37 @@
+import itertools
+
+import numpy as np
+
+from lociflow.functions import ctmc
+from lociflow.operators.painting import paint
+
+A, B, PI = 0.3, 0.7, (0.6, 0.4)
+TIME = {0: 0.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 1.0, 6: 2.0}
+
+
+def by_hand(parents, e, sample):
+    nodes = sorted(set(parents) | set(parents.values()))
+    total, hit = 0.0, 0.0
+    for states in itertools.product((0, 1), repeat=len(nodes)):
+        s = dict(zip(nodes, states, strict=True))
+        w = np.prod([PI[s[n]] for n in nodes if n not in parents]) * np.prod([e[n][s[n]] for n in nodes])
+        w *= np.prod([ctmc.transition(ctmc.generator(A, B), TIME[p] - TIME[c])[s[p], s[c]] for c, p in parents.items()])
+        total += w
+        hit += w * (s[sample] == 0)
+    return hit / total
+
+
+def test_tracks_equal_enumeration_of_each_tree(spark):
+    # 0 and 1 meet in 4 all along; 2 and 3 meet in 5 from 1 on, and 3 is alone before
+    edges = [(0.0, 4.0, 4, 0), (0.0, 4.0, 4, 1), (0.0, 4.0, 6, 4), (1.0, 4.0, 5, 2), (1.0, 4.0, 5, 3), (1.0, 4.0, 6, 5), (0.0, 1.0, 6, 2)]
+    e = {n: (1.0, 1.0) for n in TIME} | {0: (0.9, 0.2), 1: PI, 2: (0.05, 0.95), 3: PI}
+    nodes = spark.createDataFrame([(n, t, *map(float, e[n]), n < 4) for n, t in TIME.items()], "node long, time double, e0 double, e1 double, is_sample boolean")
+    table = spark.createDataFrame(edges, "left double, right double, parent long, child long")
+    got = {(r.sample, r.left): r for r in paint(table, nodes, A, B, PI, 4.0, 0.75).collect()}
+    first, later = {0: 4, 1: 4, 4: 6, 2: 6}, {0: 4, 1: 4, 4: 6, 2: 5, 3: 5, 5: 6}
+    assert {k: (r.right, r.status) for k, r in got.items()} == {(0, 0.0): (1.0, "informative"), (0, 1.0): (4.0, "informative"), (1, 0.0): (1.0, "informative"), (1, 1.0): (4.0, "informative"), (2, 0.0): (1.0, "informative"), (2, 1.0): (4.0, "informative"), (3, 0.0): (1.0, "missing-info"), (3, 1.0): (4.0, "informative")}
+    for s in (0, 1, 2):
+        assert np.isclose(got[s, 0.0].p0, by_hand(first, e, s)) and np.isclose(got[s, 1.0].p0, by_hand(later, e, s))
+    assert got[3, 0.0].p0 == PI[0] and np.isclose(got[3, 1.0].p0, by_hand(later, e, 3))
+    loo = {(r.sample, r.left): r.p0 for r in paint(table, nodes, A, B, PI, 4.0, 0.75, leave_one_out=True).collect()}
+    assert np.isclose(loo[0, 1.0], by_hand(later, e | {0: (1.0, 1.0)}, 0))
