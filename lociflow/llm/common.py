@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,30 @@ from lociflow.cluster import ship
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the machine: workers live on, and others need it."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it likes
+        pass
+
+
+def steady(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn for mapInArrow, with memory given back after each batch."""
+
+    def fed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            trim()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(fed(batches))
+        trim()
+
+    return run
+
+
 def fold(id_col: str, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as fold 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(k), F.lit(0))
@@ -37,6 +62,7 @@ def with_text_udf(df: DataFrame, text_col: str, fn: Callable[[pa.Array], pa.Arra
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield fn(batch)
+            trim()
 
     taken = set(returns.fieldNames())
     keep = [F.col(f"`{c}`") for c in df.columns if c not in taken]

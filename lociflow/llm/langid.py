@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociflow.cluster import ship
-from lociflow.llm.common import per_class_sample, with_text_udf
+from lociflow.llm.common import per_class_sample, steady, with_text_udf
 from lociflow.llm.text import slices
 
 DIMENSIONS, GRAM = 1024, 3
@@ -122,7 +122,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: s
                     sums[lang] = sums.get(lang, 0) + vectors[langs[i:j] == lang].sum(axis=0, dtype=np.float64)
         yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": [v.tolist() for v in sums.values()]}, schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
 
-    parts = per_class_sample(known, "lang", "i", sample).select("lang", "text").mapInArrow(partial, "lang string, v array<double>")
+    parts = per_class_sample(known, "lang", "i", sample).select("lang", "text").mapInArrow(steady(partial), "lang string, v array<double>")
     rows = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("v")).orderBy("lang").collect()
     prototypes = np.array([[x.x for x in r.v] for r in rows]) if rows else np.zeros((0, DIMENSIONS))
     return [r.lang for r in rows], _unit(prototypes).astype(np.float32)

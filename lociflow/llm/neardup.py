@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored, ship
 from lociflow.llm.components import connected_components
-from lociflow.llm.common import whole_groups
+from lociflow.llm.common import steady, whole_groups
 from lociflow.llm.text import Words, mix, shingles, slices
 
 WIDTH, PERCENT = 5, 75
@@ -147,7 +147,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     ship(df.sparkSession)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("th"))
     kind = dict(docs.dtypes)["id"]
-    signed = Stored(docs.mapInArrow(_signed, f"id {kind}, th long, n long, fp binary, bands array<long>"), "signed")
+    signed = Stored(docs.mapInArrow(steady(_signed), f"id {kind}, th long, n long, fp binary, bands array<long>"), "signed")
     groups = signed.df.where("n > 0").groupBy("fp", "n", "bands").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("rep"))
     classes = Stored(groups.withColumn("cid", F.monotonically_increasing_id()), "classes")
     keys = classes.df.select("cid", "n", F.posexplode("bands").alias("band", "key"))
@@ -157,11 +157,11 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     wanted = classes.df.join(members.df.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("rep.id").alias("ri"), F.col("rep.th").alias("rt"))
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("ri")) & (F.col("th") == F.col("rt"))).select("cid", "text")
-    sets = Stored(texts.mapInArrow(_sets, "cid long, shingles binary, low binary").dropDuplicates(["cid"]), "sets")
+    sets = Stored(texts.mapInArrow(steady(_sets), "cid long, shingles binary, low binary").dropDuplicates(["cid"]), "sets")
     led = members.df.select("cid", F.explode("leads").alias("lead")).where("cid <> lead")
     pairs = led.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
     both = pairs.join(sets.df.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.df.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
-    links = Stored(both.select("a", "b", "sa", "sb").mapInArrow(_overlaps(percent), "a long, b long"), "links-to-leaders")
+    links = Stored(both.select("a", "b", "sa", "sb").mapInArrow(steady(_overlaps(percent)), "a long, b long"), "links-to-leaders")
     first = Stored(connected_components(links.df, "a", "b"), "components")
 
     placed = members.df.select("key", "band", "cid", "n", "m").join(first.df.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -170,7 +170,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     rest = placed.join(several, "key").withColumn("side", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rest = rest.select("key", "band", "cid", "n", "component", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     rest = rest.join(sets.df, "cid").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "cid")
-    across = Stored(rest.mapInArrow(_across(percent), "a long, b long"), "links-across")
+    across = Stored(rest.mapInArrow(steady(_across(percent)), "a long, b long"), "links-across")
     found = Stored(connected_components(first.df.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across.df), "a", "b"), "components")
     for table in (links, across, first):
         table.drop()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociflow.cluster import Stored, ship
-from lociflow.llm.common import per_class_sample, with_text_udf
+from lociflow.llm.common import per_class_sample, steady, with_text_udf
 from lociflow.llm.text import Words, shingles, slices
 
 #: Labelled texts of each class that the model is learned from, at most.
@@ -118,7 +118,7 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str
                 keys.append(np.where(first < len(h), h[np.minimum(first, max(len(h) - 1, 0))] if len(h) else 0, 0).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("y"), texts, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["y", "text", "key"])
 
-    rows = known.join(chosen, "i").select("y", "text").mapInArrow(keyed, "y int, text string, key long")
+    rows = known.join(chosen, "i").select("y", "text").mapInArrow(steady(keyed), "y int, text string, key long")
     kept = Stored(rows.groupBy("key", "y").agg(F.min("text").alias("text")).select("y", "text"), "toxicity-sample")
     rows = kept.df
 
@@ -130,7 +130,7 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str
         words = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_pydict({"word": words, "a": [counts[1][w] for w in words], "b": [counts[0][w] for w in words]}, schema=pa.schema([("word", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
 
-    tallied = Stored(rows.mapInArrow(counted, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxicity-words")
+    tallied = Stored(rows.mapInArrow(steady(counted), "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxicity-words")
     n_a, n_b = (float(v or 0) for v in tallied.df.agg(F.sum("a"), F.sum("b")).first())
     share = FLAT + PRIOR / max(1.0, n_a + n_b) * (F.col("a") + F.col("b"))
     odds = tallied.df.select("word", (F.col("a") + share).alias("x"), (F.col("b") + share).alias("y"))
@@ -145,7 +145,7 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str
             found = [segments(t, draft) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([n for n, _, _ in found], pa.int64()), pa.array([[s for _, _, s in f] for _, f, _ in found], pa.list_(pa.float64())), pa.array([d for _, _, d in found], pa.int64())], ["y", "n", "s", "d"])
 
-    got = rows.mapInArrow(measured, "y int, n long, s array<double>, d long").collect()  # as many rows as the sample has
+    got = rows.mapInArrow(steady(measured), "y int, n long, s array<double>, d long").collect()  # as many rows as the sample has
     kept.drop()
     if len({r.y for r in got}) < 2:
         return Model({}, 1.0, 1.0, (-30.0, 0.0, 0.0, 0.0, 0.0))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored, ship
 from lociflow.llm.components import connected_components
-from lociflow.llm.common import whole_groups
+from lociflow.llm.common import steady, whole_groups
 from lociflow.llm.text import mix
 
 COSINE, BITS, BANDS, BLOCK = 0.98, 16, 32, 512
@@ -158,13 +158,13 @@ def near_duplicates(df: DataFrame, vector_col: str = "embedding", label_col: str
     rows = rows.withColumn("h", F.when(sound & F.exists(v, lambda x: x != 0), F.struct(F.xxhash64("label", "v").alias("a"), F.xxhash64(F.lit(1), "v", "label").alias("b"))))
     groups = rows.where("h is not null").groupBy("h").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first(F.xxhash64("label")).alias("lh"), F.first("v").alias("v"))
     classes = Stored(groups.withColumn("cid", F.monotonically_increasing_id()), "vectors")
-    keys = Stored(classes.df.select("cid", "lh", "v").mapInArrow(_coded, "cid long, key long, band int"), "codes")
+    keys = Stored(classes.df.select("cid", "lh", "v").mapInArrow(steady(_coded), "cid long, key long, band int"), "codes")
     several = keys.df.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
     members = keys.df.join(several, "key").withColumn("side", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members = members.select("cid", "key", "band", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     filled = members.join(classes.df.select("cid", "n", "v", F.size("v").alias("d")), "cid")
-    found = Stored(filled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "cid").mapInArrow(_linked(cosine), "cid long, links long, root long"), "vector-links")
+    found = Stored(filled.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "cid").mapInArrow(steady(_linked(cosine)), "cid long, links long, root long"), "vector-links")
     links = found.df.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.df, "cid", "root").withColumnsRenamed({"node": "cid"})
     reach = classes.df.select("h", "cid", "n", "least").join(links, "cid", "left").join(parts, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
