@@ -5,7 +5,8 @@ shifted by k places, gives coordinate k. BANDS bands of ROWS coordinates miss a
 under 1e-5. Texts with equal shingle sets are one class from the start. The classes of a bucket are compared on their
 full sets with a few leaders of it; where a bucket still holds several components, all its pairs across components are
 estimated from the signatures, block by block, and those that may reach the threshold (their estimate is above it less SLACK,
-over four standard deviations) are compared on their full sets there, each pair in the first band it shares. Only links leave
+over four standard deviations) are compared on their full sets there, each pair in the first band it shares, as 32 bits of
+each band's key tell (another band agrees in them by chance in 1.4e-8 of the pairs). Only links leave
 the tasks, so no group is paired with itself as a whole.
 
 Null and empty texts have no shingle and link with nothing; texts under `width` words have their whole sequence as their
@@ -81,14 +82,15 @@ def _signed(batches):
 
 
 def _sets(batches):
-    """(cid, text) to (cid, its sorted shingle hashes, the low byte of each coordinate)."""
+    """(cid, text) to (cid, its sorted shingle hashes, the low byte of each coordinate, the low half of each band's key)."""
     for batch in batches:
         texts = batch.column("text")
         for i, j in slices(texts):
             h, owner = shingles(Words(texts.slice(i, j - i)), WIDTH)
             bounds = np.searchsorted(owner, np.arange(j - i + 1))
-            low, ends, data = signatures(h, bounds).astype(np.uint8), (bounds * 8).tolist(), h.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), _binary([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]), _binary([x.tobytes() for x in low])], ["cid", "shingles", "low"])
+            signed, ends, data = signatures(h, bounds), (bounds * 8).tolist(), h.tobytes()
+            low, checks = signed.astype(np.uint8), band_keys(signed).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([batch.column("cid").slice(i, j - i), _binary([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]), _binary([x.tobytes() for x in low]), _binary([x.tobytes() for x in checks])], ["cid", "shingles", "low", "checks"])
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -108,6 +110,7 @@ def _across(percent: int):
         for batch in whole_groups(batches):
             key, lo, hi, side, cid, component, n, band = (batch.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "cid", "component", "n", "band"))
             low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(len(cid), -1)
+            checks = np.frombuffer(b"".join(batch.column("checks").to_pylist()), np.uint32).reshape(len(cid), BANDS)
             sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column("shingles")]
             group = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
             at, d, a, b = np.arange(len(cid)), 0, [], []
@@ -119,10 +122,8 @@ def _across(percent: int):
                     break
                 i = at[((lo[at] == hi[at]) | (side[at] != side[at + d])) & (component[at] != component[at + d])]
                 i = i[100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])]
-                same = low[i] == low[i + d]
-                may = same.sum(axis=1) >= least
-                i, same = i[may], same[may]
-                first = same.reshape(len(i), BANDS, ROWS).all(axis=2).argmax(axis=1) if len(i) else i
+                i = i[(low[i] == low[i + d]).sum(axis=1) >= least]
+                first = (checks[i] == checks[i + d]).argmax(axis=1) if len(i) else i
                 for k in i[first == band[i]].tolist():
                     if _linked(sets[k], sets[k + d], percent):
                         a.append(int(cid[k]))
@@ -157,7 +158,7 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     wanted = classes.df.join(members.df.select("cid").distinct(), "cid", "left_semi").select("cid", F.col("rep.id").alias("ri"), F.col("rep.th").alias("rt"))
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("ri")) & (F.col("th") == F.col("rt"))).select("cid", "text")
-    sets = Stored(texts.mapInArrow(steady(_sets), "cid long, shingles binary, low binary").dropDuplicates(["cid"]), "sets")
+    sets = Stored(texts.mapInArrow(steady(_sets), "cid long, shingles binary, low binary, checks binary").dropDuplicates(["cid"]), "sets")
     led = members.df.select("cid", F.explode("leads").alias("lead")).where("cid <> lead")
     pairs = led.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
     both = pairs.join(sets.df.select(F.col("cid").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.df.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), "a")
