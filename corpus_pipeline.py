@@ -42,9 +42,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every document; as many rows as documents, repeats included."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"))
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Encode every document and decode its ids; as many rows as documents, repeats included."""
+    coded = bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: Bytes that the rolling hash sees; a gap is no cut where its lowest KEEP_BITS bits are 0; chunks of a
 #: generation (a worker remembers two), and those encoded in one call.
 WINDOW, KEEP_BITS, REMEMBERED, TOGETHER = 6, 6, 150_000, 256
+#: Ids decoded in one call; a longer text is decoded alone.
+DECODED = 1 << 18
 _TABLE = np.random.default_rng(606).integers(0, 2**32, (WINDOW, 256), dtype=np.uint32)
 
 
@@ -155,16 +158,38 @@ def encode(df: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER) ->
     return _apply(df, text_col, tokenizer, make, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
+def _decoded(ids: list[np.ndarray], tokenizer: str) -> Iterator[str]:
+    """The library's decode(ids, skip_special_tokens=False) of each array of ids."""
+    begin, total = 0, 0
+    for k in range(len(ids) + 1):
+        if k == len(ids) or (k > begin and total + len(ids[k]) > DECODED):
+            yield from coder(tokenizer).tokenizer.decode_batch([i.tolist() for i in ids[begin:k]], skip_special_tokens=False)
+            begin, total = k, 0
+        total += len(ids[k]) if k < len(ids) else 0
+
+
 def decode(df: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
     """df with decoded: the library's decode(ids, skip_special_tokens=False); null ids give the empty string."""
 
     def run(ids: pa.Array) -> pa.Array:
-        texts = coder(tokenizer).tokenizer.decode_batch([i or [] for i in ids.to_pylist()], skip_special_tokens=False)
-        return pa.StructArray.from_arrays([pa.array(texts, pa.string())], ["decoded"])
+        found = [np.zeros(0, np.int32) if i is None else i.values.to_numpy(zero_copy_only=False) for i in (x if x.is_valid else None for x in ids)]
+        return pa.StructArray.from_arrays([pa.array(_decoded(found, tokenizer), pa.string())], ["decoded"])
 
     return with_text_udf(df, ids_col, run, T.StructType([T.StructField("decoded", T.StringType())]))
 
 
+def encode_and_decode(df: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+    """df with ids as encode() gives them, and decoded_sha256 of what decode() makes of these ids; one worker does both."""
+
+    def make(found):
+        ids = [np.frombuffer(i, dtype="<u4").astype(np.int32) for i, _ in found]
+        sha = [hashlib.sha256(t.encode()).hexdigest() for t in _decoded(ids, tokenizer)]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array(sha, pa.string())]
+
+    kinds = [("ids", T.ArrayType(T.IntegerType())), ("decoded_sha256", T.StringType())]
+    return _apply(df, text_col, tokenizer, make, T.StructType([T.StructField(*k) for k in kinds]))
+
+
 def digests(df: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """df with n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256 (of the decoded text)."""
 
