@@ -82,7 +82,7 @@ def _burden(spark, sf):
 
 @register("ghost_fit")
 def _ghost_fit(spark, sf):
-    return _rounded(chains.ghost_fit(_depths(spark, sf), (MU[0], SD[0]), 90.0, 7 * BIN, iterations=3), 4)
+    return _rounded(chains.ghost_fit(_depths(spark, sf), (MU[0], SD[0]), 90.0, 7 * BIN, iterations=50), 4)
 
 
 _W = 'd AS (SELECT sample, "left", "right" - "left" AS w, CASE WHEN event_type <> \'error\' THEN value END AS depth FROM t_m WHERE "left" < "right")'
