@@ -40,10 +40,8 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
-    train = docs.where(fold("doc_id", 7) != 2)
-    counts = Stored(lm.vocabulary(train), "vocabulary").df
-    model = lm.fit(counts, train)
-    return lm.score(docs.withColumn("held_out", fold("doc_id", 7) == 2), counts, model)
+    gathered = Stored(lm.gather(docs.where(fold("doc_id", 7) != 2)), "gathered").df
+    return lm.score(docs.withColumn("held_out", fold("doc_id", 7) == 2), gathered, lm.fit(gathered))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
