@@ -31,16 +31,28 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset (single-machine tests)."""
+    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset and the master is this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} see")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="lociflow-shared-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
+_stored: dict[str, Stored] = {}
+
+
+def drop_stored() -> None:
+    """Delete every table that is still stored; for a long-lived session, once the results that read them are written."""
+    for table in list(_stored.values()):
+        table.drop()
+
+
 class Stored:
     """A DataFrame written to the shared folder: lineage ends here, and a lost executor costs nothing."""
 
@@ -50,9 +62,11 @@ class Stored:
         schema = df.schema
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
+        _stored[self.path] = self
 
     def drop(self) -> None:
         """Delete the files; only once nothing reads them any more."""
+        _stored.pop(self.path, None)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
