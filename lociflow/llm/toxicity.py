@@ -5,9 +5,14 @@ reach `Z` score -DRIFT. A linear scan finds every maximal segment of a text's sc
 clean background say how many segments as good a text of its length has by chance, and a logistic curve fitted on the
 labelled sample turns a text's evidence into a probability.
 
-Null and empty texts have no segment and so the curve's lowest value. Empty tables give empty results; without
-both labels in the sample every score is 0. Copies (texts with the same minimal shingle) are counted once in training.
-Equal segments keep text order. Rows are neither added nor dropped by `score`.
+The words' scores are learned from the whole sample; background statistics and the curve from what each of FOLDS parts of it
+scores with words learned from the other parts, so no text is judged by scores that have seen it.
+
+Null and empty texts have no segment and so the curve's lowest value. Texts are read whole, in time linear in their words. Empty
+tables give empty results; without
+both labels in the sample every score is 0. Copies (texts with the same minimal
+shingle) are counted once in training; elsewhere repeated rows are scored alike. Equal segments keep text order. Rows are
+neither added nor dropped by `score`; input columns named like a new column are replaced.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ SAMPLE_PER_LABEL = 5000
 FLAT, PRIOR, Z, DRIFT, THRESHOLD = 0.25, 500.0, 2.5, 0.1, 0.3
 #: Segments with fewer expected by chance are significant.
 E_VALUE = 0.05
+#: Parts of the sample for the curve.
+FOLDS = 4
 _WORD = re.compile(r"\w+")
 
 
@@ -49,25 +56,26 @@ class Model:
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (begin, end, score), by the linear-time scan over candidates with their left and right sums."""
-    found: list[tuple[int, int, float, float]] = []  # begin, end, sum before, sum to the end
+    """All maximal-scoring segments (begin, end, score) in one scan, linear in the number of scores.
+
+    Each candidate keeps where the nearest one that starts lower is. A search goes along these links; those it
+    passes start no lower than the newcomer, whose own link leads past them, so none is passed twice.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # begin, end, sum before, sum to the end, link
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        begin, left = i, before
-        while found:
-            # the nearest candidate that starts lower; those between can't extend to the left
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= left:
-                k -= 1
-            if k < 0 or found[k][3] >= total:
-                break
-            begin, left = found[k][0], found[k][2]
+        begin, left, k = i, before, len(found) - 1
+        while k >= 0 and found[k][2] >= left:
+            k = found[k][4]
+        while k >= 0 and found[k][3] < total:
+            begin, _, left, _, lower = found[k]
             del found[k:]
-        found.append((begin, i + 1, left, total))
-    return [(a, b, r - left) for a, b, left, r in found]
+            k = lower
+        found.append((begin, i + 1, left, total, k))
+    return [(a, b, r - left) for a, b, left, r, _ in found]
 
 
 def segments(text: str | None, model: Model) -> tuple[int, list[tuple[int, int, float]], int]:
@@ -119,42 +127,51 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str
             yield pa.RecordBatch.from_arrays([batch.column("y"), texts, pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["y", "text", "key"])
 
     rows = known.join(chosen, "i").select("y", "text").mapInArrow(steady(keyed), "y int, text string, key long")
-    kept = Stored(rows.groupBy("key", "y").agg(F.min("text").alias("text")).select("y", "text"), "toxicity-sample")
+    kept = Stored(rows.groupBy("key", "y").agg(F.min("text").alias("text")).select("y", "text", F.pmod(F.xxhash64("key", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-sample")
     rows = kept.df
 
     def counted(batches):
-        counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        counts: dict[tuple[int, int], Counter] = {}
         for batch in batches:
-            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts[y].update(set(_WORD.findall(text.lower())))
-        words = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_pydict({"word": words, "a": [counts[1][w] for w in words], "b": [counts[0][w] for w in words]}, schema=pa.schema([("word", pa.string()), ("a", pa.int64()), ("b", pa.int64())]))
-
-    tallied = Stored(rows.mapInArrow(steady(counted), "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxicity-words")
-    n_a, n_b = (float(v or 0) for v in tallied.df.agg(F.sum("a"), F.sum("b")).first())
-    share = FLAT + PRIOR / max(1.0, n_a + n_b) * (F.col("a") + F.col("b"))
-    odds = tallied.df.select("word", (F.col("a") + share).alias("x"), (F.col("b") + share).alias("y"))
-    odds = odds.withColumn("s", F.ln(F.col("x") / (n_a + PRIOR - F.col("x"))) - F.ln(F.col("y") / (n_b + PRIOR - F.col("y"))))
-    lexicon = odds.where(F.abs(F.col("s")) / F.sqrt(1 / F.col("x") + 1 / F.col("y")) >= Z).select("word", "s", (F.col("y") / (n_b + PRIOR)).alias("p")).orderBy("word").collect()
+            for y, fold, text in zip(*(batch.column(c).to_pylist() for c in ("y", "fold", "text")), strict=True):
+                counts.setdefault((y, fold), Counter()).update(set(_WORD.findall(text.lower())))
+        schema = pa.schema([("word", pa.string()), ("fold", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+        for (y, fold), words in counts.items():
+            n, none = list(words.values()), [0] * len(words)
+            yield pa.RecordBatch.from_pydict({"word": list(words), "fold": [fold] * len(words), "a": n if y else none, "b": none if y else n}, schema=schema)
+
+    tallied = Stored(rows.mapInArrow(steady(counted), "word string, fold int, a long, b long").groupBy("word", "fold").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "toxicity-words")
+
+    def lexicon(without: int) -> Model:
+        seen = tallied.df.where(F.col("fold") != without).groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        n_a, n_b = (float(v or 0) for v in seen.agg(F.sum("a"), F.sum("b")).first())
+        share = FLAT + PRIOR / max(1.0, n_a + n_b) * (F.col("a") + F.col("b"))
+        odds = seen.select("word", (F.col("a") + share).alias("x"), (F.col("b") + share).alias("y"))
+        odds = odds.withColumn("s", F.ln(F.col("x") / (n_a + PRIOR - F.col("x"))) - F.ln(F.col("y") / (n_b + PRIOR - F.col("y"))))
+        found = odds.where(F.abs(F.col("s")) / F.sqrt(1 / F.col("x") + 1 / F.col("y")) >= Z).select("word", "s", (F.col("y") / (n_b + PRIOR)).alias("p")).orderBy("word").collect()
+        rate = _rate(np.array([r.s for r in found] + [-DRIFT]), np.array([r.p for r in found] + [max(1e-9, 1 - sum(r.p for r in found))]))
+        return Model({r.word: r.s for r in found}, rate, 1.0, ())
+
+    whole, drafts = lexicon(-1), [lexicon(k) for k in range(FOLDS)]
     tallied.drop()
-    rate = _rate(np.array([r.s for r in lexicon] + [-DRIFT]), np.array([r.p for r in lexicon] + [max(1e-9, 1 - sum(r.p for r in lexicon))]))
-    draft = Model({r.word: r.s for r in lexicon}, rate, 1.0, ())
 
     def measured(batches):
         for batch in batches:
-            found = [segments(t, draft) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([n for n, _, _ in found], pa.int64()), pa.array([[s for _, _, s in f] for _, f, _ in found], pa.list_(pa.float64())), pa.array([d for _, _, d in found], pa.int64())], ["y", "n", "s", "d"])
+            folds = batch.column("fold").to_pylist()
+            found = [segments(t, drafts[k]) for t, k in zip(batch.column("text").to_pylist(), folds, strict=True)]
+            lists = [pa.array([[s for _, _, s in f] for _, f, _ in found], pa.list_(pa.float64())), pa.array([d for _, _, d in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("fold"), pa.array([n for n, _, _ in found], pa.int64()), *lists], ["y", "fold", "n", "s", "d"])
 
-    got = rows.mapInArrow(steady(measured), "y int, n long, s array<double>, d long").collect()  # as many rows as the sample has
+    got = rows.mapInArrow(steady(measured), "y int, fold int, n long, s array<double>, d long").collect()  # as many rows as the sample has
     kept.drop()
     if len({r.y for r in got}) < 2:
         return Model({}, 1.0, 1.0, (-30.0, 0.0, 0.0, 0.0, 0.0))
     clean = [r for r in got if r.y == 0]
     floor = min((s for r in clean for s in r.s), default=1.0)
-    scale = (sum(len(r.s) for r in clean) + 0.5) / max(1.0, sum(r.n for r in clean) * math.exp(-rate * floor))
-    model = Model(draft.scores, rate, scale, ())
-    x = [_features(r.n, r.s, r.d, model) for r in got]
-    return Model(model.scores, rate, scale, tuple(_logistic(np.array(x), np.array([float(r.y) for r in got])).tolist()))
+    scale = (sum(len(r.s) for r in clean) + 0.5) / max(1.0, sum(r.n * math.exp(-drafts[r.fold].rate * floor) for r in clean))
+    drafts = [Model(d.scores, d.rate, scale, ()) for d in drafts]
+    x = [_features(r.n, r.s, r.d, drafts[r.fold]) for r in got]
+    return Model(whole.scores, whole.rate, scale, tuple(_logistic(np.array(x), np.array([float(r.y) for r in got])).tolist()))
 
 
 def _rate(scores: np.ndarray, shares: np.ndarray) -> float:
