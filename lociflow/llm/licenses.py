@@ -1,26 +1,47 @@
 """License scan: MinHash bands over overlapping text windows find templates, exact shingle containment confirms them.
 
-Windows of WINDOW shingles (of five words) begin every WINDOW / 2 shingles, templates are read in pieces of at most
-WINDOW / 2, so every piece that a text holds lies whole in one window. A piece of one shingle shares one of BANDS one-row
-bands with its window with a chance over 1 - 1e-5, a longer piece with a greater one. A window that holds no piece's least
-shingle under any band can share none, so only windows around such shingles are signed. Whatever is found counts only if the
-text's windows hold at least `percent` of the template's shingles, compared as strings.
+Windows of WINDOW shingles (of five words) begin every WINDOW / 2 shingles, so they overlap by half. Every window of every text is
+signed: under each of PERMUTATIONS permutations its shingles fall into BINS bins, and each bin's least value is a band of one
+row. A template is read in pieces of one shingle, so a window meets it in a band as soon as it holds one of its shingles that is the least of
+its bin. Of 16 shingles in 256 bins one isn't the least with a chance of 3 %; as nearly every shingle lies in two windows and all are
+under two permutations, a shingle that a text shares with a template is missed with a chance under 1e-6 (1e-3 in the first and last half window).
+Whatever is found counts only if the windows found hold at least `percent` of the template's shingles, compared as strings.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, lower-cased. Null and short texts hold no
-template. A text gives one row per template, repeated rows one each; ties can't arise. Empty tables give empty results.
-Only DataFrame functions are used.
+template; texts of any length are read whole. A text gives one row per template, repeated rows one each; ties can't arise. Empty
+tables give empty results. Input columns but id and text aren't read, so their names don't matter; the id column comes back under its
+own name, which may not be one of the new columns' names. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, PERCENT = 5, 75
-WINDOW, BANDS = 16, 192
+WINDOW, BINS, PERMUTATIONS = 16, 256, 2
+#: Templates up to so many characters in all are broadcast, and joined by a shuffle beyond.
+FEW_CHARACTERS = 4_000_000
 _GAP = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
-#: The words by which texts state their licence.
+_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS
+BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution. """
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE
+COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING,
+BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+#: The words by which texts state their licence, and whole licence texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -32,6 +53,26 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. """ + _WARRANTY,
+    "BSD-2-Clause-text": _BSD + _BSD_END,
+    "BSD-3-Clause-text": _BSD + """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission. """ + _BSD_END,
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided
+that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS
+ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any
+damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
 }
 
 
@@ -39,7 +80,7 @@ def _words(text: Column) -> Column:
     return F.split(F.lower(F.coalesce(text, F.lit(""))), _GAP)
 
 
-def _let(value: Column, body) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, wherever the optimizer moves the whole."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -49,49 +90,61 @@ def _places(words: Column) -> Column:
     return F.when(F.size(words) >= WIDTH, F.sequence(F.lit(0), F.size(words) - WIDTH)).otherwise(F.array().cast("array<int>"))
 
 
-def _hash(words: Column, at: Column) -> Column:
-    return F.xxhash64(*[F.get(words, at + k) for k in range(WIDTH)])
+def _hashes(words: Column) -> Column:
+    return F.transform(_places(words), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WIDTH)]))
 
 
 def _shingle(words: Column, at: Column) -> Column:
     return F.array_join(F.slice(words, at + 1, F.lit(WIDTH)), " ")
 
 
-def _bands(shingles: Column) -> Column:
-    """The least value of each band's hash over the shingles."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k))))
+def _permuted(hashes: Column, k: int) -> Column:
+    """The values of hashes under permutation k; the top byte is a value's bin, the lowest bits tell k."""
+    return F.transform(hashes, lambda h: F.shiftleft(F.shiftright(F.xxhash64(h, F.lit(k)), PERMUTATIONS), PERMUTATIONS).bitwiseOR(F.lit(1 << k)))
+
+
+def _least(values: Column) -> Column:
+    """The least value of each bin."""
+    bin_of = lambda v: F.shiftrightunsigned(v, 64 - (BINS - 1).bit_length())
+    return _let(F.sort_array(values), lambda o: F.filter(o, lambda v, i: (i == 0) | (bin_of(v) != bin_of(F.get(o, i - 1)))))
+
+
+def _bands(hashes: Column) -> Column:
+    """A window's bands under all permutations."""
+    return F.concat(*[_least(_permuted(hashes, k)) for k in range(PERMUTATIONS)])
+
 
+def _windows(words: Column) -> Column:
+    """(first shingle, bands) of each window of a text."""
+    half = WINDOW // 2
+
+    def signed(hashes: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(hashes) / F.lit(half)).cast("int") - 2)
+        begins = F.when(F.size(hashes) > 0, F.transform(F.sequence(F.lit(0), last), lambda j: j * half)).otherwise(F.array().cast("array<int>"))
+        return F.transform(begins, lambda j: F.struct(j.alias("begin"), _let(F.slice(hashes, j + 1, F.lit(WINDOW)), _bands).alias("bands")))
+
+    return _let(_hashes(words), signed)
 
-def _pieces(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license_id, shingles of the whole template, shingles and hashes of the piece): few rows, as many as the templates give."""
+
+def _table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """(license_id, n, s, h): a row for each distinct shingle of a template; n of them in all."""
     table = spark.createDataFrame([(k, v) for k, v in templates.items()], "license_id string, text string")
     words = F.filter(_words(F.col("text")), lambda w: w != "")
-    table = table.select("license_id", words.alias("w")).where(F.size("w") >= WIDTH)
-    table = table.select("license_id", F.array_distinct(F.transform(_places(F.col("w")), lambda i: F.struct(_shingle(F.col("w"), i).alias("s"), _hash(F.col("w"), i).alias("h")))).alias("all"))
-    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(WINDOW // 2))
-    return table.select("license_id", F.col("all.s").alias("whole"), F.explode(F.transform(starts, lambda i: F.slice("all", i + 1, F.lit(WINDOW // 2)))).alias("piece"))
+    table = table.select("license_id", words.alias("w")).select("license_id", F.arrays_zip(F.transform(_places(F.col("w")), lambda i: _shingle(F.col("w"), i)).alias("s"), _hashes(F.col("w")).alias("h")).alias("all"))
+    return table.select("license_id", F.size(F.array_distinct("all")).alias("n"), F.explode(F.array_distinct("all")).alias("x")).select("license_id", "n", "x.s", "x.h")
 
 
 def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
     """(id, license_id, n_shingles of the template, n_matched, containment) of each template that a text holds."""
-    spark = df.sparkSession
-    pieces = _pieces(spark, TEMPLATES if templates is None else templates)
-    bands = pieces.select("license_id", F.posexplode(_bands(F.col("piece.s"))).alias("k", "v")).distinct()
-    least = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.array_min(F.transform("piece", lambda p: F.struct(F.xxhash64(p["s"], k), p["h"].alias("h"))))["h"])
-    anchors = sorted(r.h for r in pieces.select(F.explode(F.array_distinct(least)).alias("h")).distinct().collect())
-    half = WINDOW // 2
-
-    def windows(words: Column) -> Column:
-        hits = F.filter(_places(words), lambda i: _hash(words, i).isin(anchors))
-        near = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array(F.floor(i / half).cast("int") - 1, F.floor(i / half).cast("int")))))
-        end = lambda j: F.least(j * half + WINDOW, F.size(words) - WIDTH + 1) - 1
-        return F.transform(F.filter(near, lambda j: j >= 0), lambda j: F.transform(F.sequence(j * half, end(j)), lambda i: _shingle(words, i)))
-
-    texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = texts.select("row", "id", F.explode(_let(_words(F.col("text")), windows)).alias("window"))
-    signed = rows.select("row", "id", "window", F.posexplode(_bands(F.col("window"))).alias("k", "v"))
-    found = signed.join(F.broadcast(bands), ["k", "v"]).select("row", "id", "license_id", "window").distinct()
-    whole = pieces.select("license_id", "whole").distinct()
-    held = found.join(F.broadcast(whole), "license_id").select("row", "id", "license_id", F.size("whole").alias("n"), F.explode(F.array_intersect("window", "whole")).alias("s"))
-    counted = held.distinct().groupBy("row", "id", "license_id", "n").agg(F.count(F.lit(1)).alias("m")).where(100 * F.col("m") >= percent * F.col("n"))
+    templates = TEMPLATES if templates is None else templates
+    few = F.broadcast if sum(map(len, templates.values())) <= FEW_CHARACTERS else lambda table: table
+    table = _table(df.sparkSession, templates)
+    bands = table.select(F.explode(F.concat(*[_permuted(F.array("h"), k) for k in range(PERMUTATIONS)])).alias("band"), "license_id").distinct()
+    texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), _words(F.col(f"`{text_col}`")).alias("words"))
+    windows = texts.select("row", "id", "words", F.explode(_windows(F.col("words"))).alias("w"))
+    signed = windows.select("row", "id", "words", F.col("w.begin").alias("begin"), F.explode("w.bands").alias("band"))
+    held = F.slice("words", F.col("begin") + 1, F.lit(WINDOW + WIDTH - 1))
+    found = signed.join(few(bands), "band").select("row", "id", "license_id", held.alias("words")).distinct()
+    shingles = found.select("row", "id", "license_id", F.explode(F.transform(_places(F.col("words")), lambda i: _shingle(F.col("words"), i))).alias("s")).distinct()
+    counted = shingles.join(few(table.select("license_id", "n", "s")), ["license_id", "s"]).groupBy("row", "id", "license_id", "n").agg(F.count(F.lit(1)).alias("m")).where(100 * F.col("m") >= percent * F.col("n"))
     return counted.select(F.col("id").alias(id_col), "license_id", F.col("n").cast("long").alias("n_shingles"), F.col("m").alias("n_matched"), (F.col("m") / F.col("n")).alias("containment"))
