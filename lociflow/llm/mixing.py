@@ -5,8 +5,9 @@ their sizes cut each source at its exact budget, whole epochs first. The keys ar
 equal width are balanced range partitions of any source, however large: sizes are summed by (source, range), the ranges'
 sums are accumulated by source, and only inside a range are documents sorted.
 
-A null text has size 0 and takes nothing; a null source is a source of its own, last in order. Documents with equal
-keys follow by id, then size, so repeated rows share a cut in one defined way. Empty tables give empty results.
+A null text has size 0 and takes nothing; texts of any length are counted whole; a null source is a source of its own, last in order.
+Documents with equal keys follow by id, then size, so repeated rows share a cut in one defined way. Empty tables give empty results.
+Input columns named like a new column are replaced.
 """
 
 from __future__ import annotations
@@ -47,14 +48,14 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     return rows.select("source", F.col("source_size").cast("long").alias("source_size"), F.when(F.col("stops") | level.isNull(), F.col("cap")).otherwise(F.col("w") * level).alias("target"))
 
 
-def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(df: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, range_rows: int = RANGE_ROWS, size: Column | None = None) -> DataFrame:
     """df with size, source_size, target (its source's) and taken (words the mix takes, repeats counted); columns of df with these names are replaced.
 
-    The cut falls inside a document where the budget does: in the last epoch `taken` is then a part of its size.
+    size: where the sizes stand already, so the texts (read several times otherwise) aren't needed. The cut falls inside a document where the budget does: in the last epoch `taken` is then a part of its size.
     """
     names = [c for c in df.columns if c not in ("size", "source_size", "target", "taken")]
     key = F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
-    rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source_col}`").alias("__source"), F.col(f"`{id_col}`").alias("__id"), size_of(F.col(f"`{text_col}`")).alias("size"), key.alias("__key"))
+    rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{source_col}`").alias("__source"), F.col(f"`{id_col}`").alias("__id"), (size_of(F.col(f"`{text_col}`")) if size is None else size).alias("size"), key.alias("__key"))
     totals = rows.groupBy("__source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / F.lit(range_rows)).alias("__ranges"))
     goals = targets(totals.select(F.col("__source").alias("source"), "source_size"), weights, most)
     plan = goals.join(totals.select(F.col("__source"), "__ranges"), F.col("source").eqNullSafe(F.col("__source"))).select(F.col("source").alias("__planned"), "source_size", "target", "__ranges")
@@ -81,11 +82,13 @@ def repeated(df: DataFrame, text_col: str = "text", source_col: str = "source",
     its epochs and the last document before its cut.
     """
     key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.col(f"`{text_col}`").alias("text"))
-    mixed = mix(narrow, "text", "source", "id", **options)
+    narrow = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size_of(F.col(f"`{text_col}`")).alias("words"))
+    narrow = Stored(narrow, "sizes")
+    mixed = mix(narrow.df, "", "source", "id", size=F.col("words"), **options)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0))
     part = F.col("taken") > epochs * F.col("size")
     cuts = Stored(mixed.groupBy(F.col("source").alias("__source")).agg(F.max(epochs).cast("int").alias("__epochs"), F.max(F.when(part, F.struct(key.alias("k"), F.col("id").alias("i"), F.col("size").alias("z")))).alias("__cut")), "cuts").df
+    narrow.drop()
     if cuts.count() <= FEW_SOURCES:
         cuts = F.broadcast(cuts)
     size = size_of(F.col(f"`{text_col}`"))

@@ -25,7 +25,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = _documents(spark, sf_dir, "doc_id", "source", "text")
+    sizes = Stored(docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("words")), "sizes").df  # texts are read once
+    return mixing.mix(sizes, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
