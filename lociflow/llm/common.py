@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,20 +76,3 @@ def per_class_sample(df: DataFrame, class_col: str, id_col: str, bound: int) ->
     """
     share = df.groupBy(class_col).agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count(F.lit(1))).alias("__share"))
     return df.join(F.broadcast(share), class_col).where(spread(id_col, 7) < F.col("__share")).drop("__share")
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of whole groups of equal (key, lo, hi) from sorted batches; a group has at most two blocks."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        columns = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
-        last = np.ones(table.num_rows, dtype=bool)
-        for c in columns:
-            last &= c == c[-1]
-        cut = table.num_rows - int(last.sum())
-        held = table.slice(cut).combine_chunks().to_batches()[0] if table.num_rows else None
-        if cut:
-            yield table.slice(0, cut).combine_chunks().to_batches()[0]
-    if held is not None:
-        yield held

@@ -8,16 +8,25 @@ from pyspark.sql import functions as F
 from lociflow.cluster import Stored
 
 
+#: Parts that the links of one node are dealt to.
+PARTS = 128
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """(u, v) with m, the smallest v of the same u. A node with many links is spread over PARTS keys both times: first each
+    part's least is taken, then the parts' leasts, at most PARTS a node, and these go back to the parts that have links."""
+    parted = links.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    least = parted.groupBy("u", "part").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
+    return parted.join(least.select("u", "m", F.explode("parts").alias("part")), ["u", "part"]).select("u", "v", "m")
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Hang each node's larger neighbours (small: the others, and itself) on the smallest node near it."""
     if small:
-        near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = near.groupBy("u").agg(F.min("v").alias("m"))
-        hung = near.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
-    near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        near = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        return near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(near.select("u", F.col("m").alias("v"))).distinct()
+    near = _with_least(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:

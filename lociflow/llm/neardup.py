@@ -4,7 +4,7 @@ Two permutations make the whole signature: the first spreads the shingles over t
 shifted by k places, gives coordinate k. BANDS bands of ROWS coordinates miss a pair at the threshold with a chance
 under 1e-5. Texts with equal shingle sets are one class from the start. The classes of a bucket are compared on their
 full sets with a few leaders of it; where a bucket still holds several components, all its pairs across components are
-estimated from the signatures, block by block, and those that may reach the threshold (their estimate is above it less SLACK,
+estimated from the signatures, block by block (a block's full sets have about BLOCK_BYTES; one larger set is a block of its own), and those that may reach the threshold (their estimate is above it less SLACK,
 over four standard deviations) are compared on their full sets there, each pair in the first band it shares, as 32 bits of
 each band's key tell (another band agrees in them by chance in 1.4e-8 of the pairs). Only links leave
 the tasks, so no group is paired with itself as a whole.
@@ -25,14 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored, ship
+from lociflow.functions.groups import whole_groups
+from lociflow.llm.common import steady
 from lociflow.llm.components import connected_components
-from lociflow.llm.common import steady, whole_groups
 from lociflow.llm.text import Words, mix, shingles, slices
 
 WIDTH, PERCENT = 5, 75
 ROWS, BANDS = 6, 60
-#: Leaders of a bucket; classes of a block; what an estimate may lack to the threshold.
-LEADERS, BLOCK, SLACK = 2, 1024, 0.1
+#: Leaders of a bucket; classes of a block and bytes of their sets, about; what an estimate may lack to the threshold.
+LEADERS, BLOCK, BLOCK_BYTES, SLACK = 2, 512, 1 << 24, 0.1
 _PLACES, _BLOCK = 1 << 22, 2048
 _MASKS = np.random.default_rng(23).integers(1, 2**62, LEADERS - 1).tolist()
 _SALTS = np.random.default_rng(22).integers(1, 2**63, ROWS + 1, dtype=np.uint64) | np.uint64(1)
@@ -107,7 +108,7 @@ def _across(percent: int):
     least = int((floor + (1 - floor) / 256) * ROWS * BANDS)
 
     def run(batches):
-        for batch in whole_groups(batches):
+        for batch in whole_groups(batches, ["key", "lo", "hi"]):
             key, lo, hi, side, cid, component, n, band = (batch.column(c).to_numpy() for c in ("key", "lo", "hi", "side", "cid", "component", "n", "band"))
             low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(len(cid), -1)
             checks = np.frombuffer(b"".join(batch.column("checks").to_pylist()), np.uint32).reshape(len(cid), BANDS)
@@ -166,9 +167,14 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     first = Stored(connected_components(links.df, "a", "b"), "components")
 
     placed = members.df.select("key", "band", "cid", "n", "m").join(first.df.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    rest = placed.join(several, "key").withColumn("side", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # a bucket's largest component is not compared with itself: its blocks meet those of the others only
+    sized = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(8 * F.col("n")).alias("b"))
+    sized = sized.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max(F.struct("c", "component", "b"))["b"].alias("mb"), F.max("c").alias("mc"), F.sum("c").alias("c"), F.sum("b").alias("b")).where("mc < c")
+    blocks = lambda count, size: F.greatest(F.ceil(count / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    sized = sized.select("key", "main", blocks(F.col("mc"), F.col("mb")).alias("mains"), blocks(F.col("c") - F.col("mc"), F.col("b") - F.col("mb")).alias("others"))
+    inner, spot = F.col("component") == F.col("main"), F.xxhash64("cid")
+    rest = placed.join(sized, "key").withColumn("side", F.when(inner, F.pmod(spot, F.col("mains"))).otherwise(F.col("mains") + F.pmod(spot, F.col("others"))).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.when(inner, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("others") - 1)))
     rest = rest.select("key", "band", "cid", "n", "component", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     rest = rest.join(sets.df, "cid").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "side", "cid")
     across = Stored(rest.mapInArrow(steady(_across(percent)), "a long, b long"), "links-across")

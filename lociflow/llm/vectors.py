@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored, ship
+from lociflow.functions.groups import whole_groups
+from lociflow.llm.common import steady
 from lociflow.llm.components import connected_components
-from lociflow.llm.common import steady, whole_groups
 from lociflow.llm.text import mix
 
 COSINE, BITS, BANDS, BLOCK = 0.98, 16, 32, 512
@@ -128,7 +129,7 @@ def _linked(threshold: float):
         return rows[i], rows[j], counted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_groups(batches):
+        for batch in whole_groups(batches, ["key", "lo", "hi"]):
             parts = [compare(batch, rows, vectors) for _, rows, vectors in _by_length(batch.column("v"))]  # a group's vectors have one length
             i, j, counted = (np.concatenate([p[k] for p in parts]) for k in range(3))
             cid, n = batch.column("cid").to_numpy(), batch.column("n").to_numpy()
