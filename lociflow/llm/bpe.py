@@ -1,12 +1,16 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash of the bytes before each gap between words decides where a text is cut, so equal passages of different
-texts give equal chunks. A worker encodes each distinct chunk once and reuses it; where two chunks meet in a way that could
-read differently together (a mark that combines with what stands before it), both are encoded again as one, and the
-chunks stay apart only if that agrees exactly. The tokenizer drops white space, so all other joins are exact.
-
-Null and empty texts have no ids and decode to the empty string. Special tokens written in a text are read as the
-library reads them. A text without gaps is one chunk. Rows are neither added nor dropped; empty tables give empty results.
+A rolling hash of the bytes before each gap between words decides where a text is cut, on two scales: chunks of some eight words, and
+inside them pieces of one or few words. Equal passages of different texts give equal chunks. A worker keeps the chunks it has met more than
+once and takes their ids from memory; the other chunks are put together from their pieces, each of which is encoded once and kept too.
+Where two pieces meet in a way that could read differently together (a mark that combines with what stands before it), both are encoded
+again as one, and so on towards the start of the text until the pieces agree exactly with what they give together. The
+tokenizer drops white space, so all other joins are exact.
+
+What a worker keeps is bounded: pieces and chunks of two generations each, and a table of fixed size that tells what was met
+before. Null and empty texts have no ids and decode to the empty string. Special tokens written in a text are read as the library
+reads them. A text without gaps is one chunk; texts of any length are read whole. Rows are neither added nor dropped, repeated rows are
+coded alike, ties can't arise; empty tables give empty results. Input columns named like a new column are replaced.
 """
 
 from __future__ import annotations
@@ -25,16 +29,18 @@ from lociflow.llm.common import with_text_udf
 from lociflow.llm.text import Words, buffers, slices
 
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes that the rolling hash sees; a gap is no cut where its lowest KEEP_BITS bits are 0; chunks of a
-#: generation (a worker remembers two), and those encoded in one call.
-WINDOW, KEEP_BITS, REMEMBERED, TOGETHER = 6, 6, 150_000, 256
+#: Bytes that the rolling hash sees; a gap is no cut of pieces where its lowest KEEP_BITS bits are 0, and one of chunks where
+#: also the next CHUNK_BITS bits are 0.
+WINDOW, KEEP_BITS, CHUNK_BITS = 6, 6, 3
+#: Pieces and chunks of a generation (a worker keeps two); bits (as a power of two) of the table of chunks met; pieces encoded in one call.
+PIECES, CHUNKS, MET_POWER, TOGETHER = 150_000, 60_000, 25, 256
 #: Ids decoded in one call; a longer text is decoded alone.
 DECODED = 1 << 18
 _TABLE = np.random.default_rng(606).integers(0, 2**32, (WINDOW, 256), dtype=np.uint32)
 
 
 class Coder:
-    """One worker's tokenizer and the chunks it has encoded."""
+    """One worker's tokenizer and the pieces and chunks it has encoded."""
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,6 +56,10 @@ class Coder:
         self.words = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, tuple[bytes, bytes]] = {}
         self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        self.shared: dict[bytes, tuple[bytes, bytes]] = {}
+        self.passed: dict[bytes, tuple[bytes, bytes]] = {}
+        self.met = bytearray(1 << (MET_POWER - 3))
+        self.reused = 0
 
     def _encode(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, their decoded text) of each chunk."""
@@ -66,7 +76,7 @@ class Coder:
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
         """A table that holds the chunks. Once a generation is full, only what is used again outlives the next."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > PIECES:
             self.known, self.older = {}, self.known
         missing = [c for c in chunks if c not in self.known]
         for c in missing:
@@ -80,44 +90,71 @@ class Coder:
         apart, joined = self._encode([left, right]), self._encode([left + gap + right])[0]
         return apart[0][0] + apart[1][0] == joined[0]
 
+    def _chunk(self, key: bytes, parts: list[bytes]) -> tuple[bytes, bytes]:
+        """A chunk of known pieces, kept from the second time on."""
+        found = [self.known[p] for p in parts if p]
+        made = b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
+        spot = hash(key) & ((1 << MET_POWER) - 1)
+        if self.met[spot >> 3] >> (spot & 7) & 1:
+            if len(self.shared) > CHUNKS:
+                self.shared, self.passed = {}, self.shared
+            self.shared[key] = made
+        else:
+            self.met[spot >> 3] |= 1 << (spot & 7)
+        return made
+
     def texts(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
         """(ids, decoded text) of each text; see _encode."""
         words, (raw, offs) = Words(texts), buffers(texts)
-        cut = _cuts(words, raw, offs)
+        cut, far = _cuts(words, raw, offs)
         data = raw.tobytes()
         starts = words.starts[cut]
         ends = words.ends[np.append(np.flatnonzero(cut)[1:], len(words)) - 1] if len(starts) else starts
-        of = np.searchsorted(starts, offs)
+        floor = np.searchsorted(starts, offs)
         for k in np.flatnonzero(raw[starts] >= 0xCC) if len(starts) else ():
-            if k > of[np.searchsorted(of, k, side="right") - 1]:
-                self._repair(data, starts, ends, int(k))
-        spans = [(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        chunks = [data[a:b] for a, b in spans]
-        known = self.learn(set(chunks))
-        out = []
-        for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
-            parts = [known[c] for c in chunks[a:b] if c]
-            out.append((b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[1]])))
+            self._repair(data, starts, ends, int(k), int(floor[np.searchsorted(floor, k, side="right") - 1]))
+        first = np.flatnonzero(far[cut])
+        borders = np.append(first, len(starts)).tolist()
+        begin, end = starts.tolist(), ends.tolist()
+        keys, made, missing = [], [], []
+        for i, j in zip(borders[:-1], borders[1:], strict=True):
+            key = data[begin[i] : end[j - 1]]
+            got = self.shared.get(key) or self.passed.get(key)
+            if got is None:
+                missing.append(len(keys))
+            else:
+                self.reused += 1
+            keys.append(key)
+            made.append(got)
+        parts = {k: [data[a:b] for a, b in zip(begin[borders[k] : borders[k + 1]], end[borders[k] : borders[k + 1]], strict=True)] for k in missing}
+        self.learn({p for some in parts.values() for p in some if p})
+        for k, some in parts.items():
+            made[k] = self._chunk(keys[k], some)
+        of, out = np.searchsorted(starts[first], offs).tolist() if len(first) else [0] * len(offs), []
+        for a, b in zip(of[:-1], of[1:], strict=True):
+            out.append((b"".join([m[0] for m in made[a:b]]), b" ".join([m[1] for m in made[a:b] if m[1]])))
         return out
 
-    def _repair(self, data: bytes, starts: np.ndarray, ends: np.ndarray, k: int) -> None:
-        """Join chunk k to the one before if they read differently together; the chunk joined is left empty."""
-        first = data[starts[k] : ends[k]].decode("utf-8", "replace")[:1]
-        if not first or unicodedata.category(first)[0] != "M":
+    def _repair(self, data: bytes, starts: np.ndarray, ends: np.ndarray, k: int, floor: int) -> None:
+        """Join piece k to the one before while they read differently together; a piece joined is left empty."""
+        text = data[starts[k] : ends[k]].decode("utf-8", "replace")[:1]
+        if not text or unicodedata.category(text)[0] != "M":
             return
-        j = k - 1
-        while j > 0 and starts[j] == ends[j]:
-            j -= 1
-        if not self.agree(data[starts[j] : ends[j]], data[ends[j] : starts[k]], data[starts[k] : ends[k]]):
+        while k > floor:
+            j = k - 1
+            while j > floor and starts[j] == ends[j]:
+                j -= 1
+            if starts[j] == ends[j] or self.agree(data[starts[j] : ends[j]], data[ends[j] : starts[k]], data[starts[k] : ends[k]]):
+                return
             ends[j] = ends[k]
-            starts[k] = ends[k]
+            starts[k : k + 1] = ends[k]
+            k = j
 
 
-def _cuts(words: Words, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """True for each word that begins a chunk: every text's first, and those with enough hash bits before them."""
-    cut = np.zeros(len(words), dtype=bool)
+def _cuts(words: Words, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begins a piece, begins a chunk) for each word: every text's first word, and those with the right hash bits before them."""
     if not len(words):
-        return cut
+        return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
     owner = np.repeat(np.arange(words.n_texts), words.counts)
     floor = offs[:-1][owner]
     last = np.concatenate([[0], words.ends[:-1]])  # the end of the word before
@@ -125,9 +162,11 @@ def _cuts(words: Words, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     for k in range(WINDOW):
         at = last - 1 - k
         rolled ^= np.where(at >= floor, _TABLE[k][raw[np.maximum(at, 0)]], 0).astype(np.uint32)
-    cut[:] = (rolled & np.uint32((1 << KEEP_BITS) - 1)) != 0
-    cut[words.of[:-1][words.counts > 0]] = True
-    return cut
+    cut = (rolled & np.uint32((1 << KEEP_BITS) - 1)) != 0
+    far = cut & (((rolled >> np.uint32(KEEP_BITS)) & np.uint32((1 << CHUNK_BITS) - 1)) == 0)
+    begin = words.of[:-1][words.counts > 0]
+    cut[begin] = far[begin] = True
+    return cut, far
 
 
 _coders: dict[str, Coder] = {}
