@@ -3,7 +3,10 @@
 The reader handles both byte orders, strips and tiles, no compression, PackBits, LZW and deflate, horizontal
 differencing of 8-bit samples, one or more interleaved samples a pixel, and gives one row per page. A null file has no
 page; a damaged file gives the pages before the damage and then one row with `error` set and null pixels. Directory
-loops and sizes beyond MAX_PAGE_BYTES count as damage. Empty tables give empty results; repeated rows are decoded alike.
+loops and pages of more pixels than their data can hold in their compression count as damage, so what a damaged header asks for is
+never allocated; pages of any size are decoded. Empty tables give empty results; repeated rows are decoded alike; ties can't arise. A
+text of any length is written and read whole. Input columns named like a new column are replaced: in read_pages also
+those called `page`, `pages` and like the file column, which doesn't come back.
 """
 
 from __future__ import annotations
@@ -25,8 +28,11 @@ from lociflow.llm.common import with_text_udf
 
 #: Payloads are padded with 255 to a positive multiple of UNIT; a page holds PAGE_ROWS rows of WIDTH samples.
 UNIT, WIDTH, PAGE_ROWS = 576, 96, 24
-MAX_PAGE_BYTES = 1 << 28
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Bytes that a byte of data can stand for at most.
+MOST = {NONE: 1, LZW: 2731, DEFLATE: 1033, OLD_DEFLATE: 1033, PACKBITS: 64}
+#: What reading a damaged file can raise.
+DAMAGE = (ValueError, KeyError, IndexError, TypeError, OverflowError, ZeroDivisionError, MemoryError, struct.error, zlib.error)
 #: (compression, predictor, rows of a strip or None, (width, height) of a tile or None), by page number in turn.
 LAYOUTS = ((DEFLATE, 2, 12, None), (PACKBITS, 1, 6, None), (DEFLATE, 1, None, (32, 16)), (LZW, 2, 24, None))
 
@@ -197,7 +203,7 @@ def write(payload: bytes, layouts=LAYOUTS) -> bytes:
 
 
 def pages(file: bytes) -> Iterator[Page]:
-    """Walk the image directories of a TIFF; ValueError, struct.error or zlib.error where it is damaged."""
+    """Walk the image directories of a TIFF; one of DAMAGE where it is damaged."""
     order = {b"II": "<", b"MM": ">"}.get(file[:2])
     if order is None or struct.unpack_from(order + "H", file, 2)[0] != 42:
         raise ValueError("no TIFF header")
@@ -223,14 +229,19 @@ def pages(file: bytes) -> Iterator[Page]:
 def _page(file: bytes, tags: dict[int, tuple[int, ...]]) -> Page:
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
     width, height, samples, compression, predictor = one(256), one(257), one(277, 1), one(259, NONE), one(317, 1)
-    if not width or not height or width * height * samples > MAX_PAGE_BYTES or set(tags.get(258, (1,))) != {8} or predictor not in (1, 2) or (samples > 1 and one(284, 1) != 1):
+    if not width or not height or not samples or set(tags.get(258, (1,))) != {8} or predictor not in (1, 2) or (samples > 1 and one(284, 1) != 1):
         raise ValueError("unsupported or damaged directory")
     tiled = 324 in tags
     w, h = (one(322), one(323)) if tiled else (width, min(one(278, height), height))
+    if not w or not h:
+        raise ValueError("no strip or tile size")
     offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
     across, down = -(-width // w), -(-height // h)
     if len(offsets) < across * down or len(sizes) < across * down:
         raise ValueError("too few strips or tiles")
+    held = sum(len(range(o, min(o + n, len(file)))) for o, n in zip(offsets, sizes, strict=False))
+    if width * height * samples > held * MOST.get(compression, 0):
+        raise ValueError("more pixels than the data can hold")
     out = np.zeros((height, width * samples), np.uint8)
     for k in range(across * down):
         y, x = k // across * h, k % across * w
@@ -268,7 +279,7 @@ def read_pages(df: DataFrame, media_col: str = "media") -> DataFrame:
         try:
             for p in pages(file) if file is not None else ():
                 out.append({"page": len(out), "width": p.width, "height": p.height, "samples": p.samples, "compression": p.compression, "predictor": p.predictor, "tiled": p.tiled, "pixels": p.pixels.tobytes()})
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+        except DAMAGE as e:
             out.append({"page": len(out), "error": str(e) or type(e).__name__})
         return out
 
@@ -294,14 +305,16 @@ def digests(df: DataFrame, text_col: str = "text") -> DataFrame:
     kinds = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
 
     def run(texts: pa.Array) -> pa.Array:
+        texts = texts.dictionary_encode()
         rows = []
-        for text in texts:
-            data = (text.as_py() or "").encode()
+        for text in [*texts.dictionary, pa.scalar("")]:  # equal texts once; null counts as the last
+            data = text.as_py().encode()
             media = write(pad(data))
             found = list(pages(media))
             back = b"".join(p.pixels.tobytes() for p in found)
             rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(found)))
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(7)], [k for k, _ in kinds])
+        made = pa.StructArray.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(7)], [k for k, _ in kinds])
+        return made.take(texts.indices.fill_null(len(rows) - 1))
 
     return with_text_udf(df, text_col, run, T.StructType([T.StructField(*k) for k in kinds]))
