@@ -1,12 +1,13 @@
 """URL filter with a weighted vocabulary.
 
 An Aho-Corasick automaton finds every term in the lower-cased URL; a hit counts where neither neighbour is a letter or
-digit. One strict term rejects; so do soft terms whose distinct weights add up to the limit. Rules on host and path
+digit. One strict term rejects; so do several distinct soft terms whose weights add up to the limit; a term that repeats counts once. Rules on host and path
 prefixes come first: the longest rule that fits decides.
 
 Null URLs and URLs without `://` have an empty host and path; the vocabulary still reads the whole URL (a null one has
-no hit). Empty tables give empty results; repeated rows are judged alike. Two rules of the same length that both fit are
-the same rule, so no tie remains.
+no hit). Empty tables give empty results; repeated rows are judged alike; a URL of any length is read whole. Two rules of the same
+length that both fit are the same rule, so no tie remains. Input columns named like a new column are replaced; the
+URL column may not have such a name.
 """
 
 from __future__ import annotations
@@ -19,9 +20,23 @@ from pyspark.sql import types as T
 
 from lociflow.llm.common import LOWER, UPPER, with_text_udf
 
-STRICT = ("spam-farm", "casino", "porn", "xxx", "warez", "malware", "phishing", "viagra")
-SOFT = {"free": 1, "win": 1, "bonus": 1, "cheap": 1, "click": 1, "adult": 1, "crack": 1, "torrent": 1, "bet": 1, "pills": 1, "loan": 1, "ads": 1, "promo": 1, "spam": 1}
-SOFT_LIMIT = 2
+#: Terms of which one rejects.
+STRICT = (
+    "spam-farm", "spamfarm", "link-farm", "casino", "casinos", "porn", "porno", "pornhub", "xxx", "xvideos", "hentai", "camgirl", "camgirls", "nsfw",
+    "milf", "escorts", "hookup", "hookups", "warez", "keygen", "keygens", "nulled", "malware", "phishing", "ransomware", "botnet", "carding", "viagra",
+    "cialis", "levitra", "slots", "jackpot", "roulette", "blackjack", "sportsbook", "betting", "payday-loan", "payday-loans",
+)
+#: Terms that add to a URL's weight, each once: 1 where good pages use it too, 3 where they seldom do.
+SOFT = {
+    "free": 1, "win": 1, "bonus": 2, "cheap": 2, "click": 1, "adult": 2, "sex": 3, "sexy": 3, "nude": 3, "dating": 2, "singles": 2, "crack": 2,
+    "cracked": 3, "serial": 1, "torrent": 2, "torrents": 2, "magnet": 1, "download": 1, "bet": 2, "bets": 2, "poker": 3, "lottery": 2, "lotto": 3,
+    "pills": 3, "pharmacy": 2, "drugs": 2, "weightloss": 3, "diet": 1, "loan": 2, "loans": 2, "credit": 1, "insurance": 1, "forex": 3, "crypto": 1,
+    "airdrop": 3, "ads": 1, "ad": 1, "adserver": 3, "doubleclick": 2, "tracker": 1, "popup": 2, "promo": 1, "promocode": 2, "coupon": 1, "coupons": 1,
+    "deal": 1, "deals": 1, "discount": 1, "sale": 1, "replica": 3, "outlet": 1, "spam": 2, "seo": 1, "backlinks": 3, "followers": 2, "winner": 2,
+    "prize": 2, "giveaway": 2, "sweepstakes": 3, "clickbait": 3, "earn": 1, "rich": 1, "millionaire": 2, "mlm": 3,
+}
+#: Weight from which soft terms reject, which no term has alone.
+SOFT_LIMIT = 4
 #: (verdict, host, path) of the rules that come before the vocabulary.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
