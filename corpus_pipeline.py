@@ -1,7 +1,9 @@
 """A tokenized training corpus from raw documents, in five stages; each is a step of the operators in lociflow.llm.
 
-Every stage works on all that its predecessor kept, and all but the last return the columns of documents. Empty
-tables stay empty; null texts leave with the language stage, which knows no language for them.
+Every stage works on all that its predecessor kept, and all but the last return the columns of documents, so an input
+column named like an operator's output stays what it was. Empty tables stay empty; null and empty texts leave with the language
+stage, which knows no language for them; texts of any length are read whole. Ids may be null or repeat: the dedup stage numbers the rows
+itself, so of repeated rows one stays, and the row with the least id (then the least number) of a group is the one that does.
 """
 
 from __future__ import annotations
@@ -12,28 +14,44 @@ from pyspark.sql import functions as F
 from lociflow.cluster import Stored
 from lociflow.llm import bpe, langid, mixing, neardup, toxicity
 
-#: A text of this many characters or more that looks like no language to this degree is rejected.
-LONG_TEXT, LEAST_COSINE = 200, 0.05
+#: Texts are judged with those of about their length: classes of doubling lengths. A text leaves if its cosine is below this
+#: share of the least that all but one in TAIL of the texts of its class reach.
+TAIL, SHARE = 200, 0.5
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """The text beside the whole document, where no new column can take the place of one of its own."""
+    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a letter, and long ones that resemble no learned language."""
-    model = langid.fit(docs)
-    named = langid.predict(docs, model)
-    odd = (F.length("text") >= LONG_TEXT) & (F.col("score") < LEAST_COSINE)
-    return named.where((F.col("lang_pred") != langid.UNKNOWN) & ~odd).select(*docs.columns)
+    """Reject documents without a letter, and those that resemble no learned language, given what texts of their length score.
+
+    A short text has few n-grams, and so a low cosine by nature: each class of lengths has a level of its own, from the scores of
+    all documents in it. The level is half of what all but the lowest of them reach, so documents in a learned language stay.
+    """
+    named = langid.predict(_held(docs).withColumn("__class", F.floor(F.log2(F.length("text") + 1)).cast("int")), langid.fit(docs))
+    named = Stored(named.where(F.col("lang_pred") != langid.UNKNOWN), "named-documents")
+    levels = named.df.groupBy("__class").agg((F.percentile_approx("score", F.lit(1.0 / TAIL), F.lit(10_000)) * SHARE).alias("__level"))
+    kept = named.df.join(F.broadcast(levels), "__class").where(F.col("score") >= F.col("__level"))  # a row for each doubling of the length
+    return kept.select("__doc.*")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that the model of the labelled ones calls toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(_held(docs), model).where("predicted = 0").select("__doc.*")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """Keep one document of each group of near-duplicates: the one with the smallest id, null ids last, of equal ids one row."""
+    names = docs.columns
+    ordered = docs.withColumns({"__row": F.monotonically_increasing_id()})
+    numbered = Stored(ordered, "numbered-documents").df
+    found = neardup.near_duplicates(numbered, id_col="__row").select(F.col("__row").alias("__r"), F.col("component_id").alias("__group"))
+    ids = numbered.select("__row", "doc_id").join(found, F.col("__row") == F.col("__r"))
+    best = ids.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))["__row"].alias("__kept"))
+    return numbered.join(best, F.col("__row") == F.col("__kept"), "left_semi").select(*names)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +79,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order on documents; each but the last is written to the shared folder before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = Stored(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
+        table = Stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            before.drop()
+        docs, before = table.df, table
     return STAGES[-1][1](spark, docs, sf_dir)
