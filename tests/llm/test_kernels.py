@@ -62,28 +62,37 @@ def test_maximal_segments():
         assert [(a, b) for a, b, _ in toxicity.maximal_segments(scores)] == naive_segments(scores)
 
 
+def test_maximal_segments_take_linear_time():
+    """Words that score up and down by turns: half a million candidates that no search may pass again and again."""
+    import time
+
+    for scores in ([1.0, -2.0] * 500_000, [1.0, -0.5] * 500_000, [3.0, -1.0, 1.0, -3.0] * 250_000):
+        began = time.perf_counter()
+        found = toxicity.maximal_segments(scores)
+        assert time.perf_counter() - began < 10 and found
+    assert len(toxicity.maximal_segments([1.0, -2.0] * 500_000)) == 500_000
+
+
 def test_prefix_code_is_complete():
-    code = lm.prefix_code(np.arange(256) ** 2)
+    code = lm.CODE
     assert math.isclose(sum(2.0 ** -n for n in code.length), 1.0)
     assert len({tuple(code.bits[b, : code.length[b]]) for b in range(256)}) == 256
 
 
 def blank_model():
     empty = np.zeros(0, np.uint64)
-    return lm.Model(lm.prefix_code(np.zeros(256)), np.zeros(lm._BASES[-1], np.int8), np.zeros((2, 5)), empty, empty.astype(np.int64), 0, 0, 0)
+    return lm.Model(np.zeros(lm._BASES[-1], np.int8), np.zeros(lm._BEFORE[-1], np.int8), empty, empty.astype(np.int64), pa.array([], pa.string()), 0, 0, 0)
 
 
 def test_even_bits_give_known_probability():
-    common, rest = lm.log_probabilities(Words(pa.array(["ab", None])), blank_model())
-    # an even code: 8 bits a byte, two bytes and the closing space; the first word can't be recent
-    assert np.isclose(rest[0], 24 * math.log(0.5) + math.log1p(-0.05), atol=1e-3)
-    assert len(common) == 2 and common[0] <= common[1]
+    got = lm.log_probabilities(lm.Tokens(Words(pa.array(["ab", None]))), blank_model())
+    bits = sum(int(lm.CODE.length[ord(c)]) for c in "ab ")
+    assert len(got) == 3 and np.isclose(got[0], bits * math.log(0.5) + math.log1p(-0.05), atol=1e-3)
 
 
 def test_repetition_gets_likelier():
-    model = blank_model()
-    _, same = lm.log_probabilities(Words(pa.array([" ".join(["abc"] * 40)])), model)
-    assert same[-1] > same[0] + 5
+    same = lm.log_probabilities(lm.Tokens(Words(pa.array([" ".join(["abc"] * 40)]))), blank_model())
+    assert same[-2] > same[0] + 5
 
 
 @pytest.fixture(scope="module")
@@ -101,6 +110,28 @@ def test_bpe_equals_the_library(coder):
     assert coder.texts(pa.array(odd)) == want  # from memory
 
 
+def test_bpe_chunks_are_shared_across_texts():
+    own, rng = bpe.Coder(), random.Random(6)
+    passage = " ".join("".join(rng.choice("abcdeéß'1.") for _ in range(rng.randint(1, 9))) for _ in range(400))
+    texts = [f"{k} other {'words ' * k}{passage} end {k * k}" for k in range(12)]
+    for t in texts:
+        (ids, decoded), = own.texts(pa.array([t]))
+        want = own.tokenizer.encode(t, add_special_tokens=False).ids
+        assert ids == np.array(want, "<u4").tobytes() and decoded.decode() == own.tokenizer.decode(want, skip_special_tokens=False)
+    chunks = int(bpe._cuts(Words(pa.array([passage])), *buffers(pa.array([passage])))[1].sum())
+    assert 25 <= chunks <= 100  # some eight words each
+    assert own.reused >= 0.8 * chunks * (len(texts) - 3)
+
+
+def test_bpe_repairs_until_the_pieces_agree(coder, monkeypatch):
+    """A tokenizer that reads a mark together with both words before it: the repair goes on past the first join."""
+    data = "ab cd \u0301x yz".encode()
+    starts, ends = np.array([0, 3, 6, 10]), np.array([2, 5, 9, 12])
+    monkeypatch.setattr(coder, "agree", lambda left, gap, right: b"\xcc\x81" not in right)
+    coder._repair(data, starts, ends, 2, 0)
+    assert [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())] == ["ab cd \u0301x".encode(), b"", b"", b"yz"]
+
+
 def test_code_bounds_hold():
     x = vectors.unit(np.random.default_rng(2).standard_normal((300, 50)))
     codes, i, j = vectors.Codes(x), *np.triu_indices(300, 1)
@@ -140,5 +171,18 @@ def test_big_endian_colour_page():
 def test_url_terms():
     found = urls.automaton()
     assert urls.hits("http://a/Spam-Farm.x", found)[0] == {"spam-farm"}
-    assert urls.hits("http://freedom.x/bets", found) == (set(), {}) and urls.hits(None, found) == (set(), {})
-    assert set(urls.hits("http://x/free_bonus", found)[1]) == {"free", "bonus"}
+    assert urls.hits("http://freedom.x/betsy", found) == (set(), {}) and urls.hits(None, found) == (set(), {})
+    assert urls.hits("http://x/free_bonus?free", found)[1] == {"free": 1, "bonus": 2}
+    assert max(urls.SOFT.values()) < urls.SOFT_LIMIT and not set(urls.STRICT) & set(urls.SOFT)
+
+
+def test_url_terms_equal_brute_force():
+    import re
+
+    rng, found = random.Random(4), urls.automaton()
+    terms = [*urls.STRICT, *urls.SOFT, "x", "é", "9", "casinos2"]
+    for _ in range(500):
+        url = "".join(rng.choice(terms) + rng.choice(["", "/", "-", "_", "É", ".", "a"]) for _ in range(rng.randint(0, 8)))
+        edge = lambda t: re.search(r"(?<![^\W_])" + re.escape(t) + r"(?![^\W_])", url.lower())
+        strict, soft = urls.hits(url, found)
+        assert strict == {t for t in urls.STRICT if edge(t)} and soft == {t: w for t, w in urls.SOFT.items() if edge(t)}, url
