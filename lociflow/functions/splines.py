@@ -35,48 +35,61 @@ def basis(x: np.ndarray, inner: int, degree: int = 3) -> np.ndarray:
     return out
 
 
-def poisson_spline(centers: np.ndarray, events: np.ndarray, exposure: np.ndarray, smoothing: float, inner: int = 10) -> tuple[np.ndarray, float, float]:
-    """(rates, deviance, effective parameters) of a penalised Poisson fit by reweighted least squares."""
-    b = basis(np.log(centers), inner)
-    penalty = np.diff(np.eye(b.shape[1]), n=2, axis=0)
-    penalty = smoothing * penalty.T @ penalty + 1e-8 * np.eye(b.shape[1])
-    coef = np.full(b.shape[1], np.log(max(events.sum(), 1e-9) / max(exposure.sum(), 1e-9)))
+def poisson_spline(centers: np.ndarray, events: np.ndarray, exposure: np.ndarray, smoothing: float, inner: int = 25) -> tuple[np.ndarray, float, float]:
+    """(rates, deviance, effective parameters) of a penalised Poisson fit by reweighted least squares.
+
+    The splines span all cells; cells without exposure only get rates. Second differences of the coefficients are penalised.
+    """
+    b, use = basis(np.log(centers), inner), exposure > 0
+    rough = np.diff(np.eye(b.shape[1]), n=2, axis=0)
+    penalty = smoothing * rough.T @ rough
+    seen, met, over = b[use], events[use], exposure[use]
+    coef = np.full(b.shape[1], np.log(met.sum() / over.sum()) if met.sum() > 0 else 0.0)
+    inside = lambda x: np.clip(x, -30.0, 30.0)
+
+    def parts() -> tuple[np.ndarray, np.ndarray]:
+        mean = np.maximum(over * np.exp(inside(seen @ coef)), 1e-12)
+        return mean, (seen * mean[:, None]).T @ seen
+
     for _ in range(60):
-        mean = np.maximum(exposure * np.exp(b @ coef), 1e-12)
-        z = b @ coef + (events - mean) / mean
-        left = (b * mean[:, None]).T @ b
-        new = np.linalg.solve(left + penalty, (b * mean[:, None]).T @ z)
-        step = np.abs(new - coef).max()
-        coef = new
-        if step < 1e-8:
+        mean, left = parts()
+        new = np.linalg.solve(left + penalty, (seen * mean[:, None]).T @ (seen @ coef + (met - mean) / mean))
+        step, coef = np.abs(new - coef).max(), new
+        if step < 1e-7:
             break
-    mean = np.maximum(exposure * np.exp(b @ coef), 1e-12)
-    left = (b * mean[:, None]).T @ b
-    term = np.where(events > 0, events * np.log(np.where(events > 0, events, 1) / mean), 0.0)
-    return np.exp(b @ coef), float(2 * (term - (events - mean)).sum()), float(np.trace(np.linalg.solve(left + penalty, left)))
+    mean, left = parts()
+    term = np.where(met > 0, met * np.log(np.where(met > 0, met, 1) / mean), 0.0)
+    return np.exp(inside(b @ coef)), float(2 * (term - (met - mean)).sum()), float(np.trace(np.linalg.solve(left + penalty, left)))
 
 
 def best_spline(centers: np.ndarray, events: np.ndarray, exposure: np.ndarray) -> tuple[np.ndarray, float]:
-    """(rates, smoothing) with the least generalised cross-validation; cells of little exposure take the nearest fitted rate."""
-    use = exposure > 0.02 * exposure.max()
-    best = None
+    """(rates, smoothing) with the least generalised cross-validation; fits with hardly a cell more than parameters don't count."""
+    n, best = int((exposure > 0).sum()), None
     for smoothing in np.geomspace(1e-2, 1e4, 18):
-        rates, deviance, edf = poisson_spline(centers[use], events[use], exposure[use], smoothing)
-        score = use.sum() * deviance / max(1e-9, (use.sum() - edf) ** 2)
+        rates, deviance, edf = poisson_spline(centers, events, exposure, smoothing)
+        score = n * deviance / (n - edf) ** 2 if n > edf + 1 else np.inf
         if best is None or score < best[0]:
             best = (score, rates, float(smoothing))
-    place = np.abs(np.log(centers)[:, None] - np.log(centers[use])[None]).argmin(axis=1)
-    return best[1][place], best[2]
+    return best[1], best[2]
 
 
-def split_time(centers: np.ndarray, rates: np.ndarray, exposure: np.ndarray) -> float | None:
-    """Where the rate crosses half way between its outer quarters, among cells with at least 1% of the largest exposure."""
-    use = (exposure >= 0.01 * exposure.max()) & np.isfinite(rates)
+def split_time(centers: np.ndarray, rates: np.ndarray, exposure: np.ndarray, least_share: float = 0.01) -> float | None:
+    """Where the rate first crosses half way between its least and its greatest value, going up with age if the oldest quarter of the
+    cells has the higher mean, else down. Cells under a share of the largest exposure don't count; two are needed, and some change."""
+    use = (exposure >= least_share * np.nanmax(exposure, initial=0.0)) & np.isfinite(rates)
     c, r = centers[use], rates[use]
-    if len(c) < 4:
+    if len(c) < 2 or r.max() <= 0 or r.max() == r.min():
         return None
-    q = max(1, len(c) // 4)
-    early, late = r[:q].mean(), r[-q:].mean()
-    half = (early + late) / 2
-    crossed = np.flatnonzero(r >= half if late > early else r <= half)
-    return float(c[crossed[0]]) if len(crossed) else None
+    half, q = r.min() + 0.5 * (r.max() - r.min()), max(1, len(c) // 4)
+    rising = r[-q:].mean() >= r[:q].mean()
+    return float(c[np.flatnonzero(r >= half if rising else r <= half)[0]])
+
+
+def split_times(centers: np.ndarray, dwell: np.ndarray, jumps: np.ndarray, least_share: float = 0.01) -> dict[tuple[int, int], float | None]:
+    """The split time of each unordered pair of states, from both directions' rates and both states' exposure.
+
+    dwell: cells by states; jumps: cells by states by states."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q = np.where(dwell[:, :, None] > 0, jumps / dwell[:, :, None], 0.0)
+    k = dwell.shape[1]
+    return {(m, n): split_time(centers, q[:, m, n] + q[:, n, m], dwell[:, m] + dwell[:, n], least_share) for m in range(k) for n in range(m + 1, k)}

@@ -82,7 +82,7 @@ def _burden(spark, sf):
 
 @register("ghost_fit")
 def _ghost_fit(spark, sf):
-    return _rounded(chains.ghost_fit(_depths(spark, sf), (MU[0], SD[0]), 90.0, 7 * BIN, iterations=50), 4)
+    return _rounded(chains.ghost_fit(_depths(spark, sf), (MU[0], SD[0]), 90.0, 7 * BIN), 4)
 
 
 _W = 'd AS (SELECT sample, "left", "right" - "left" AS w, CASE WHEN event_type <> \'error\' THEN value END AS depth FROM t_m WHERE "left" < "right")'
@@ -192,12 +192,20 @@ def _splines(spark, sf):
     return spark.createDataFrame([(float(c), float(e), float(x), round(float(r), 9), smoothing) for c, e, x, r in zip(centers, events, exposure, rates, strict=True)], "center double, events double, exposure double, rate double, smoothing double")
 
 
-@register("split_time")
+_CELLS = f"""WITH b AS (SELECT date_diff('day', DATE '1991-12-31', o_orderdate::DATE)::DOUBLE AS x, date_diff('day', DATE '1991-12-31', l_shipdate::DATE)::DOUBLE AS y, (l_returnflag = 'R')::INT::DOUBLE AS event FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    c AS (SELECT k AS cell, CASE WHEN k = 0 THEN '-inf'::DOUBLE ELSE pow(2, k) END AS lo, CASE WHEN k = {len(EDGES) - 2} THEN 'inf'::DOUBLE ELSE pow(2, k + 1) END AS hi FROM (SELECT unnest(range({len(EDGES) - 1})) AS k)),
+    p AS (SELECT cell, least(greatest(x, y), hi) - greatest(least(x, y), lo) AS part, event, greatest(x, y) - least(x, y) AS whole FROM b, c WHERE x <> y AND least(greatest(x, y), hi) - greatest(least(x, y), lo) > 0),
+    t AS (SELECT cell, sum(part) AS exposure, sum(event * part / whole) AS events FROM p GROUP BY cell)"""
+
+
+@register("split_time", _CELLS + """, u AS (SELECT cell, events / exposure AS r, row_number() OVER (ORDER BY cell) AS n, count(*) OVER () AS k FROM t WHERE exposure >= 0.01::DOUBLE * (SELECT max(exposure) FROM t)),
+    h AS (SELECT min(r) + 0.5::DOUBLE * (max(r) - min(r)) AS half, max(k) AS k, avg(r) FILTER (n > k - greatest(1, k // 4)) >= avg(r) FILTER (n <= greatest(1, k // 4)) AS rising, max(r) > 0 AND max(r) > min(r) AS moves FROM u)
+    SELECT CASE WHEN max(moves::INT) = 1 AND max(h.k) >= 2 THEN round(sqrt(pow(2::DOUBLE, min(cell)) * pow(2::DOUBLE, min(cell) + 1)), 6) END AS split_time FROM u, h WHERE CASE WHEN rising THEN r >= half ELSE r <= half END""")
 def _split(spark, sf):
     centers, events, exposure = _rates(spark, sf)
     with np.errstate(divide="ignore", invalid="ignore"):
         at = splines.split_time(centers, events / exposure, exposure)
-    return spark.createDataFrame([(at,)], "split_time double")
+    return spark.createDataFrame([(None if at is None else round(at, 6),)], "split_time double")
 
 
 def _calls(spark, sf):

@@ -60,3 +60,16 @@ def edge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
     spans = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(days).alias("left"), (F.max(days) + 1.0).alias("right"))
     return spans.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("left", "right", F.col("c_nationkey").cast("long").alias("parent"), F.col("c_custkey").alias("child"))
+
+
+def woven(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of three states: edge_intervals with nations numbered below zero, at time 2; customers at time 0.
+
+    A customer's balance gives its state, every fourth customer has none; nodes: (node, time, label, w).
+    """
+    edges = edge_intervals(spark, sf_dir).withColumn("parent", -1 - F.col("parent"))
+    balance, key = F.col("c_acctbal"), F.col("c_custkey")
+    label = F.when(key % 4 != 0, F.when(balance < 0, 0).when(balance < 5000, 1).otherwise(2))
+    customers = table(spark, sf_dir, "customer").select(key.cast("long").alias("node"), F.lit(0.0).alias("time"), label.cast("int").alias("label"), F.when(F.col("c_mktsegment") == "BUILDING", 0.5).otherwise(0.8).alias("w"))
+    nations = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("node"), F.lit(2.0).alias("time"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("w"))
+    return edges.select("left", "right", "parent", F.col("child").cast("long").alias("child")), customers.unionByName(nations)
