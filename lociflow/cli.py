@@ -7,26 +7,75 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociflow.operators import chains, intervals, metrics, painting, pruning
+import numpy as np
+
+from lociflow.operators import chains, dating, intervals, metrics, references, weave
 from lociflow.operators.segmentation import hard_segments
+from lociflow.sources import stores
+
+
+def _states(o: argparse.Namespace) -> list[str]:
+    return [f"p{k}" for k in range(o.states)]
+
 
-STATES = ["p0", "p1"]
+def _start(o: argparse.Namespace) -> tuple[np.ndarray, np.ndarray]:
+    """(generator, root distribution): those of a stored fit, else one rate for all and even roots."""
+    if o.params:
+        return stores.load_params(o.params)
+    q = np.full((o.states, o.states), o.rate / (o.states - 1))
+    np.fill_diagonal(q, -o.rate)
+    return q, np.full(o.states, 1.0 / o.states)
+
+
+def _told(spark: SparkSession, o: argparse.Namespace, pi: np.ndarray) -> DataFrame:
+    """(node, time, e) from nodes (node, time) and labels (node, label, w)."""
+    rows = spark.read.parquet(o.nodes).select("node", "time").join(spark.read.parquet(o.labels), "node", "left")
+    rows = rows if "w" in rows.columns else rows.withColumn("w", F.lit(1.0))
+    even = F.array(*[F.lit(1.0)] * len(pi))
+    return rows.select("node", "time", F.when(F.col("label").isNotNull() | (F.col("time") == 0), weave.emissions(rows, pi)).otherwise(even).alias("e"))
 
 
 def _paint(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
-    return painting.paint(spark.read.parquet(o.edges), spark.read.parquet(o.nodes), o.a, o.b, (o.pi, 1 - o.pi), o.length, o.width, o.leave_one_out)
+    q, pi = _start(o)
+    samples = spark.read.parquet(o.nodes).where("time = 0").select(F.col("node").alias("sample"))
+    return weave.paint(spark.read.parquet(o.edges), _told(spark, o, pi), samples, q, pi, o.length, o.width, o.leave_one_out)
 
 
 def _fit(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
-    return pruning.fit(spark.read.parquet(o.nodes), o.a, o.b, (o.pi, 1 - o.pi), o.levels, o.iterations)
+    q, pi = _start(o)
+    q, pi, history = weave.fit(spark.read.parquet(o.edges), lambda now: _told(spark, o, now), q, pi, o.width, o.iterations)
+    return stores.params_table(spark, q, pi, history)
+
+
+def _date(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    q, pi = _start(o)
+    nodes = _told(spark, o, pi)
+    return dating.rate_through_time(spark.read.parquet(o.edges), nodes, q, pi, dating.grid(nodes, o.cells), o.width, o.iterations).table(spark)
+
+
+def _audit(spark: SparkSession, o: argparse.Namespace) -> references.Audit:
+    q, pi = _start(o)
+    return references.audit(spark.read.parquet(o.edges), spark.read.parquet(o.nodes), spark.read.parquet(o.labels), q, pi, o.length, o.width, iterations=o.iterations)
+
+
+def _qc(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    return _audit(spark, o).summary(_states(o), o.length, o.deadband)
+
+
+def _introgress(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    return references.foreign_tracts(spark.read.parquet(o.tracks), spark.read.parquet(o.labels), _states(o), o.least_score, width=o.width)
+
+
+def _aggregate(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    return metrics.aggregate(spark.read.parquet(o.scores))
 
 
 def _merge(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
-    return intervals.merge_members(spark.read.parquet(o.tracks), ["sample"], "member", STATES, o.width)
+    return intervals.merge_members(spark.read.parquet(o.tracks), ["sample"], "member", _states(o), o.width)
 
 
 def _segments(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
-    return hard_segments(spark.read.parquet(o.tracks), STATES, o.deadband)
+    return hard_segments(spark.read.parquet(o.tracks), _states(o), o.deadband)
 
 
 def _smooth(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
@@ -36,8 +85,8 @@ def _smooth(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
 def _score(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     tracks = spark.read.parquet(o.tracks)
     both = intervals.overlap_join(tracks, spark.read.parquet(o.truth), ["sample"], o.width)
-    out = metrics.per_base_accuracy(both, STATES)
-    for more in (metrics.balanced_accuracy(both, STATES), metrics.mean_confidence(tracks, STATES), metrics.flicker(tracks, STATES)):  # one row each
+    out = metrics.per_base_accuracy(both, _states(o))
+    for more in (metrics.balanced_accuracy(both, _states(o)), metrics.mean_confidence(tracks, _states(o)), metrics.flicker(tracks, _states(o))):  # one row each
         out = out.join(F.broadcast(more))
     return out
 
@@ -47,8 +96,12 @@ def _ghost(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
 
 
 COMMANDS = {
-    "paint": (_paint, ["edges", "nodes"]),
-    "fit": (_fit, ["nodes"]),
+    "paint": (_paint, ["edges", "nodes", "labels"]),
+    "fit": (_fit, ["edges", "nodes", "labels"]),
+    "date": (_date, ["edges", "nodes", "labels"]),
+    "qc": (_qc, ["edges", "nodes", "labels"]),
+    "introgress": (_introgress, ["tracks", "labels"]),
+    "aggregate": (_aggregate, ["scores"]),
     "merge": (_merge, ["tracks"]),
     "segments": (_segments, ["tracks"]),
     "smooth": (_smooth, ["tracks"]),
@@ -65,10 +118,12 @@ def parser() -> argparse.ArgumentParser:
         for table in inputs:
             one.add_argument(f"--{table}", required=True)
         one.add_argument("--out", required=True)
-        for number, default in (("a", 0.1), ("b", 0.1), ("pi", 0.5), ("length", 1.0), ("width", 1e5), ("deadband", 0.0), ("epsilon", 1e-3), ("mu", 0.0), ("sd", 1.0), ("floor", 1.0)):
+        for number, default in (("rate", 1e-3), ("least-score", 0.5), ("length", 1.0), ("width", 1e5), ("deadband", 0.0), ("epsilon", 1e-3), ("mu", 0.0), ("sd", 1.0), ("floor", 1.0)):
             one.add_argument(f"--{number}", type=float, default=default)
-        one.add_argument("--levels", type=int, default=3)
-        one.add_argument("--iterations", type=int, default=12)
+        one.add_argument("--states", type=int, default=2)
+        one.add_argument("--cells", type=int, default=40)
+        one.add_argument("--iterations", type=int, default=50)
+        one.add_argument("--params", help="a stored fit to start from")
         one.add_argument("--leave-one-out", action="store_true")
     return top
 

@@ -121,3 +121,9 @@ def accuracy_by_size(overlaps_with_size: DataFrame, states: list[str], edges: li
     hit = F.when(ok & (top(states) == F.col("state")), span()).otherwise(0.0)
     got = rows.groupBy("bin").agg(F.count_distinct("sample", "segment").alias("c"), ratio(hit, F.when(ok, span()).otherwise(0.0)).alias("accuracy"))
     return bins.join(F.broadcast(got), "bin", "left").select("bin", F.coalesce("c", F.lit(0)).alias("segments"), "accuracy")
+
+
+def aggregate(scores: DataFrame) -> DataFrame:
+    """(scenario, painter, metric, n, mean, deviation) over the seeds of scores (scenario, painter, seed, metric, value); null and NaN values don't count."""
+    rows = scores.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    return rows.groupBy("scenario", "painter", "metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("deviation"))

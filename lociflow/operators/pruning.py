@@ -98,7 +98,7 @@ def sufficient_statistics(pruned: DataFrame, a: float, b: float) -> DataFrame:
     return pruned.agg(expected(0, 0).alias("dwell0"), expected(1, 1).alias("dwell1"), (F.lit(a) * expected(0, 1)).alias("jump01"), (F.lit(b) * expected(1, 0)).alias("jump10"), F.sum(F.when(root, F.col("g0"))).alias("root0"), F.sum(F.when(root, F.col("g1"))).alias("root1"), F.sum("loglik").alias("loglik"))
 
 
-def fit(nodes: DataFrame, a: float, b: float, pi: tuple[float, float], levels: int, iterations: int = 12, tolerance: float = 1e-7, estimate_root: bool = True) -> DataFrame:
+def fit(nodes: DataFrame, a: float, b: float, pi: tuple[float, float], levels: int, iterations: int = 200, tolerance: float = 1e-6, estimate_root: bool = True) -> DataFrame:
     """Expectation-maximisation of rates and root distribution: a row for each iteration (iteration, a, b, pi0, pi1, loglik).
 
     Every iteration is one pass over the stored nodes; only the seven sums reach the driver.

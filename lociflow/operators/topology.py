@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.operators.intervals import merge_runs
+from lociflow.cluster import Stored
+from lociflow.operators.intervals import points_in, running
 from lociflow.operators.order import ranked
 
 
@@ -46,10 +47,19 @@ def persistence_summary(persistence: DataFrame) -> DataFrame:
     return persistence.agg(F.count(F.lit(1)).alias("n"), F.percentile("trees", 0.5).alias("median"), F.max("trees").alias("most"), F.avg((F.col("trees") == 1).cast("double")).alias("share_of_one"))
 
 
-def missing_mask(samples: DataFrame, tree_table: DataFrame, present: DataFrame) -> DataFrame:
-    """(sample, left, right) where a sample is isolated: in no edge of the tree. present: (sample, left) of the trees that hold it."""
-    grid = samples.select("sample").join(tree_table.select("left", "right"))
-    return merge_runs(grid.join(present.select("sample", "left").distinct(), ["sample", "left"], "left_anti"), ["sample"], [])
+def missing_mask(samples: DataFrame, tree_table: DataFrame, present: DataFrame, width: float) -> DataFrame:
+    """(sample, left, right) where a sample is isolated: in no edge of the tree. present: (sample, left) of the trees that hold it.
+
+    The trees' outer ends are taken once, and what lies between a sample's own stretches is found by its running sum: no sample meets
+    a tree that doesn't hold it. tree_table: (left, right), without gaps.
+    """
+    held = present.select("sample", "left").distinct().join(tree_table.select("left", "right"), "left")
+    first, last = tree_table.agg(F.min("left"), F.max("right")).first()
+    if first is None:
+        return held.select("sample", "left", "right").limit(0)
+    ends = held.select("sample", F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("held")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("held")))).alias("end")).select("sample", "end.*")
+    outer = samples.select("sample").distinct().withColumn("pos", F.explode(F.array(F.lit(float(first)), F.lit(float(last))))).withColumn("held", F.lit(0))
+    return running(ends.unionByName(outer), "sample", "pos", ["held"], width).where("held = 0").select("sample", "left", "right")
 
 
 def nearest_reference(leaves: DataFrame, parents: DataFrame, references: DataFrame) -> DataFrame:
@@ -58,21 +68,30 @@ def nearest_reference(leaves: DataFrame, parents: DataFrame, references: DataFra
     leaves: (node, rank, parent); parents: (node, parent, time) of inner nodes, one or more levels; references: (node, rank, label).
     Of several references below that ancestor the one of least rank gives the label. Leaves without any get nulls.
     """
-    up = leaves.select("node", F.col("rank").alias("rank"), F.col("parent").alias("ancestor"))
-    refs = up.join(references.select("node", "label"), "node").select("ancestor", "rank", "node", "label")
-    out = None
+    up = leaves.select("node", "rank", F.col("parent").alias("ancestor"))
+    refs = up.join(references.select("node", "label"), "node").select("ancestor", "rank", "label")
     inner = parents.select(F.col("node").alias("ancestor"), F.col("parent").alias("above"), "time")
+    out = None
     while True:
-        # the two least references below each ancestor: enough to name one that is not the leaf
-        first = refs.groupBy("ancestor").agg(F.min("rank").alias("r1"))
-        second = refs.join(first, "ancestor").where("rank > r1").groupBy("ancestor").agg(F.min("rank").alias("r2"))
-        two = first.join(second, "ancestor", "left")
-        named = refs.select("ancestor", F.col("rank").alias("r"), "label")
-        here = up.join(two, "ancestor").withColumn("r", F.when(F.col("r1") != F.col("rank"), F.col("r1")).otherwise(F.col("r2"))).where("r IS NOT NULL")
-        found = here.join(named, ["ancestor", "r"]).join(inner, "ancestor").select("node", F.col("time").alias("depth"), "label")
+        # the two least references below each ancestor are enough to name one that is not the leaf, and all that goes further up
+        least = refs.groupBy("ancestor").agg(F.min(F.struct("rank", "label")).alias("a"))
+        second = refs.join(least, "ancestor").where(F.col("rank") > F.col("a.rank")).groupBy("ancestor").agg(F.min(F.struct("rank", "label")).alias("b"))
+        two = Stored(least.join(second, "ancestor", "left").join(inner, "ancestor"), "nearest-references").df
+        here = up.join(two, "ancestor", "left").withColumn("r", F.when(F.col("a.rank") != F.col("rank"), F.col("a")).otherwise(F.col("b")))
+        here = Stored(here.select("node", "rank", "ancestor", F.col("time").alias("depth"), "r"), "nearest-leaves").df
+        found = here.where("r IS NOT NULL").select("node", "depth", "r.label")
         out = found if out is None else out.unionByName(found)
-        up = up.join(found.select("node"), "node", "left_anti").join(inner, "ancestor").select("node", "rank", F.col("above").alias("ancestor")).where("ancestor IS NOT NULL")
-        refs = refs.join(inner, "ancestor").select(F.col("above").alias("ancestor"), "rank", "node", "label").where("ancestor IS NOT NULL")
+        up = here.where("r IS NULL").join(inner, "ancestor").select("node", "rank", F.col("above").alias("ancestor")).where("ancestor IS NOT NULL")
         if up.isEmpty():
             break
+        refs = two.select(F.col("above").alias("ancestor"), F.explode(F.filter(F.array("a", "b"), lambda x: x.isNotNull())).alias("r")).where("ancestor IS NOT NULL").select("ancestor", "r.*")
     return leaves.select("node").join(out, "node", "left")
+
+
+def tree_rows(edges: DataFrame, nodes: DataFrame, tree_table: DataFrame, width: float) -> DataFrame:
+    """(tree, node, parent, ...) of every node in every tree, a root's parent null: for inspection, as it writes each tree out. nodes: (node, ...)."""
+    at = tree_table.select(F.lit(0).alias("axis"), "tree", F.col("left").alias("at"))
+    held = points_in(at, edges.withColumn("axis", F.lit(0)), ["axis"], "at", width).select("tree", "parent", "child")
+    below = held.select("tree", F.col("child").alias("node"), "parent")
+    roots = held.select("tree", F.col("parent").alias("node")).distinct().join(below.select("tree", "node"), ["tree", "node"], "left_anti")
+    return below.unionByName(roots.withColumn("parent", F.lit(None).cast("long"))).join(nodes, "node")

@@ -15,24 +15,26 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored, ship
+from lociflow.functions.ctmc import reward_integral, transition
 from lociflow.operators import intervals as iv
 
 _NONE = float("-inf")
 
 
-def spectrum(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(eigenvalues, right vectors, their inverse) of a generator, complex in general."""
+def spectrum(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(eigenvalues, right vectors, their inverse) of a generator, complex in general; no inverse where the vectors nearly coincide."""
     values, right = np.linalg.eig(q)
-    return values, right, np.linalg.inv(right)
+    return values, right, np.linalg.inv(right) if np.linalg.cond(right) < 1e8 else None
 
 
 def transitions(q: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """P(t) for each time, a matrix each, by the generator's spectrum; rows sum to one."""
+    """P(t) for each time, a matrix each, by the generator's spectrum (by series where it has none of full rank); rows sum to one."""
     values, right, left = spectrum(q)
+    if left is None:
+        return np.stack([transition(q, x) for x in t]) if len(t) else np.zeros((0, *q.shape))
     p = np.einsum("ik,tk,kj->tij", right, np.exp(np.outer(t, values)), left).real
     p = np.maximum(p, 0.0)
     return p / p.sum(axis=2, keepdims=True)
@@ -41,6 +43,10 @@ def transitions(q: np.ndarray, t: np.ndarray) -> np.ndarray:
 def rewards(q: np.ndarray, t: np.ndarray, m: int, n: int) -> np.ndarray:
     """The integral of P(u) E P(t - u) over each branch, E the unit matrix at (m, n)."""
     values, right, left = spectrum(q)
+    if left is None:
+        unit = np.zeros_like(q)
+        unit[m, n] = 1.0
+        return np.stack([reward_integral(q, unit, x) for x in t]) if len(t) else np.zeros((0, *q.shape))
     both = values[:, None] - values[None, :]
     near = np.abs(both) < 1e-9 * max(1.0, np.abs(values).max())
     ends = np.exp(np.outer(t, values))
@@ -49,6 +55,67 @@ def rewards(q: np.ndarray, t: np.ndarray, m: int, n: int) -> np.ndarray:
     return np.einsum("ik,k,tkl,l,lj->tij", right, left[:, m], part, right[n], left, optimize=True).real
 
 
+class Constant:
+    """One generator at all times."""
+
+    def __init__(self, q: np.ndarray):
+        self.q, self.states = np.asarray(q, float), len(q)
+
+    def moves(self, child: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        return transitions(self.q, parent - child)
+
+
+class ByCell:
+    """A generator for each cell of a time grid; beyond the grid the outer cells go on. edges: one more than generators."""
+
+    def __init__(self, q: np.ndarray, edges: np.ndarray):
+        self.q, self.edges, self.states = np.asarray(q, float), np.asarray(edges, float), np.shape(q)[1]
+
+    def stays(self, child: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """(branches, cells): the time that each branch spends in each cell."""
+        low, high = self.edges[:-1].copy(), self.edges[1:].copy()
+        low[0], high[-1] = -np.inf, np.inf
+        return np.maximum(0.0, np.minimum(parent[:, None], high) - np.maximum(child[:, None], low))
+
+    def moves(self, child: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """From the parent's state to the child's: the oldest cell comes first."""
+        stays, out = self.stays(child, parent), np.tile(np.eye(self.states), (len(child), 1, 1))
+        for c in range(len(self.q) - 1, -1, -1):
+            at = np.flatnonzero(stays[:, c] > 0)
+            if len(at):
+                out[at] = out[at] @ transitions(self.q[c], stays[at, c])
+        return out
+
+    def rewards(self, child: np.ndarray, parent: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(dwell[cell, state], jumps[cell, state, state]) over branches with end states x[branch, parent's, child's], which may be weighted."""
+        stays, k = self.stays(child, parent), self.states
+        weight = x / np.maximum(self.moves(child, parent), 1e-300)
+        older, dwell, jumps = np.tile(np.eye(k), (len(child), 1, 1)), np.zeros((len(self.q), k)), np.zeros((len(self.q), k, k))
+        after = np.empty((len(self.q) + 1, len(child), k, k))  # from the young end of a cell down to the child
+        after[0] = np.eye(k)
+        for c in range(len(self.q)):
+            after[c + 1] = transitions(self.q[c], stays[:, c]) @ after[c]
+        for c in range(len(self.q) - 1, -1, -1):
+            at = np.flatnonzero(stays[:, c] > 0)
+            if not len(at):
+                continue
+            # the weights seen from both ends of the stay
+            inner = np.einsum("tai,tab,tjb->tij", older[at], weight[at], after[c][at])
+            for m in range(k):
+                for n in range(k):
+                    value = float((rewards(self.q[c], stays[at, c], m, n) * inner).sum())
+                    if m == n:
+                        dwell[c, m] += value
+                    else:
+                        jumps[c, m, n] += self.q[c, m, n] * value
+            older[at] = older[at] @ transitions(self.q[c], stays[at, c])
+        return dwell, jumps
+
+
+def _rates(q) -> Constant | ByCell:
+    return q if hasattr(q, "moves") else Constant(q)
+
+
 def heights(edges: DataFrame) -> Stored:
     """(node, height): 0 for nodes without children, else one more than the highest child, anywhere on the axis."""
     links = edges.select("parent", "child").distinct()
@@ -64,23 +131,6 @@ def heights(edges: DataFrame) -> Stored:
             return now
 
 
-def running(events: DataFrame, by: str, pos: str, sums: list[str], width: float) -> DataFrame:
-    """(by, left, right, sums...): events (by, pos, amounts...) as running sums between one position of a key and its next.
-
-    A key's events are summed inside bins of the axis, and the bins' few totals are carried on, so a key with very many events isn't one task.
-    """
-    at = events.groupBy(by, pos).agg(*[F.sum(s).alias(s) for s in sums]).withColumn("__bin", F.floor(F.col(pos) / F.lit(width)))
-    bins = at.groupBy(by, "__bin").agg(F.min(pos).alias("__first"), *[F.sum(s).alias(f"__{s}") for s in sums])
-    over = W.partitionBy(by).orderBy("__bin")
-    ahead = over.rowsBetween(W.unboundedPreceding, -1)
-    bins = bins.select(by, "__bin", F.lead("__first").over(over).alias("__next"), *[F.coalesce(F.sum(f"__{s}").over(ahead), F.lit(0)).alias(f"__{s}") for s in sums])
-    inside = W.partitionBy(by, "__bin").orderBy(pos)
-    upto = inside.rowsBetween(W.unboundedPreceding, 0)
-    rows = at.join(bins, [by, "__bin"])
-    rows = rows.select(by, F.col(pos).alias("left"), F.coalesce(F.lead(pos).over(inside), F.col("__next")).alias("right"), *[(F.col(f"__{s}") + F.sum(s).over(upto)).alias(s) for s in sums])
-    return rows.where("right IS NOT NULL")
-
-
 def _ln(x: Column) -> Column:
     return F.when(x > 0, F.ln(x)).otherwise(F.lit(_NONE))
 
@@ -94,14 +144,14 @@ def _get(name: str, k: int) -> Column:
     return F.get(F.col(name), F.lit(k))
 
 
-def _with_transitions(edges: DataFrame, q: np.ndarray) -> DataFrame:
-    """edges with p: the branch's transition matrix, row by row; numpy makes those of many edges at once."""
+def _with_transitions(edges: DataFrame, rates: Constant | ByCell) -> DataFrame:
+    """edges (child's time tc, parent's tp) with p: the branch's transition matrix, row by row; numpy makes those of many edges at once."""
     ship(edges.sparkSession)
     kind = edges.schema.simpleString()[7:-1].replace(":", " ")
 
     def run(batches):
         for batch in batches:
-            p = transitions(q, batch.column("t").to_numpy()).reshape(batch.num_rows, -1)
+            p = rates.moves(batch.column("tc").to_numpy(), batch.column("tp").to_numpy()).reshape(batch.num_rows, rates.states**2)
             rows = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, rows], [*batch.schema.names, "p"])
 
@@ -117,19 +167,20 @@ def _collected(below: DataFrame, k: int) -> list[Column]:
     return [F.when(F.col(f"n{s}") > 0, F.lit(_NONE)).otherwise(F.col(f"f{s}")) for s in range(k)]
 
 
-def posteriors(edges: DataFrame, nodes: DataFrame, q: np.ndarray, pi: np.ndarray, width: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(marginals, joints, roots) of all nodes of all trees.
+def posteriors(edges: DataFrame, nodes: DataFrame, q, pi: np.ndarray, width: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marginals, joints, roots) of all nodes of all trees; q is a generator, or ByCell.
 
     marginals: (node, left, right, g, loo), arrays over the states; loo leaves the node's own emission out. joints: (parent, child, left,
-    right, t, x), x the joint distribution of the parent's and the child's state, row by row. roots: (node, left, right, g, loglik).
+    right, tc, tp, x), x the joint distribution of the parent's and the child's state, row by row. roots: (node, left, right, g, loglik).
     """
-    k, pi = len(q), np.asarray(pi, float)
+    rates, pi = _rates(q), np.asarray(pi, float)
+    k = rates.states
     height = heights(edges)
     times = nodes.select("node", "time")
     placed = edges.where("left < right").join(times.select(F.col("node").alias("child"), F.col("time").alias("__c")), "child").join(times.select(F.col("node").alias("parent"), F.col("time").alias("__p")), "parent")
-    placed = placed.withColumn("t", F.col("__p") - F.col("__c")).where("t > 0").select("parent", "child", "left", "right", "t")
+    placed = placed.where("__p > __c").select("parent", "child", "left", "right", F.col("__c").alias("tc"), F.col("__p").alias("tp"))
     up = height.df.withColumnsRenamed({"node": "parent", "height": "ph"})
-    placed = Stored(_with_transitions(placed, q).join(height.df.withColumnsRenamed({"node": "child", "height": "h"}), "child").join(up, "parent"), "edges")
+    placed = Stored(_with_transitions(placed, rates).join(height.df.withColumnsRenamed({"node": "child", "height": "h"}), "child").join(up, "parent"), "edges")
     own = Stored(nodes.select("node", "e").join(height.df, "node"), "nodes")
     top = own.df.agg(F.max("height")).first()[0]
     zero = {**{f"f{s}": F.lit(0.0) for s in range(k)}, **{f"n{s}": F.lit(0).cast("long") for s in range(k)}}
@@ -148,18 +199,18 @@ def posteriors(edges: DataFrame, nodes: DataFrame, q: np.ndarray, pi: np.ndarray
             lost = [(_get("m", s) == F.lit(_NONE)).cast("long") for s in range(k)]
             ends = came.select(F.col("parent").alias("node"), F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("sign")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("sign")))).alias("end"), *[x.alias(f"f{s}") for s, x in enumerate(finite)], *[x.alias(f"n{s}") for s, x in enumerate(lost)])
             ends = ends.select("node", "end.pos", *[(F.col(c) * F.col("end.sign")).alias(c) for c in zero], F.col("end.sign").cast("long").alias("held"))
-            rows = running(ends, "node", "pos", _sums(k), width).where("held > 0").drop("held")
+            rows = iv.running(ends, "node", "pos", _sums(k), width).where("held > 0").drop("held")
         rows = rows.join(own.df.where(F.col("height") == h).select("node", "e"), "node")
         low = _collected(rows, k)
         below[h] = Stored(rows.withColumn("l", F.array(*[_ln(_get("e", s)) + low[s] for s in range(k)])), f"below-{h}")
         if h < top:
-            links = placed.df.where(F.col("h") == h).select(F.col("child").alias("node"), "parent", "left", "right", "t", "p", "ph")
+            links = placed.df.where(F.col("h") == h).select(F.col("child").alias("node"), "parent", "left", "right", "tc", "tp", "p", "ph")
             if h == 0:  # a row of a node without children is an edge's own stretch
                 both = links.join(own.df.where("height = 0").select("node", "e"), "node").withColumns(zero).withColumns({"lo": F.col("left"), "hi": F.col("right"), "l": F.array(*[_ln(_get("e", s)) for s in range(k)])})
             else:
                 both = iv.overlap_join(below[h].df, links, ["node"], width)
             message = F.array(*[_lse([_ln(_get("p", s * k + j)) + _get("l", j) for j in range(k)]) for s in range(k)])
-            sent[h] = Stored(both.select("parent", F.col("node").alias("child"), F.col("lo").alias("left"), F.col("hi").alias("right"), "t", "p", "ph", "e", "l", message.alias("m"), *zero), f"sent-{h}")
+            sent[h] = Stored(both.select("parent", F.col("node").alias("child"), F.col("lo").alias("left"), F.col("hi").alias("right"), "tc", "tp", "p", "ph", "e", "l", message.alias("m"), *zero), f"sent-{h}")
     out: dict[int, Stored] = {}
     joints, roots = None, None
     for h in range(-1 if top is None else top, -1, -1):
@@ -170,7 +221,7 @@ def posteriors(edges: DataFrame, nodes: DataFrame, q: np.ndarray, pi: np.ndarray
         marks = marks[0] if len(marks) == 1 else marks[0].unionByName(marks[1])
         ends = marks.select("node", F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("sign")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("sign")))).alias("end"), "in", "up")
         ends = ends.select("node", "end.pos", (F.col("in") * F.col("end.sign")).alias("in"), (F.col("up") * F.col("end.sign")).alias("up"))
-        bare = running(ends, "node", "pos", ["in", "up"], width).where("in > 0 AND up = 0").select("node", "left", "right")
+        bare = iv.running(ends, "node", "pos", ["in", "up"], width).where("in > 0 AND up = 0").select("node", "left", "right")
         fields = ["node", "left", "right", "e", "l", *zero, "u"]
         rows = iv.overlap_join(bare, below[h].df, ["node"], width).withColumnsRenamed({"lo": "left", "hi": "right"}).withColumn("u", F.array(*[F.lit(float(np.log(x)) if x > 0 else _NONE) for x in pi])).select(*fields)
         found = rows.select("node", "left", "right", "l")
@@ -189,9 +240,9 @@ def posteriors(edges: DataFrame, nodes: DataFrame, q: np.ndarray, pi: np.ndarray
             wider = wider.withColumn("cavity", F.array(*[_get("pu", s) + _ln(_get("pe", s)) + others[s] for s in range(k)]))
             wider = wider.withColumn("u", F.array(*[_lse([_get("cavity", s) + _ln(_get("p", s * k + j)) for s in range(k)]) for j in range(k)]))
             wider = wider.withColumn("x", F.array(*[_get("cavity", s) + _ln(_get("p", s * k + j)) + _get("l", j) for s in range(k) for j in range(k)]))
-            wider = Stored(wider.select("node", "child", F.col("lo").alias("left"), F.col("hi").alias("right"), "t", "e", "l", *zero, "u", "x"), f"down-{h}")
+            wider = Stored(wider.select("node", "child", F.col("lo").alias("left"), F.col("hi").alias("right"), "tc", "tp", "e", "l", *zero, "u", "x"), f"down-{h}")
             whole = _lse([_get("x", i) for i in range(k * k)])
-            pairs = wider.df.withColumn("__z", whole).select(F.col("node").alias("parent"), "child", "left", "right", "t", F.transform("x", lambda v: F.exp(v - F.col("__z"))).alias("x"))
+            pairs = wider.df.withColumn("__z", whole).select(F.col("node").alias("parent"), "child", "left", "right", "tc", "tp", F.transform("x", lambda v: F.exp(v - F.col("__z"))).alias("x"))
             joints = pairs if joints is None else joints.unionByName(pairs)
             rows = rows.unionByName(wider.df.select(F.col("child").alias("node"), *fields[1:]))
         out[h] = Stored(rows, f"out-{h}")
@@ -203,51 +254,55 @@ def posteriors(edges: DataFrame, nodes: DataFrame, q: np.ndarray, pi: np.ndarray
         marginals = rows if marginals is None else marginals.unionByName(rows)
     spark = edges.sparkSession
     marginals = spark.createDataFrame([], "node long, left double, right double, g array<double>, loo array<double>") if marginals is None else marginals
-    joints = spark.createDataFrame([], "parent long, child long, left double, right double, t double, x array<double>") if joints is None else joints
+    joints = spark.createDataFrame([], "parent long, child long, left double, right double, tc double, tp double, x array<double>") if joints is None else joints
     roots = spark.createDataFrame([], "node long, left double, right double, g array<double>, loglik double") if roots is None else roots
     return marginals, joints, roots
 
 
-def paint(edges: DataFrame, nodes: DataFrame, samples: DataFrame, q: np.ndarray, pi: np.ndarray, length: float, width: float, leave_one_out: bool = False, digits: int | None = 9) -> DataFrame:
+def paint(edges: DataFrame, nodes: DataFrame, samples: DataFrame, q, pi: np.ndarray, length: float, width: float, leave_one_out: bool = False, digits: int | None = 9) -> DataFrame:
     """Tracks (sample, left, right, p0, p1, ..., status) of the samples (sample), tiling 0 to length.
 
     Where a sample hangs on no edge it has pi and missing information. Neighbours that agree to `digits` places are one (None: every stretch on its own). leave_one_out:
     a sample's own emission doesn't count, as quality control of references needs it.
     """
-    k, field = len(q), "loo" if leave_one_out else "g"
+    k, field = _rates(q).states, "loo" if leave_one_out else "g"
     rounded = lambda x: x if digits is None else F.round(x, digits)
     marginals, _, _ = posteriors(edges, nodes, q, pi, width)
     mine = samples.select("sample").distinct()
     seen = marginals.join(mine, F.col("node") == F.col("sample")).select("sample", F.greatest("left", F.lit(0.0)).alias("left"), F.least("right", F.lit(float(length))).alias("right"), *[rounded(_get(field, s)).alias(f"p{s}") for s in range(k)], F.lit("informative").alias("status")).where("left < right")
     ends = seen.select("sample", F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("held")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("held")))).alias("end")).select("sample", "end.*")
     ends = ends.unionByName(mine.select("sample", F.explode(F.array(F.lit(0.0), F.lit(float(length)))).alias("pos"), F.lit(0).alias("held")))
-    gaps = running(ends, "sample", "pos", ["held"], width).where("held = 0 AND left < right").drop("held")
+    gaps = iv.running(ends, "sample", "pos", ["held"], width).where("held = 0 AND left < right").drop("held")
     gaps = gaps.select("sample", "left", "right", *[rounded(F.lit(float(pi[s]))).alias(f"p{s}") for s in range(k)], F.lit("missing-info").alias("status"))
     states = [f"p{s}" for s in range(k)]
     every = seen.unionByName(gaps)
     return (every if digits is None else iv.merge_runs(every, ["sample"], [*states, "status"], width)).select("sample", "left", "right", *states, "status")
 
 
-def statistics(joints: DataFrame, roots: DataFrame, q: np.ndarray) -> DataFrame:
-    """One row: dwell (K), jumps (K * K, row by row), root (K) and loglik, each weighted by the stretch where it holds.
+def _by_branch(joints: DataFrame, k: int) -> DataFrame:
+    """A branch's joint distributions added up along the axis, so its integrals are made once."""
+    span = F.col("right") - F.col("left")
+    return joints.groupBy("parent", "child", "tc", "tp").agg(*[F.sum(_get("x", i) * span).alias(f"x{i}") for i in range(k * k)])
 
-    A branch's joint distributions are added up along the axis first, so its integrals are made once.
-    """
+
+def _ends(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    return np.stack([batch.column(f"x{i}").to_numpy() for i in range(k * k)], axis=1).reshape(-1, k, k)
+
+
+def statistics(joints: DataFrame, roots: DataFrame, q: np.ndarray) -> DataFrame:
+    """One row: dwell (K), jumps (K * K, row by row), root (K) and loglik, each weighted by the stretch where it holds."""
     ship(joints.sparkSession)
-    k = len(q)
-    span = F.col("right") - F.col("left")
-    whole = joints.groupBy("parent", "child", "t").agg(*[F.sum(_get("x", i) * span).alias(f"x{i}") for i in range(k * k)])
+    k, span = len(q), F.col("right") - F.col("left")
 
     def run(batches):
         total = np.zeros((k, k))
         for batch in batches:
-            t = batch.column("t").to_numpy()
-            x = np.stack([batch.column(f"x{i}").to_numpy() for i in range(k * k)], axis=1).reshape(-1, k, k)
-            weight = x / np.maximum(transitions(q, t), 1e-300)
+            t = batch.column("tp").to_numpy() - batch.column("tc").to_numpy()
+            weight = _ends(batch, k) / np.maximum(transitions(q, t), 1e-300)
             total += np.array([[(rewards(q, t, m, n) * weight).sum() for n in range(k)] for m in range(k)])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * k, dtype=np.int32)), pa.array(total.ravel())], ["i", "v"])
 
-    parts = whole.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    parts = _by_branch(joints, k).mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
     got = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("v"))
     dwell = F.array(*[_get("v", s * k + s) for s in range(k)])
     jumps = F.array(*[_get("v", i * k + j) * F.lit(0.0 if i == j else float(q[i, j])) for i in range(k) for j in range(k)])
@@ -255,6 +310,27 @@ def statistics(joints: DataFrame, roots: DataFrame, q: np.ndarray) -> DataFrame:
     return got.select(dwell.alias("dwell"), jumps.alias("jumps")).join(F.broadcast(ends))  # one row each
 
 
+def cell_statistics(joints: DataFrame, rates: ByCell) -> DataFrame:
+    """(cell, dwell (K), jumps (K * K, row by row)): what branches are expected to do in each cell of the time grid, weighted by stretch."""
+    ship(joints.sparkSession)
+    k, cells = rates.states, len(rates.q)
+
+    def run(batches):
+        dwell, jumps = np.zeros((cells, k)), np.zeros((cells, k, k))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                d, j = rates.rewards(part.column("tc").to_numpy(), part.column("tp").to_numpy(), _ends(part, k))
+                dwell, jumps = dwell + d, jumps + j
+        both = np.concatenate([dwell, jumps.reshape(cells, -1)], axis=1)
+        i = np.arange(both.size, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(i // both.shape[1]), pa.array(i % both.shape[1]), pa.array(both.ravel())], ["cell", "i", "v"])
+
+    parts = _by_branch(joints, k).mapInArrow(run, "cell int, i int, v double").groupBy("cell", "i").agg(F.sum("v").alias("v"))
+    got = parts.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("v"))
+    return got.select("cell", F.slice("v", 1, k).alias("dwell"), F.slice("v", k + 1, k * k).alias("jumps"))
+
+
 def fit(edges: DataFrame, nodes_of, q: np.ndarray, pi: np.ndarray, width: float, iterations: int = 200, tolerance: float = 1e-6, estimate_root: bool = True) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(generator, root distribution, log-likelihoods) by expectation-maximisation; K * (K + 2) sums a pass reach the driver.
 

@@ -72,7 +72,7 @@ def _missing(spark, sf):
     present = ad.table(spark, sf, "orders").select(F.col("o_custkey").alias("sample"), F.year("o_orderdate").cast("double").alias("left"))
     years = present.agg(F.min("left").alias("a"), F.max("left").alias("b")).select(F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int"))).alias("left")).withColumn("left", F.col("left").cast("double"))
     years = years.withColumn("right", F.col("left") + 1)  # one row a year of the calendar
-    return tp.missing_mask(ad.table(spark, sf, "customer").select(F.col("c_custkey").alias("sample")), years, present)
+    return tp.missing_mask(ad.table(spark, sf, "customer").select(F.col("c_custkey").alias("sample")), years, present, 8.0)
 
 
 @register("nearest_reference", """WITH l AS (SELECT c_custkey AS k, c_nationkey AS n, n_regionkey AS r, CASE WHEN c_mktsegment = 'BUILDING' AND c_acctbal > 5000 THEN (c_acctbal > 7000)::INT END AS label FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -177,6 +177,45 @@ def _m_step(spark, sf):
     return _rounded(s.select(F.try_divide("jump01", "dwell0").alias("a"), F.try_divide("jump10", "dwell1").alias("b"), F.try_divide(F.col("root0"), F.col("root0") + F.col("root1")).alias("pi0")))
 
 
-@register("em_fit")
+def _em_sql(passes: int) -> str:
+    """Expectation-maximisation written out: each pass reads the rates that the one before ends with, as columns a, b, p."""
+    to = lambda j: "(b / (a + b))" if j == 0 else "(a / (a + b))"
+    rest = lambda i, j: f"({int(i == j)} - {to(j)})"
+    move = lambda t, i, j: f"({to(j)} + {rest(i, j)} * exp(-(a + b) * {t}))"
+    top = lambda x, y: f"greatest({x}, {y})"
+
+    def message(t: str) -> str:
+        return ", ".join(f"ln({move(t, s, 0)} * exp(l0 - {top('l0', 'l1')}) + {move(t, s, 1)} * exp(l1 - {top('l0', 'l1')})) + {top('l0', 'l1')} AS m{s}" for s in (0, 1))
+
+    def reward(m: int, n: int) -> str:
+        one, last = "(1 - exp(-(a + b) * t)) / (a + b)", "t * exp(-(a + b) * t)"
+        part = lambda i, j: f"({to(m)} * {to(j)} * t + {one} * ({to(m)} * {rest(n, j)} + {rest(i, m)} * {to(j)}) + {last} * {rest(i, m)} * {rest(n, j)})"
+        return " + ".join(f"y{i}{j} / (y00 + y01 + y10 + y11) / {move('t', i, j)} * {part(i, j)}" for i in (0, 1) for j in (0, 1))
+
+    joint = lambda t: ", ".join(f"exp(v{i} + ln({move(t, i, j)}) + l{j} - greatest(v0 + l0, v0 + l1, v1 + l0, v1 + l1)) AS y{i}{j}" for i in (0, 1) for j in (0, 1))
+    sums = lambda under, key: ", ".join(f"coalesce((SELECT sum(m{s}) FROM {under} x WHERE x.parent = {key}), 0) AS l{s}" for s in (0, 1))
+    parts = ["f AS (SELECT 'c' || c_custkey AS node, 'n' || c_nationkey AS parent, (c_acctbal < 0)::INT AS label, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END AS w FROM customer)", f"q0 AS (SELECT {A}::DOUBLE AS a, {B}::DOUBLE AS b, {PI[0]}::DOUBLE AS p)"]
+    for k in range(passes):
+        parts += [
+            f"c{k} AS (SELECT node, parent, ln(w * (label = 0)::INT + (1 - w) * p) AS l0, ln(w * (label = 1)::INT + (1 - w) * (1 - p)) AS l1, a, b, p FROM f, q{k})",
+            f"cu{k} AS MATERIALIZED (SELECT *, {message('2')} FROM c{k})",
+            f"n{k} AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent, {sums(f'cu{k}', "'n' || n_nationkey")}, a, b, p FROM nation, q{k})",
+            f"nu{k} AS MATERIALIZED (SELECT *, {message('1')} FROM n{k})",
+            f"r{k} AS (SELECT 'r' || r_regionkey AS node, {sums(f'nu{k}', "'r' || r_regionkey")}, a, b, p FROM region, q{k})",
+            f"rt{k} AS MATERIALIZED (SELECT *, ln(p) AS u0, ln(1 - p) AS u1, ln(p * exp(l0 - {top('l0', 'l1')}) + (1 - p) * exp(l1 - {top('l0', 'l1')})) + {top('l0', 'l1')} AS loglik FROM r{k})",
+            f"nv{k} AS (SELECT x.*, r.u0 + r.l0 - x.m0 AS v0, r.u1 + r.l1 - x.m1 AS v1 FROM nu{k} x JOIN rt{k} r ON x.parent = r.node)",
+            f"nd{k} AS (SELECT *, " + ", ".join(f"ln(exp(v0 - {top('v0', 'v1')}) * {move('1', 0, j)} + exp(v1 - {top('v0', 'v1')}) * {move('1', 1, j)}) + {top('v0', 'v1')} AS u{j}" for j in (0, 1)) + f" FROM nv{k})",
+            f"cv{k} AS (SELECT x.*, n.u0 + n.l0 - x.m0 AS v0, n.u1 + n.l1 - x.m1 AS v1 FROM cu{k} x JOIN nd{k} n ON x.parent = n.node)",
+            f"x{k} AS (SELECT 2::DOUBLE AS t, a, b, {joint('2')} FROM cv{k} UNION ALL SELECT 1::DOUBLE, a, b, {joint('1')} FROM nv{k})",
+            f"s{k} AS (SELECT " + ", ".join(f"sum({reward(m, n)}) AS s{m}{n}" for m in (0, 1) for n in (0, 1)) + f" FROM x{k})",
+            f"z{k} AS MATERIALIZED (SELECT sum(1 / (1 + exp(u1 + l1 - u0 - l0))) AS root0, sum(1 / (1 + exp(u0 + l0 - u1 - l1))) AS root1, sum(loglik) AS loglik FROM rt{k})",
+            f"q{k + 1} AS MATERIALIZED (SELECT a * s01 / s00 AS a, b * s10 / s11 AS b, root0 / (root0 + root1) AS p FROM s{k}, z{k}, q{k})",
+        ]
+    rows = " UNION ALL ".join(f"SELECT {k} AS iteration, round(a, 6) AS a, round(b, 6) AS b, round(p, 6) AS pi0, round(1 - p, 6) AS pi1, round(loglik, 6) AS loglik FROM q{k}, z{k}" for k in range(passes))
+    return "WITH " + ",\n    ".join(parts) + "\n    " + rows
+
+
+@register("em_fit", _em_sql(4))
 def _em(spark, sf):
+    """Four passes; whole fits run to the tolerance by default (pruning.fit, weave.fit)."""
     return _rounded(pr.fit(ad.forest(spark, sf), A, B, PI, 3, iterations=4))

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["per_base_accuracy", "reliability_curve", "hard_segments_04", "ensemble_merge", "nearest_reference", "suffstats", "estimate_ne", "depth_rank"]
+NAMES = ["per_base_accuracy", "reliability_curve", "hard_segments_04", "ensemble_merge", "nearest_reference", "suffstats", "estimate_ne", "depth_rank", "split_time", "missing_mask", "paint_pieces", "edge_statistics", "em_fit", "range_count", "first_ancestor"]
 
 
 def test_flagship_has_rows(spark):
