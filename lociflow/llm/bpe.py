@@ -1,6 +1,6 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash of the bytes before each gap between words decides where a text is cut, on two scales: chunks of some eight words, and
+A rolling hash of the bytes before each gap between words decides where a text is cut, on two scales: chunks of some sixteen words, and
 inside them pieces of one or few words. Equal passages of different texts give equal chunks. A worker keeps the chunks it has met more than
 once and takes their ids from memory; the other chunks are put together from their pieces, each of which is encoded once and kept too.
 Where two pieces meet in a way that could read differently together (a mark that combines with what stands before it), both are encoded
@@ -31,7 +31,7 @@ from lociflow.llm.text import Words, buffers, slices
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes that the rolling hash sees; a gap is no cut of pieces where its lowest KEEP_BITS bits are 0, and one of chunks where
 #: also the next CHUNK_BITS bits are 0.
-WINDOW, KEEP_BITS, CHUNK_BITS = 6, 6, 3
+WINDOW, KEEP_BITS, CHUNK_BITS = 6, 6, 4
 #: Pieces and chunks of a generation (a worker keeps two); bits (as a power of two) of the table of chunks met; pieces encoded in one call.
 PIECES, CHUNKS, MET_POWER, TOGETHER = 150_000, 60_000, 25, 256
 #: Ids decoded in one call; a longer text is decoded alone.
