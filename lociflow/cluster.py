@@ -13,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Rows of an Arrow batch, where the session has Spark's own default: rows hold whole texts, which may be long.
+_RECORDS, _DEFAULT_RECORDS = "2000", "10000"
 _own_dir: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Put this package on the Python path of the session's workers, once an application."""
+    """Put this package on the Python path of the session's workers, once an application; batches of rows for them stay small."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == _DEFAULT_RECORDS:
+        spark.conf.set(batch, _RECORDS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
