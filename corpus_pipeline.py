@@ -8,7 +8,7 @@ itself, so of repeated rows one stays, and the row with the least id (then the l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored
@@ -19,9 +19,11 @@ from lociflow.llm import bpe, langid, mixing, neardup, toxicity
 TAIL, SHARE = 200, 0.5
 
 
-def _held(docs: DataFrame) -> DataFrame:
-    """The text beside the whole document, where no new column can take the place of one of its own."""
-    return docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+def _apart(docs: DataFrame) -> tuple[DataFrame, str, list[Column]]:
+    """(docs under numbered names, the text's, the columns under their own names again): no new column can take the place of theirs."""
+    names = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
+    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return renamed, names["text"], [F.col(n).alias(c) for c, n in names.items()]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +32,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     A short text has few n-grams, and so a low cosine by nature: each class of lengths has a level of its own, from the scores of
     all documents in it. The level is half of what all but the lowest of them reach, so documents in a learned language stay.
     """
-    named = langid.predict(_held(docs).withColumn("__class", F.floor(F.log2(F.length("text") + 1)).cast("int")), langid.fit(docs))
+    renamed, text, own = _apart(docs)
+    named = langid.predict(renamed.withColumn("__class", F.floor(F.log2(F.length(text) + 1)).cast("int")), langid.fit(docs), text)
     named = Stored(named.where(F.col("lang_pred") != langid.UNKNOWN), "named-documents")
     levels = named.df.groupBy("__class").agg((F.percentile_approx("score", F.lit(1.0 / TAIL), F.lit(10_000)) * SHARE).alias("__level"))
     kept = named.df.join(F.broadcast(levels), "__class").where(F.col("score") >= F.col("__level"))  # a row for each doubling of the length
-    return kept.select("__doc.*")
+    return kept.select(*own)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that the model of the labelled ones calls toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(_held(docs), model).where("predicted = 0").select("__doc.*")
+    renamed, text, own = _apart(docs)
+    return toxicity.score(renamed, model, text).where("predicted = 0").select(*own)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
