@@ -11,11 +11,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def tile_markers(df: DataFrame, by: list[str], pos: str, length: float, ties: list[str] | None = None) -> DataFrame:
+def neighbours(df: DataFrame, by: list[str], pos: str, before: list[str], after: list[str], width: float | None, ties: list[str] | None = None) -> DataFrame:
+    """df with __before, a struct of these columns of the row ahead in its key's order, and __after of the row that follows; null at the ends.
+
+    With `width` a key's rows are put in order inside bins of the axis only, and each bin's outer rows are handed to the bins beside it,
+    so a key with very many rows isn't one task. `pos` mustn't be null then.
+    """
+    order = [pos, *(ties or [])]
+    ahead, behind = F.struct(*before) if before else F.lit(None), F.struct(*after) if after else F.lit(None)
+    if width is None:
+        w = W.partitionBy(*by).orderBy(*order)
+        return df.withColumns({"__before": F.lag(ahead).over(w), "__after": F.lead(behind).over(w)})
+    rows, place = df.withColumn("__bin", F.floor(F.col(pos) / F.lit(width))), F.struct(*order)
+    bins = rows.groupBy(*by, "__bin").agg(F.max_by(ahead, place).alias("__l"), F.min_by(behind, place).alias("__f"))
+    over = W.partitionBy(*by).orderBy("__bin")
+    bins = bins.select(*by, "__bin", F.lag("__l").over(over).alias("__l"), F.lead("__f").over(over).alias("__f"))
+    inside = W.partitionBy(*by, "__bin").orderBy(*order)
+    both = rows.join(bins, [*by, "__bin"])
+    return both.withColumns({"__before": F.coalesce(F.lag(ahead).over(inside), "__l"), "__after": F.coalesce(F.lead(behind).over(inside), "__f")}).drop("__bin", "__l", "__f")
+
+
+def tile_markers(df: DataFrame, by: list[str], pos: str, length: float, ties: list[str] | None = None, width: float | None = None) -> DataFrame:
     """Give each marker the interval up to the next: the first begins at 0, the last ends at `length`."""
-    w = W.partitionBy(*by).orderBy(pos, *(ties or []))
-    left = F.when(F.row_number().over(w) == 1, F.lit(0.0)).otherwise(F.col(pos))
-    return df.withColumns({"left": left, "right": F.coalesce(F.lead(pos).over(w), F.lit(float(length)))}).where("left < right")
+    rows = neighbours(df, by, pos, [pos], [pos], width, ties)
+    left = F.when(F.col("__before").isNull(), F.lit(0.0)).otherwise(F.col(pos))
+    return rows.withColumns({"left": left, "right": F.coalesce(F.col("__after")[pos], F.lit(float(length)))}).drop("__before", "__after").where("left < right")
 
 
 def _bins(left: Column, right: Column, width: float) -> Column:
@@ -47,8 +67,8 @@ def merge_runs(df: DataFrame, by: list[str], values: list[str], width: float | N
 
     With `width` runs are first joined inside bins of the axis, then the few that remain across bins.
     """
-    if width is not None and weighted is None:
-        inner = merge_runs(df.withColumn("__bin", F.floor(F.col("left") / F.lit(width))), [*by, "__bin"], values)
+    if width is not None:
+        inner = merge_runs(df.withColumn("__bin", F.floor(F.col("left") / F.lit(width))), [*by, "__bin"], values, weighted=weighted)
         df = inner.drop("__bin")
     w = W.partitionBy(*by).orderBy("left")
     same = F.lag("right").over(w) == F.col("left")
@@ -60,27 +80,33 @@ def merge_runs(df: DataFrame, by: list[str], values: list[str], width: float | N
     return runs.groupBy(*by, "__run", *values).agg(F.min("left").alias("left"), F.max("right").alias("right"), *mean).drop("__run")
 
 
-def switches(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def switches(df: DataFrame, by: list[str], value: str, width: float | None = None) -> DataFrame:
     """(key..., pos) where the value differs from the one before."""
-    w = W.partitionBy(*by).orderBy("left")
-    return df.withColumn("__last", F.lag(value).over(w)).where(F.col("__last") != F.col(value)).select(*by, F.col("left").alias("pos"))
+    rows = neighbours(df.select(*by, "left", value), by, "left", [value], [], width)
+    return rows.where(F.col("__before")[value] != F.col(value)).select(*by, F.col("left").alias("pos"))
 
 
-def nearest(points: DataFrame, others: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
+def nearest(points: DataFrame, others: DataFrame, by: list[str], pos: str = "pos", width: float | None = None) -> DataFrame:
     """Each point with `distance` to the nearest other point of its key; infinity if there is none. One sort, no pairs."""
     both = points.select(*by, pos, F.lit(1).alias("__mine")).unionByName(others.select(*by, pos, F.lit(0).alias("__mine")))
-    w = W.partitionBy(*by).orderBy(pos)
-    other = F.when(F.col("__mine") == 0, F.col(pos))
-    before = F.last(other, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(other, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    both, inside = both.withColumns({"__bin": F.lit(0) if width is None else F.floor(F.col(pos) / F.lit(width))}), [*by, "__bin"]
+    w, other = W.partitionBy(*inside).orderBy(pos), F.when(F.col("__mine") == 0, F.col(pos))
+    before = F.max(other).over(w.rangeBetween(W.unboundedPreceding, 0))
+    after = F.min(other).over(w.rangeBetween(0, W.unboundedFollowing))
+    rows = both.withColumns({"__b": before, "__a": after})
+    if width is not None:  # the bins' own last and first others, carried on
+        over = W.partitionBy(*by).orderBy("__bin")
+        bins = both.groupBy(*inside).agg(F.max(other).alias("__l"), F.min(other).alias("__f"))
+        bins = bins.select(*inside, F.max("__l").over(over.rowsBetween(W.unboundedPreceding, -1)).alias("__l"), F.min("__f").over(over.rowsBetween(1, W.unboundedFollowing)).alias("__f"))
+        rows = rows.join(bins, inside).withColumns({"__b": F.coalesce("__b", "__l"), "__a": F.coalesce("__a", "__f")}).drop("__l", "__f")
     far = F.lit(float("inf"))
-    return both.withColumn("distance", F.least(F.coalesce(F.col(pos) - before, far), F.coalesce(after - F.col(pos), far))).where("__mine = 1").drop("__mine")
+    return rows.withColumn("distance", F.least(F.coalesce(F.col(pos) - F.col("__b"), far), F.coalesce(F.col("__a") - F.col(pos), far))).where("__mine = 1").drop("__mine", "__bin", "__a", "__b")
 
 
 def refine(tracks: DataFrame, by: list[str], member: str, width: float) -> DataFrame:
     """Cut all members' tracks at the union of their breakpoints: (key..., lo, hi, member, values...)."""
     points = tracks.select(*by, F.explode(F.array("left", "right")).alias("left")).distinct()
-    spans = points.withColumn("right", F.lead("left").over(W.partitionBy(*by).orderBy("left"))).where("right IS NOT NULL")
+    spans = neighbours(points, by, "left", [], ["left"], width).select(*by, "left", F.col("__after")["left"].alias("right")).where("right IS NOT NULL")
     return overlap_join(spans, tracks, by, width)
 
 
@@ -92,11 +118,24 @@ def merge_members(tracks: DataFrame, by: list[str], member: str, states: list[st
     return merged.withColumn("status", F.when(F.col("n_informative") > 0, "informative").otherwise("missing-info"))
 
 
-def clip(tracks: DataFrame, windows: DataFrame, width: float) -> DataFrame:
-    """The parts of the tracks inside each window (window, left, right); windows apply to all keys."""
+#: Windows that are broadcast, at most; beyond, both sides meet by bin and salt.
+FEW_WINDOWS = 50_000
+
+
+def clip(tracks: DataFrame, windows: DataFrame, width: float, salts: int = 32) -> DataFrame:
+    """The parts of the tracks inside each window (window, left, right); windows apply to all keys.
+
+    Few windows are broadcast, so no track moves. Otherwise tracks and windows meet in bins, and a bin's tracks, of all keys together, are
+    dealt over `salts` tasks that get the bin's windows each.
+    """
     x = tracks.withColumn("__bin", F.explode(_bins(F.col("left"), F.col("right"), width)))
     y = windows.withColumn("__bin", F.explode(_bins(F.col("left"), F.col("right"), width))).withColumnsRenamed({"left": "__wl", "right": "__wr"})
-    both = x.join(y, "__bin").where((F.col("left") < F.col("__wr")) & (F.col("__wl") < F.col("right")) & (F.floor(F.greatest("left", "__wl") / F.lit(width)) == F.col("__bin")))
+    if windows.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS:
+        both = x.join(F.broadcast(y), "__bin")
+    else:
+        x = x.withColumn("__salt", F.pmod(F.xxhash64(*tracks.columns), F.lit(salts)))
+        both = x.join(y.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["__bin", "__salt"]).drop("__salt")
+    both = both.where((F.col("left") < F.col("__wr")) & (F.col("__wl") < F.col("right")) & (F.floor(F.greatest("left", "__wl") / F.lit(width)) == F.col("__bin")))
     return both.withColumns({"left": F.greatest("left", "__wl"), "right": F.least("right", "__wr")}).drop("__bin", "__wl", "__wr")
 
 

@@ -7,9 +7,10 @@ count unless a metric says so; a metric without any span is null.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociflow.operators.intervals import nearest, neighbours
+
 
 def span() -> Column:
     return F.col("hi") - F.col("lo")
@@ -63,44 +64,38 @@ def reliability_curve(overlaps: DataFrame, state: str, index: int, bins: int = 1
     return informative(overlaps).groupBy(place.alias("bin")).agg(ratio(F.col(state) * span(), span()).alias("predicted"), ratio(seen, span()).alias("observed"), F.sum(span()).alias("weight"))
 
 
-def _steps(tracks: DataFrame, states: list[str]) -> DataFrame:
+def _steps(tracks: DataFrame, states: list[str], width: float | None = None) -> DataFrame:
     """A row for each boundary of two informative neighbours: its position, the change of p0 and whether the top state flips."""
-    w = W.partitionBy("sample").orderBy("left")
-    rows = tracks.select("sample", "left", "status", F.col(states[0]).alias("p"), top(states).alias("s"))
-    rows = rows.withColumns({"lp": F.lag("p").over(w), "ls": F.lag("s").over(w), "lstatus": F.lag("status").over(w)})
-    return rows.where("status = 'informative' AND lstatus = 'informative'").select("sample", F.col("left").alias("pos"), F.abs(F.col("p") - F.col("lp")).alias("step"), (F.col("s") != F.col("ls")).cast("int").alias("flip"))
+    rows = neighbours(tracks.select("sample", "left", "status", F.col(states[0]).alias("p"), top(states).alias("s")), ["sample"], "left", ["p", "s", "status"], [], width)
+    rows = rows.where("status = 'informative' AND __before.status = 'informative'")
+    return rows.select("sample", F.col("left").alias("pos"), F.abs(F.col("p") - F.col("__before.p")).alias("step"), (F.col("s") != F.col("__before.s")).cast("int").alias("flip"))
 
 
-def flicker(tracks: DataFrame, states: list[str]) -> DataFrame:
-    return _steps(tracks, states).agg(F.count(F.lit(1)).alias("boundaries"), F.coalesce(F.avg("step"), F.lit(0.0)).alias("mean_step"), F.coalesce(F.avg("flip"), F.lit(0.0)).alias("flip_rate"))
+def flicker(tracks: DataFrame, states: list[str], width: float | None = None) -> DataFrame:
+    return _steps(tracks, states, width).agg(F.count(F.lit(1)).alias("boundaries"), F.coalesce(F.avg("step"), F.lit(0.0)).alias("mean_step"), F.coalesce(F.avg("flip"), F.lit(0.0)).alias("flip_rate"))
 
 
-def flicker_by_truth(tracks: DataFrame, states: list[str], true_switches: DataFrame, tolerance: float) -> DataFrame:
+def flicker_by_truth(tracks: DataFrame, states: list[str], true_switches: DataFrame, tolerance: float, width: float | None = None) -> DataFrame:
     """Flicker of boundaries within `tolerance` of a true switch, and of the others."""
-    from lociflow.operators.intervals import nearest
-
-    steps = _steps(tracks, states)
-    near = nearest(steps.select("sample", "pos"), true_switches, ["sample"]).select("sample", "pos", (F.col("distance") <= tolerance).alias("at_true"))
+    steps = _steps(tracks, states, width)
+    near = nearest(steps.select("sample", "pos"), true_switches, ["sample"], width=width).select("sample", "pos", (F.col("distance") <= tolerance).alias("at_true"))
     return steps.join(near, ["sample", "pos"]).groupBy("at_true").agg(F.count(F.lit(1)).alias("boundaries"), F.avg("step").alias("mean_step"), F.avg("flip").alias("flip_rate"))
 
 
-def boundary_error(true_switches: DataFrame, found_switches: DataFrame) -> DataFrame:
+def boundary_error(true_switches: DataFrame, found_switches: DataFrame, width: float | None = None) -> DataFrame:
     """Median and mean distance from true switches to the nearest found one (infinity without one)."""
-    from lociflow.operators.intervals import nearest
-
-    d = nearest(true_switches, found_switches, ["sample"])
+    d = nearest(true_switches, found_switches, ["sample"], width=width)
     return d.agg(F.count(F.lit(1)).alias("n"), F.percentile("distance", 0.5).alias("median"), F.avg("distance").alias("mean"))
 
 
-def breakpoint_scores(true_switches: DataFrame, found_switches: DataFrame, tolerance: float) -> DataFrame:
+def breakpoint_scores(true_switches: DataFrame, found_switches: DataFrame, tolerance: float, width: float | None = None) -> DataFrame:
     """Share of found switches near a true one and of true ones near a found one, averaged over the samples that have any."""
-    from lociflow.operators.intervals import nearest
 
     def share(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        near = nearest(a, b, ["sample"]).groupBy("sample").agg(F.avg((F.col("distance") <= tolerance).cast("double")).alias("x"))
+        near = nearest(a, b, ["sample"], width=width).groupBy("sample").agg(F.avg((F.col("distance") <= tolerance).cast("double")).alias("x"))
         return near.agg(F.avg("x").alias(name))
 
-    return share(found_switches, true_switches, "precision").join(F.broadcast(share(true_switches, found_switches, "recall")))
+    return share(found_switches, true_switches, "precision").join(F.broadcast(share(true_switches, found_switches, "recall")))  # one row each
 
 
 def switch_density(track_switches: DataFrame, samples: DataFrame, length: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored
-from lociflow.operators.intervals import points_in, running
+from lociflow.operators.intervals import merge_runs, points_in, running
 from lociflow.operators.order import ranked
 
 
@@ -25,7 +25,7 @@ def edge_span_summary(edges: DataFrame) -> DataFrame:
 def node_persistence(edges: DataFrame, tree_table: DataFrame, width: float) -> DataFrame:
     """(node, trees): in how many trees each parent or child stands. Runs of a node are joined first, then measured in tree numbers."""
     nodes = edges.select("left", "right", F.explode(F.array(F.concat(F.lit("p"), "parent"), F.concat(F.lit("c"), "child"))).alias("node"))
-    covered = coverage(nodes, ["node"])
+    covered = coverage(nodes, "node", width)
     index = tree_table.select(F.col("left").alias("at"), "tree")
     end = tree_table.select(F.col("right").alias("at"), (F.col("tree") + 1).alias("tree"))
     begun = covered.join(index.withColumnRenamed("tree", "first"), F.col("left") == F.col("at")).drop("at")
@@ -33,14 +33,10 @@ def node_persistence(edges: DataFrame, tree_table: DataFrame, width: float) -> D
     return closed.groupBy("node").agg(F.sum(F.col("last") - F.col("first")).cast("long").alias("trees"))
 
 
-def coverage(df: DataFrame, by: list[str]) -> DataFrame:
-    """The union of each key's intervals, which may overlap, as disjoint intervals."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(*by).orderBy("left", "right")
-    reach = F.max("right").over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = df.withColumn("__new", F.when(reach >= F.col("left"), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
-    return rows.groupBy(*by, "__run").agg(F.min("left").alias("left"), F.max("right").alias("right")).drop("__run")
+def coverage(df: DataFrame, by: str, width: float) -> DataFrame:
+    """The union of each key's intervals, which may overlap, as disjoint intervals: where the running sum of what begins and ends is above 0."""
+    ends = df.select(by, F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("held")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("held")))).alias("end")).select(by, "end.*")
+    return merge_runs(running(ends, by, "pos", ["held"], width).where("held > 0").drop("held"), [by], [], width)
 
 
 def persistence_summary(persistence: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def _smoother(spark, sf):
 
 
 def _depths(spark, sf):
-    tiled = iv.tile_markers(ad.event_markers(spark, sf), ["sample"], "pos", ad.LENGTH, ["event_id"])
+    tiled = iv.tile_markers(ad.event_markers(spark, sf), ["sample"], "pos", ad.LENGTH, ["event_id"], ad.BIN)
     return tiled.select("sample", "left", "right", F.when(F.col("event_type") != "error", F.col("value")).alias("depth"), F.when(F.col("event_type") == "error", "missing-info").otherwise("informative").alias("status"))
 
 
@@ -118,7 +118,7 @@ _ISLANDS = """, i AS (SELECT *, sum(CASE WHEN pr = "left" THEN 0 ELSE 1 END) OVE
 @register("foreign_tracts", _LOO + """, h AS (SELECT sample, "left", "right", 1 - own AS score FROM k WHERE status = 'informative' AND 1 - own >= 0.6)""" + _ISLANDS + """ SELECT sample, min("left") AS "left", max("right") AS "right", round(sum(score * ("right" - "left")) / sum("right" - "left"), 6) AS score FROM i GROUP BY sample, g""")
 def _foreign(spark, sf):
     rows = _loo_tracks(spark, sf).where("status = 'informative'").withColumn("score", F.lit(1.0) - F.col("own")).where("score >= 0.6")
-    return _rounded(iv.merge_runs(rows.select("sample", "left", "right", "score"), ["sample"], [], weighted="score").select("sample", "left", "right", "score"))
+    return _rounded(iv.merge_runs(rows.select("sample", "left", "right", "score"), ["sample"], [], ad.BIN, weighted="score").select("sample", "left", "right", "score"))
 
 
 @register("qc_flagged", _LOO + """, h AS (SELECT sample, "left", "right" FROM k WHERE status = 'informative' AND other - own >= 0.4)""" + _ISLANDS + """ SELECT sample, (1 - sample % 2)::INT AS state, min("left") AS "left", max("right") AS "right" FROM i GROUP BY sample, g""")

@@ -49,11 +49,11 @@ def overlaps(spark, sf):
 
 
 def found_switches(spark, sf):
-    return iv.switches(ad.event_tracks(spark, sf).withColumn("s", mt.top(STATES)), ["sample"], "s")
+    return iv.switches(ad.event_tracks(spark, sf).withColumn("s", mt.top(STATES)), ["sample"], "s", ad.BIN)
 
 
 def true_switches(spark, sf):
-    return iv.switches(ad.event_truth(spark, sf), ["sample"], "state")
+    return iv.switches(ad.event_truth(spark, sf), ["sample"], "state", ad.BIN)
 
 
 @register("per_base_accuracy", _BOTH + "SELECT count(*) AS n, round(sum(CASE WHEN s = state THEN w ELSE 0 END) / sum(w), 6) AS accuracy FROM oi")
@@ -92,23 +92,23 @@ _STEPS = _BOTH + """, st AS (SELECT sample, "left" AS pos, abs(p0 - lp) AS step,
 
 @register("flicker", _STEPS + "SELECT count(*) AS boundaries, round(coalesce(avg(step), 0), 6) AS mean_step, round(coalesce(avg(flip), 0), 6) AS flip_rate FROM st")
 def _flicker(spark, sf):
-    return _rounded(mt.flicker(ad.event_tracks(spark, sf), STATES))
+    return _rounded(mt.flicker(ad.event_tracks(spark, sf), STATES, ad.BIN))
 
 
 @register("flicker_at_off_true", _STEPS + ", f AS (SELECT *, EXISTS (SELECT 1 FROM ts WHERE ts.sample = st.sample AND abs(ts.pos - st.pos) <= 3600) AS at_true FROM st) SELECT at_true, count(*) AS boundaries, round(avg(step), 6) AS mean_step, round(avg(flip), 6) AS flip_rate FROM f GROUP BY at_true")
 def _flicker_true(spark, sf):
-    return _rounded(mt.flicker_by_truth(ad.event_tracks(spark, sf), STATES, true_switches(spark, sf), 3600.0))
+    return _rounded(mt.flicker_by_truth(ad.event_tracks(spark, sf), STATES, true_switches(spark, sf), 3600.0, ad.BIN))
 
 
 @register("boundary_error", _BOTH + ", d AS (SELECT ts.sample, ts.pos, coalesce(min(abs(ts.pos - fs.pos)), 'inf'::DOUBLE) AS d FROM ts LEFT JOIN fs ON fs.sample = ts.sample GROUP BY 1, 2) SELECT count(*) AS n, round(median(d), 6) AS median, round(avg(d), 6) AS mean FROM d")
 def _boundary(spark, sf):
-    return _rounded(mt.boundary_error(true_switches(spark, sf), found_switches(spark, sf)))
+    return _rounded(mt.boundary_error(true_switches(spark, sf), found_switches(spark, sf), ad.BIN))
 
 
 @register("breakpoint_pr", _BOTH + """, p AS (SELECT sample, avg(EXISTS (SELECT 1 FROM ts WHERE ts.sample = fs.sample AND abs(ts.pos - fs.pos) <= 12960)::INT) AS x FROM fs GROUP BY sample),
     r AS (SELECT sample, avg(EXISTS (SELECT 1 FROM fs WHERE ts.sample = fs.sample AND abs(ts.pos - fs.pos) <= 12960)::INT) AS x FROM ts GROUP BY sample) SELECT round((SELECT avg(x) FROM p), 6) AS precision, round((SELECT avg(x) FROM r), 6) AS recall""")
 def _breakpoints(spark, sf):
-    return _rounded(mt.breakpoint_scores(true_switches(spark, sf), found_switches(spark, sf), 0.005 * ad.LENGTH))
+    return _rounded(mt.breakpoint_scores(true_switches(spark, sf), found_switches(spark, sf), 0.005 * ad.LENGTH, ad.BIN))
 
 
 @register("switch_density", _BOTH + "SELECT s.sample, count(fs.pos) AS switches, round(count(fs.pos) / 2592000::DOUBLE, 12) AS density FROM (SELECT DISTINCT sample FROM t) s LEFT JOIN fs USING (sample) GROUP BY s.sample")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lociflow.operators.intervals import tile_markers
 
-#: Length of the event axis in seconds (30 days), and of a tile of the truth.
-LENGTH, TILE = 2_592_000.0, 21_600.0
+#: Length of the event axis in seconds (30 days), of a tile of the truth, and of a bin of the axis.
+LENGTH, TILE, BIN = 2_592_000.0, 21_600.0, 345_600.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,7 @@ def event_tracks(spark: SparkSession, sf_dir: str, scale: float = 50.0, thin: in
     markers = event_markers(spark, sf_dir)
     if thin is not None:
         markers = markers.where(F.col("event_id") % 3 != thin)
-    tiled = tile_markers(markers, ["sample"], "pos", LENGTH, ["event_id"])
+    tiled = tile_markers(markers, ["sample"], "pos", LENGTH, ["event_id"], BIN)
     p0 = F.col("value") / (F.col("value") + F.lit(scale))
     return tiled.select("sample", "left", "right", p0.alias("p0"), (F.lit(1.0) - p0).alias("p1"), F.when(F.col("event_type") == "error", "missing-info").otherwise("informative").alias("status"))
 

@@ -88,9 +88,58 @@ def test_empty_tables_stay_empty(spark):
 def test_topology(spark):
     edges = spark.createDataFrame([(0.0, 4.0, 1, 10), (2.0, 6.0, 1, 11)], "left double, right double, parent long, child long")
     assert [(r.tree, r.left, r.right) for r in trees(edges, 8.0, 3.0).orderBy("tree").collect()] == [(0, 0.0, 2.0), (1, 2.0, 4.0), (2, 4.0, 6.0), (3, 6.0, 8.0)]
-    assert [(r.left, r.right) for r in coverage(edges, ["parent"]).collect()] == [(0.0, 6.0)]
+    assert [(r.left, r.right) for r in coverage(edges, "parent", 2.0).collect()] == [(0.0, 6.0)]
     leaves = spark.createDataFrame([("a", 0, "x"), ("b", 1, "x"), ("c", 2, "y")], "node string, rank int, parent string")
     inner = spark.createDataFrame([("x", "r", 1.0), ("y", "r", 1.0), ("r", None, 10.0)], "node string, parent string, time double")
     refs = spark.createDataFrame([("a", 0, 7), ("b", 1, 8)], "node string, rank int, label int")
     got = {r.node: (r.depth, r.label) for r in nearest_reference(leaves, inner, refs).collect()}
     assert got == {"a": (1.0, 8), "b": (1.0, 7), "c": (10.0, 7)}
+
+
+def test_equal_results_for_any_bin_width(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    rows = [(int(s), float(p), int(k), int(v)) for k, (s, p, v) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 500, 200), rng.integers(0, 2, 200)))]
+    df = spark.createDataFrame(rows, "sample long, pos double, id long, v long")
+    others = spark.createDataFrame([(int(s), float(p)) for s, p in zip(rng.integers(0, 4, 40), rng.integers(0, 500, 40))], "sample long, pos double")
+    windows = spark.createDataFrame([(k, 50.0 * k, 50.0 * k + 70.0) for k in range(10)], "window long, left double, right double")
+    want = None
+    for width in (None, 7.0, 60.0, 1e6):
+        tiled = iv.tile_markers(df, ["sample"], "pos", 500.0, ["id"], width)
+        runs = iv.merge_runs(tiled, ["sample"], [], width, weighted="v")
+        got = [
+            sorted(tuple(r) for r in tiled.select("sample", "left", "right", "id", "v").collect()),
+            sorted(tuple(r) for r in iv.switches(tiled, ["sample"], "v", width).collect()),
+            sorted(tuple(r) for r in iv.nearest(df.select("sample", "pos"), others, ["sample"], "pos", width).collect()),
+            sorted((r.sample, r.left, r.right, round(r.v, 9)) for r in runs.collect()),
+            sorted(tuple(r) for r in coverage(df.selectExpr("sample", "pos as left", "pos + 2 as right"), "sample", width or 3.0).select("sample", "left", "right").collect()),
+            sorted((r.window, r.sample, r.left, r.right, r.id) for r in iv.clip(tiled, windows, width or 11.0).collect()),
+        ]
+        want = want or got
+        assert got == want
+    for sample, pos, distance in want[2]:
+        near = [abs(p - pos) for s, p in ((r.sample, r.pos) for r in others.collect()) if s == sample]
+        assert distance == min(near, default=float("inf"))
+
+
+def test_clip_of_many_windows_equals_clip_of_few(spark, monkeypatch):
+    tracks = spark.createDataFrame([(k % 5, 3.0 * k, 3.0 * k + 3.0, k) for k in range(40)], "sample long, left double, right double, v long")
+    windows = spark.createDataFrame([(k, 10.0 * k, 10.0 * k + 10.0) for k in range(12)], "window long, left double, right double")
+    few = sorted(tuple(r) for r in iv.clip(tracks, windows, 8.0).select("sample", "left", "right", "v", "window").collect())
+    monkeypatch.setattr(iv, "FEW_WINDOWS", 3)
+    assert few == sorted(tuple(r) for r in iv.clip(tracks, windows, 8.0).select("sample", "left", "right", "v", "window").collect()) and len(few) > 40
+
+
+def test_groups_keep_every_row_and_widen_offsets():
+    import pyarrow as pa
+
+    from lociflow.functions.groups import joined, whole_groups
+
+    batches = [pa.RecordBatch.from_pydict({"k": [i // 7] * 3, "t": [f"{i}-{j}" for j in range(3)], "b": [b"x" * j for j in range(3)]}) for i in range(30)]
+    out = list(whole_groups(iter([*batches, batches[-1].slice(0, 0)]), ["k"]))
+    assert sum(b.num_rows for b in out) == 90 and all(b.schema.field("b").type == pa.large_binary() and b.schema.field("t").type == pa.large_string() for b in out)
+    seen = [k for b in out for k in sorted(set(b.column("k").to_pylist()))]
+    assert len(seen) == len(set(seen)) == 5
+    lists = pa.RecordBatch.from_pydict({"k": [1], "t": ["a"]})
+    assert joined([lists]) is lists

@@ -133,7 +133,7 @@ def test_split_times():
     c = np.array([1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0])
     rising = np.array([1, 1, 1, 1, 5, 9, 9, 9.0])
     even = np.ones(8)
-    assert splines.split_time(c, rising, even) == 16.0 and splines.split_time(c, rising[::-1], even) == 16.0
+    assert splines.split_time(c, rising, even) == 16.0 and splines.split_time(c, rising[::-1], even) == 8.0
     assert splines.split_time(c, even, even) is None and splines.split_time(c[:1], rising[:1], even[:1]) is None
     assert splines.split_time(c, np.append(rising[:-1], 1000), np.append(even[:-1], 1e-3)) == 16.0
     dwell, jumps = np.ones((8, 2)), np.zeros((8, 2, 2))
