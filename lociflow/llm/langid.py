@@ -1,11 +1,12 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter owns a random vector of +1 and -1. An n-gram's vector binds (multiplies) its letters' vectors, the letter
+Every letter owns a random vector of +1 and -1. An n-gram (three characters around a letter)'s vector binds (multiplies) its letters' vectors, the letter
 at place k permuted k times (a cyclic shift); a text's vector bundles (sums) its n-grams' vectors; a language's
 prototype bundles its texts. A text's language is the prototype with the largest cosine.
 
-Texts without a letter and null texts are `und` with score 0. Empty tables give empty results; ties go to the
-first language in code-point order. Rows are neither added nor dropped.
+Texts without a letter and null texts are `und` with score 0; texts of any length are read whole. Empty tables give empty results;
+without learned texts all are `und`. Ties go to the first language in code-point order. Rows are neither added nor dropped,
+repeated rows are judged alike; input columns named like a new column are replaced.
 """
 
 from __future__ import annotations

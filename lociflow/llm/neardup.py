@@ -10,7 +10,8 @@ each band's key tell (another band agrees in them by chance in 1.4e-8 of the pai
 the tasks, so no group is paired with itself as a whole.
 
 Null and empty texts have no shingle and link with nothing; texts under `width` words have their whole sequence as their
-one shingle. Rows that repeat stay, each with its class's component; a component's id ignores null ids, and rows with null
+one shingle; texts of any length are read whole. Ties mean nothing: the least id names a component. Other columns than id and text
+aren't read, so their names don't matter; the id column comes back under its own name. Rows that repeat stay, each with its class's component; a component's id ignores null ids, and rows with null
 ids stay. Empty tables give empty results.
 """
 

@@ -9,8 +9,9 @@ far less often. Large buckets are compared block by block, so no task holds a bu
 
 Equal vectors of a label are one class from the start, linked among themselves. Vectors that are null, empty, zero or
 hold null or non-finite components, and vectors without a label, link with nothing; nor do vectors of different
-lengths. Repeated rows stay and count as vectors of their own. A component's id is the smallest non-null id in it. Empty tables
-give empty results.
+lengths. Repeated rows stay and count as vectors of their own. A component's id is the smallest non-null id in it, so ties mean nothing;
+vectors of any length are compared whole. Empty tables give empty results. Other columns than id, label and vector aren't read, so their
+names don't matter; the id column comes back under its own name.
 """
 
 from __future__ import annotations
