@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter owns a random vector of +1 and -1. An n-gram (three characters around a letter)'s vector binds (multiplies) its letters' vectors, the letter
+Every letter owns a random vector of +1 and -1. An n-gram is three characters around a letter; its vector binds (multiplies) the characters' vectors, that
 at place k permuted k times (a cyclic shift); a text's vector bundles (sums) its n-grams' vectors; a language's
 prototype bundles its texts. A text's language is the prototype with the largest cosine.
 
