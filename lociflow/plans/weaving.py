@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lociflow.operators import weave
+from lociflow.operators import references, weave
 from lociflow.sources import adapters as ad
 
 Q = np.array([[-0.09, 0.05, 0.04], [0.03, -0.08, 0.05], [0.02, 0.06, -0.08]])
@@ -32,21 +32,28 @@ def _inputs(spark, sf):
 
 
 _P = weave.transitions(Q, np.array([T]))[0]
+#: Rates by time cell, over branches from 0 to T.
+CELLS = weave.ByCell(np.stack([Q, 0.5 * Q, 2.0 * Q[::-1, ::-1]]), np.array([0.25, 0.5, 1.25, 4.0]))
+_PC = CELLS.moves(np.array([0.0]), np.array([T]))[0]
 _n = lambda x: f"{float(x)!r}::DOUBLE"
 _plus = " + ".join
-_SQL = f"""WITH e AS (SELECT min(date_diff('day', DATE '1992-01-01', o_orderdate::DATE))::DOUBLE AS a, max(date_diff('day', DATE '1992-01-01', o_orderdate::DATE))::DOUBLE + 1 AS z, c_nationkey AS nation, c_custkey AS k FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, c_custkey),
+def _sql(p: np.ndarray) -> str:
+    return f"""WITH e AS (SELECT min(date_diff('day', DATE '1992-01-01', o_orderdate::DATE))::DOUBLE AS a, max(date_diff('day', DATE '1992-01-01', o_orderdate::DATE))::DOUBLE + 1 AS z, c_nationkey AS nation, c_custkey AS k FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, c_custkey),
     lab AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 <> 0 THEN CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal < 5000 THEN 1 ELSE 2 END END AS label, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS w FROM customer),
     em AS (SELECT k, {", ".join(f"CASE WHEN label IS NULL THEN {_n(PI[s])} ELSE w * (label = {s})::INT + (1::DOUBLE - w) * {_n(PI[s])} END AS e{s}" for s in range(K))} FROM lab),
-    m AS (SELECT *, {", ".join("ln(" + _plus(f"{_n(_P[s, j])} * e{j}" for j in range(K)) + f") AS m{s}" for s in range(K))} FROM em),
+    m AS (SELECT *, {", ".join("ln(" + _plus(f"{_n(p[s, j])} * e{j}" for j in range(K)) + f") AS m{s}" for s in range(K))} FROM em),
     pt AS (SELECT DISTINCT nation, x FROM (SELECT nation, a AS x FROM e UNION ALL SELECT nation, z FROM e)),
     iv AS (SELECT nation, x AS lo, lead(x) OVER (PARTITION BY nation ORDER BY x) AS hi FROM pt),
     h AS (SELECT iv.nation, lo, hi, m.* FROM iv JOIN e ON e.nation = iv.nation AND e.a <= lo AND lo < e.z JOIN m USING (k) WHERE hi IS NOT NULL),
     s AS (SELECT nation, lo, hi, {", ".join(f"sum(m{s}) AS s{s}" for s in range(K))} FROM h GROUP BY nation, lo, hi),
     c AS (SELECT h.*, {", ".join(f"ln({_n(PI[s])}) + s{s} - m{s} AS v{s}" for s in range(K))} FROM h JOIN s USING (nation, lo, hi)),
-    d AS (SELECT *, {", ".join(_plus(f"exp(v{s} - greatest(v0, v1, v2)) * {_n(_P[s, j])}" for s in range(K)) + f" AS u{j}" for j in range(K))} FROM c),
+    d AS (SELECT *, {", ".join(_plus(f"exp(v{s} - greatest(v0, v1, v2)) * {_n(p[s, j])}" for s in range(K)) + f" AS u{j}" for j in range(K))} FROM c),
     g AS (SELECT k, lo, hi, {", ".join(f"u{j} * e{j} / (u0 * e0 + u1 * e1 + u2 * e2) AS g{j}, u{j} / (u0 + u1 + u2) AS o{j}" for j in range(K))} FROM d)"""
 
 
+_SQL = _sql(_P)
+
+
 def _pieces(kind: str) -> str:
     return _SQL + f" SELECT k::BIGINT AS sample, lo AS \"left\", hi AS \"right\", {', '.join(f'round({kind}{j}, 6) AS p{j}' for j in range(K))} FROM g"
 
@@ -102,3 +109,65 @@ def _m_step(spark, sf):
     at = lambda c, i: F.get(F.col(c), F.lit(i))
     total = at("root", 0) + at("root", 1) + at("root", 2)
     return _counts(spark, sf).select(*[F.round(at("jumps", i * K + j) / at("dwell", i), 6).alias(f"q{i}{j}") for i in range(K) for j in range(K) if i != j], *[F.round(at("root", s) / total, 6).alias(f"pi{s}") for s in range(K)])
+
+
+def _labelled(spark, sf):
+    return ad.woven(spark, sf)[1].where("label IS NOT NULL").select("node", "label")
+
+
+def _loo_tracks(spark, sf):
+    return _painted(spark, sf, True, 9)
+
+
+_OWN = ", r AS (SELECT g.*, hi - lo AS span, label, CASE label WHEN 0 THEN o0 WHEN 1 THEN o1 ELSE o2 END AS own FROM g JOIN lab USING (k) WHERE label IS NOT NULL)"
+_AGREE = _SQL + _OWN + ", a AS (SELECT k, sum(own * span) / sum(span) AS agreement, sum(span) AS told FROM r GROUP BY k)"
+
+
+@register("reference_agreement", _AGREE + " SELECT lab.k::BIGINT AS node, label, round(agreement, 6) AS agreement, coalesce(told, 0)::DOUBLE AS told FROM lab LEFT JOIN a ON lab.k = a.k WHERE label IS NOT NULL")
+def _agreement(spark, sf):
+    """What the rest of the genealogy says of each reference's own label, along its informative stretches."""
+    got = references.agreement(_loo_tracks(spark, sf), _labelled(spark, sf), [f"p{s}" for s in range(K)])
+    return got.select("node", "label", F.round("agreement", 6).alias("agreement"), "told")
+
+
+@register("learned_credibility", _AGREE + " SELECT lab.k::BIGINT AS node, round((19::DOUBLE + coalesce(agreement * told, 0)) / (19::DOUBLE + coalesce(told, 0)), 6) AS w FROM lab LEFT JOIN a ON lab.k = a.k WHERE label IS NOT NULL")
+def _credibility(spark, sf):
+    got = references.learned_credibility(references.agreement(_loo_tracks(spark, sf), _labelled(spark, sf), [f"p{s}" for s in range(K)]))
+    return got.select("node", F.round("w", 6).alias("w"))
+
+
+@register("reference_tracts", _SQL + _OWN + """, b AS (SELECT k, lo, hi, own, greatest(CASE WHEN label = 0 THEN -1 ELSE o0 END, CASE WHEN label = 1 THEN -1 ELSE o1 END, CASE WHEN label = 2 THEN -1 ELSE o2 END) AS best, label, o0, o1, o2 FROM r),
+    f AS (SELECT k, lo, hi, CASE WHEN label <> 0 AND o0 = best THEN 0 WHEN label <> 1 AND o1 = best THEN 1 ELSE 2 END AS state FROM b WHERE best - own >= 0.1::DOUBLE),
+    i AS (SELECT *, sum(CASE WHEN ph = lo AND ps = state THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY lo) AS n FROM (SELECT *, lag(hi) OVER w AS ph, lag(state) OVER w AS ps FROM f WINDOW w AS (PARTITION BY k ORDER BY lo)))
+    SELECT k::BIGINT AS node, min(lo) AS "left", max(hi) AS "right", state FROM i GROUP BY k, n, state""")
+def _tracts(spark, sf):
+    return references.flagged(_loo_tracks(spark, sf), _labelled(spark, sf), [f"p{s}" for s in range(K)], 0.1, WIDTH)
+
+
+def _cell_weights(c: int, m: int, n: int) -> np.ndarray:
+    """What cell c adds for a branch whose end states are i and j, for all i and j."""
+    out = np.zeros((K, K))
+    for i in range(K):
+        for j in range(K):
+            x = np.zeros((1, K, K))
+            x[0, i, j] = 1.0
+            dwell, jumps = CELLS.rewards(np.array([0.0]), np.array([T]), x)
+            out[i, j] = dwell[c, m] if m == n else jumps[c, m, n]
+    return out
+
+
+_YC = _plus(f"exp(v{i} - greatest(v0, v1, v2)) * {_n(_PC[i, j])} * e{j}" for i in range(K) for j in range(K))
+_CELL_SQL = _sql(_PC) + f""", y AS (SELECT hi - lo AS span, {", ".join(f"exp(v{i} - greatest(v0, v1, v2)) * {_n(_PC[i, j])} * e{j} / ({_YC}) AS x{i}{j}" for i in range(K) for j in range(K))} FROM d),
+    w AS (SELECT {", ".join(f"sum(span * x{i}{j}) AS x{i}{j}" for i in range(K) for j in range(K))} FROM y) """ + " UNION ALL ".join(
+    f"SELECT {c} AS cell, " + ", ".join("round(" + _plus(f"x{i}{j} * {_n(_cell_weights(c, m, n)[i, j])}" for i in range(K) for j in range(K)) + f", 3) AS {'dwell' + str(m) if m == n else f'jump{m}{n}'}" for m in range(K) for n in range(K)) + " FROM w"
+    for c in range(len(CELLS.q))
+)
+
+
+@register("time_cell_statistics", _CELL_SQL)
+def _time_cells(spark, sf):
+    """Time in each state and jumps in each cell of a time grid, under a generator for each cell."""
+    edges, nodes, _ = _inputs(spark, sf)
+    _, joints, _ = weave.posteriors(edges, nodes, CELLS, PI, WIDTH)
+    at = lambda c, i: F.round(F.get(F.col(c), F.lit(i)), 3)
+    return weave.cell_statistics(joints, CELLS).select("cell", *[(at("dwell", m).alias(f"dwell{m}") if m == n else at("jumps", m * K + n).alias(f"jump{m}{n}")) for m in range(K) for n in range(K)])
