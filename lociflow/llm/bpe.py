@@ -7,8 +7,8 @@ Where two pieces meet in a way that could read differently together (a mark that
 again as one, and so on towards the start of the text until the pieces agree exactly with what they give together. The
 tokenizer drops white space, so all other joins are exact.
 
-What a worker keeps is bounded: pieces and chunks of two generations each, and a table of fixed size that tells what was met
-before. Null and empty texts have no ids and decode to the empty string. Special tokens written in a text are read as the library
+What a worker keeps is bounded: pieces and chunks of two generations each, forgotten at a task's end, and a table of fixed size that
+tells what was met before. Null and empty texts have no ids and decode to the empty string. Special tokens written in a text are read as the library
 reads them. A text without gaps is one chunk; texts of any length are read whole. Rows are neither added nor dropped, repeated rows are
 coded alike, ties can't arise; empty tables give empty results. Input columns named like a new column are replaced.
 """
@@ -61,6 +61,11 @@ class Coder:
         self.met = bytearray(1 << (MET_POWER - 3))
         self.reused = 0
 
+    def forget(self) -> None:
+        """Drop all pieces and chunks."""
+        for table in (self.known, self.older, self.shared, self.passed):
+            table.clear()
+
     def _encode(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, their decoded text) of each chunk."""
         texts, out = [c.decode("utf-8", "replace") for c in chunks], []
@@ -184,7 +189,7 @@ def _apply(df: DataFrame, text_col: str, tokenizer: str, make, returns: T.Struct
         columns = [pa.concat_arrays([m[k] for m in made]) for k in range(len(returns.fields))] if made else make([])
         return pa.StructArray.from_arrays(columns, returns.fieldNames())
 
-    return with_text_udf(df, text_col, run, returns)
+    return with_text_udf(df, text_col, run, returns, lambda: coder(tokenizer).forget())
 
 
 def encode(df: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:

@@ -50,10 +50,11 @@ def spread(id_col: str, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def with_text_udf(df: DataFrame, text_col: str, fn: Callable[[pa.Array], pa.Array], returns: T.StructType) -> DataFrame:
+def with_text_udf(df: DataFrame, text_col: str, fn: Callable[[pa.Array], pa.Array], returns: T.StructType, done: Callable[[], None] | None = None) -> DataFrame:
     """Add the fields that `fn` makes of the text column (Arrow array in, struct array out).
 
-    Every row and column stays; an input column with the name of a new field is replaced.
+    Every row and column stays; an input column with the name of a new field is replaced. done: called at a task's end, so that
+    a worker, which lives on, keeps nothing that only this step needs.
     """
     ship(df.sparkSession)
 
@@ -62,6 +63,9 @@ def with_text_udf(df: DataFrame, text_col: str, fn: Callable[[pa.Array], pa.Arra
         for batch in batches:
             yield fn(batch)
             trim()
+        if done is not None:
+            done()
+            trim()
 
     taken = set(returns.fieldNames())
     keep = [F.col(f"`{c}`") for c in df.columns if c not in taken]
