@@ -51,13 +51,18 @@ def test_round_trip_keeps_empty_samples(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/m").first().value == '{"a":null,"b":1.0}'
 
 
-def test_effective_size_panel(spark):
-    calls = []
-    for site in range(100):
-        alleles = {"a": 0, "b": int(site < 10), "c": int(site >= 20), "d": int(site >= 10)}
-        for k, (name, allele) in enumerate(alleles.items()):
-            for h in (0, 1):
-                calls.append((site, 2 * k + h, k, int(k >= 2), allele))
-    df = spark.createDataFrame(calls, "site long, hap long, individual long, grp int, allele int")
-    got = genotypes.estimate_ne(df, 1000.0, 1e-8).first()
-    assert got.sites == 100 and got.pairs == 2 * 100 * 4 and got.differences == 4 * 10 + 4 * 10
+def test_diversity_equals_counting_every_pair(spark):
+    import itertools
+    import random
+
+    rng = random.Random(17)
+    ploidy = {0: (0, 2), 1: (0, 1), 2: (1, 2), 3: (1, 2), 4: (1, 3), 5: (0, 2)}  # individual: (group, haplotypes)
+    calls = [(site, 10 * i + h, i, g, rng.choice((0, 0, 1))) for site in range(37) for i, (g, n) in ploidy.items() for h in range(n) if rng.random() < 0.9]
+    different, pairs = 0, 0
+    for x, y in itertools.combinations(calls, 2):
+        if x[0] == y[0] and x[3] == y[3] and x[2] != y[2]:
+            pairs += 1
+            different += x[4] != y[4]
+    got = genotypes.estimate_ne(spark.createDataFrame(calls, "site long, hap long, individual long, grp int, allele int"), 5000.0, 2e-8).first()
+    assert (got.sites, got.differences, got.pairs) == (37, different, pairs)
+    assert abs(got.ne - different / pairs * 37 / 5000 / 8e-8) < 1e-6 * got.ne
