@@ -2,8 +2,8 @@
 
 Every stage works on all that its predecessor kept, and all but the last return the columns of documents, so an input
 column named like an operator's output stays what it was. Empty tables stay empty; null and empty texts leave with the language
-stage, which knows no language for them; texts of any length are read whole. Ids may be null or repeat: the dedup stage numbers the rows
-itself, so of repeated rows one stays, and the row with the least id (then the least number) of a group is the one that does.
+stage, which knows no language for them; texts of any length are read whole. Ids may be null or repeat: the dedup stage
+knows a row by its id and text, so of repeated rows one stays, and the row with the least id of a group is the one that does.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     renamed, text, own = _apart(docs)
     named = langid.predict(renamed.withColumn("__class", F.floor(F.log2(F.length(text) + 1)).cast("int")), langid.fit(docs), text)
-    named = Stored(named.where(F.col("lang_pred") != langid.UNKNOWN), "named-documents")
-    levels = named.df.groupBy("__class").agg((F.percentile_approx("score", F.lit(1.0 / TAIL), F.lit(10_000)) * SHARE).alias("__level"))
-    kept = named.df.join(F.broadcast(levels), "__class").where(F.col("score") >= F.col("__level"))  # a row for each doubling of the length
+    named = named.where(F.col("lang_pred") != langid.UNKNOWN)  # looked at twice: that costs less than a second copy of the documents
+    levels = Stored(named.groupBy("__class").agg((F.percentile_approx("score", F.lit(1.0 / TAIL), F.lit(10_000)) * SHARE).alias("__level")), "levels").df
+    kept = named.join(F.broadcast(levels), "__class").where(F.col("score") >= F.col("__level"))  # a row for each doubling of the length
     return kept.select(*own)
 
 
@@ -48,14 +48,22 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: the one with the smallest id, null ids last, of equal ids one row."""
+    """Keep one document of each group of near-duplicates: the one with the smallest id, null ids last, of equal ids and texts one row.
+
+    A row goes by a digest of its id and text, so rows that share an id are told apart and documents needn't be numbered and stored again.
+    """
     names = docs.columns
-    ordered = docs.withColumns({"__row": F.monotonically_increasing_id()})
-    numbered = Stored(ordered, "numbered-documents").df
-    found = neardup.near_duplicates(numbered, id_col="__row").select(F.col("__row").alias("__r"), F.col("component_id").alias("__group"))
-    ids = numbered.select("__row", "doc_id").join(found, F.col("__row") == F.col("__r"))
-    best = ids.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))["__row"].alias("__kept"))
-    return numbered.join(best, F.col("__row") == F.col("__kept"), "left_semi").select(*names)
+    part = lambda c: F.coalesce(F.concat(F.lit("1"), F.col(c).cast("string")), F.lit("0"))
+    keyed = docs.withColumn("__key", F.md5(F.concat_ws(" ", part("doc_id"), part("text"))))
+    found = neardup.near_duplicates(keyed.select("__key", "text"), id_col="__key").select(F.col("__key").alias("__k"), F.col("component_id").alias("__group")).distinct()
+    ids = keyed.groupBy("__key", "doc_id").agg(F.count(F.lit(1)).alias("__n")).join(found, F.col("__key") == F.col("__k"))
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__key", "__n")
+    best = Stored(ids.groupBy("__group").agg(F.min(least).alias("b")).select(F.col("b.__key").alias("__kept"), F.col("b.__n").alias("__n")), "kept").df
+    kept = lambda some: keyed.join(best.where(some), F.col("__key") == F.col("__kept"), "left_semi")
+    if best.where("__n > 1").isEmpty():
+        return kept(F.lit(True)).select(*names)
+    repeated = kept(F.col("__n") > 1).groupBy("__key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__row"))
+    return kept(F.col("__n") == 1).select(*names).unionByName(repeated.select("__row.*"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: also the next CHUNK_BITS bits are 0.
 WINDOW, KEEP_BITS, CHUNK_BITS = 6, 6, 4
 #: Pieces and chunks of a generation (a worker keeps two); bits (as a power of two) of the table of chunks met; pieces encoded in one call.
-PIECES, CHUNKS, MET_POWER, TOGETHER = 150_000, 60_000, 25, 256
+PIECES, CHUNKS, MET_POWER, TOGETHER = 100_000, 20_000, 25, 256
 #: Ids decoded in one call; a longer text is decoded alone.
 DECODED = 1 << 18
 _TABLE = np.random.default_rng(606).integers(0, 2**32, (WINDOW, 256), dtype=np.uint32)

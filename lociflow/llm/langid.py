@@ -27,7 +27,7 @@ DIMENSIONS, GRAM = 1024, 3
 #: Texts of each language that a profile is learned from, at most.
 SAMPLE_PER_LANGUAGE = 2000
 UNKNOWN = "und"
-_COLUMNS = 8192  # n-grams whose vectors are held at once
+_COLUMNS = 4096  # n-grams whose vectors are held at once
 
 
 @lru_cache(1)
