@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored
-from lociflow.llm import bpe, langid, licenses, lm, mixing, neardup, tiff, toxicity, urls, vectors
+from lociflow.llm import bpe, byte_bpe, langid, licenses, lm, mixing, neardup, tiff, toxicity, urls, vectors
 from lociflow.llm.common import fold
 
 
@@ -63,6 +63,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "n_strict", "soft_weight")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -74,4 +78,5 @@ QUERIES = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_tiff": op9_tiff,
     "op10_url_filter": op10_url_filter,
+    "op11_byte_bpe": op11_byte_bpe,
 }
