@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored
-from lociflow.llm import bpe, byte_bpe, langid, licenses, lm, mixing, neardup, tiff, toxicity, urls, vectors
+from lociflow.llm import bpe, byte_bpe, codes, filters, langid, licenses, lm, mixing, neardup, tiff, toxicity, urls, vectors
 from lociflow.llm.common import fold
 
 
@@ -67,6 +67,15 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(_documents(spark, sf_dir, "doc_id", "text", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
@@ -79,4 +88,6 @@ QUERIES = {
     "op9_tiff": op9_tiff,
     "op10_url_filter": op10_url_filter,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_vector_codes": op13_vector_codes,
 }

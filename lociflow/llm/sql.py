@@ -90,4 +90,46 @@ def _op10() -> str:
     SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, n_strict, soft_weight FROM b"""
 
 
-ORACLE_SQL = {"op2_license_scan": _op2(), "op3_mixing": OP3, "op5_near_duplicates": OP5, "op8_embedding_dedup": OP8, "op10_url_filter": _op10()}
+OP12 = r"""WITH d AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    m AS (SELECT part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::INT
+                 + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS failed,
+                 coalesce(quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+          FROM d LEFT JOIN labels l USING (doc_id)),
+    n AS (SELECT part, failed, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+    o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+          FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+    s AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, range(1, 6) r(step)),
+    r AS (SELECT part, filter_order, step, bit,
+                 coalesce(sum(n) FILTER (failed & (before | bit) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (failed & bit > 0 AND failed & before = 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (failed & bit > 0 AND failed & before > 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (failed = bit), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(n) FILTER (failed & bit > 0 AND failed & before = 0 AND good), 0)::BIGINT AS good_lost,
+                 coalesce(sum(n) FILTER (failed & bit > 0 AND failed & before = 0 AND toxic), 0)::BIGINT AS toxic_lost
+          FROM n, s GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+
+def _op13() -> str:
+    near = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    ctes = [
+        """k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "p AS (SELECT vec_id, label, part, v[part * len(v) // 16 + 1 : (part + 1) * len(v) // 16] AS x FROM k, range(16) r(part))",
+        """b0 AS (SELECT part, e, x AS c FROM p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k ORDER BY vec_id LIMIT 64) USING (vec_id))""",
+    ]
+    for r in range(3):
+        ctes.append(f"a{r} AS (SELECT vec_id, any_value(label) AS label, part, any_value(x) AS x, min((({near}), e)) AS d FROM p JOIN b{r} USING (part) GROUP BY vec_id, part)")
+        if r < 2:
+            ctes.append(f"s{r} AS (SELECT part, e, k, floor(sum(y)::DOUBLE / count(*))::BIGINT AS y FROM (SELECT part, d[2] AS e, unnest(x) AS y, generate_subscripts(x, 1) AS k FROM a{r}) GROUP BY ALL)")
+            ctes.append(f"m{r} AS (SELECT part, e, list(y ORDER BY k) AS c FROM s{r} GROUP BY ALL)")
+            ctes.append(f"b{r + 1} AS (SELECT part, e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (part, e))")
+    return "WITH " + ",\n    ".join(ctes) + """
+    SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM b2) AS codebooks_sha256
+    FROM (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', d[2]), '' ORDER BY part) AS code, sum(d[1])::BIGINT AS error FROM a2 GROUP BY vec_id)"""
+
+
+ORACLE_SQL = {"op12_filter_audit": OP12, "op13_vector_codes": _op13(), "op2_license_scan": _op2(), "op3_mixing": OP3, "op5_near_duplicates": OP5, "op8_embedding_dedup": OP8, "op10_url_filter": _op10()}
