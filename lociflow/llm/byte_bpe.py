@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociflow.cluster import Stored, ship
-from lociflow.llm.common import steady, trim
+from lociflow.cluster import ship
+from lociflow.llm.common import bucketed, steady, trim
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Characters of a block; words of a row on their way out, and rows encoded together.
-BLOCK, WORDS, TOGETHER = 1 << 25, 10_000, 1 << 17
+#: Characters of a block; words, and pre-tokens of texts, that share a row of it; rows encoded together.
+BLOCK, WORDS, TOKENS, TOGETHER = 1 << 25, 10_000, 1 << 18, 1 << 17
 _OTHER = "﷐"  # no letter, no number, no space in any version
 
 
@@ -115,7 +115,7 @@ def _pack(*numbers: np.ndarray) -> bytes:
     import zstandard
 
     planes = np.concatenate([x.astype("<u4") for x in numbers]).view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(planes.tobytes(), 1)
+    return zstandard.compress(planes.tobytes(), 3)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -126,22 +126,28 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 def _cut(schema: pa.Schema):
-    """(row, text) to (row, block, slots) a text and (block, first, words) for the words of each block."""
+    """(row, text) to (block, rows, slots), some texts each, and (block, first, words) for the words of each block.
+
+    slots: how many texts, the number of pre-tokens of each, and all their slots, packed.
+    """
 
     def flush(block: int, rows: list[pa.Array], slots: _Slots, met: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         # frequent words get small numbers
         order = np.argsort(-sum((np.bincount(m, minlength=len(slots)) for m in met), np.zeros(len(slots), np.int64)), kind="stable")
         number = np.empty(len(slots), np.int64)
         number[order] = np.arange(len(slots))
-        some = pa.concat_arrays(rows)
-        for i in range(0, len(some), 1000):
-            part = some.slice(i, 1000)
-            packed = pa.array([_pack(number[m]) for m in met[i : i + 1000]], pa.binary())
-            yield pa.RecordBatch.from_arrays([part, pa.repeat(pa.scalar(block), len(part)), packed, pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.list_(pa.string()))], schema=schema)
+        some, sizes = pa.concat_arrays(rows), np.array([len(m) for m in met])
+        # cut where so many tokens are full; a row more each 1000 texts
+        group = np.maximum(np.cumsum(sizes) // TOKENS, np.arange(len(sizes)) // 1000)
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist()
+        for a, b in zip(begin, [*begin[1:], len(sizes)], strict=True):
+            held = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), some.slice(a, b - a))
+            packed = pa.array([_pack(np.array([b - a]), sizes[a:b], number[np.concatenate(met[a:b])])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([block]), held.cast(schema.field("rows").type), packed, pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.string()))], schema=schema)
         words = pa.array(slots.keys(), pa.string()).take(pa.array(order)) if len(slots) else pa.array([], pa.string())
         for at in range(0, len(words), WORDS):
             chunk = pa.array([words.slice(at, WORDS)], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, schema.field("row").type), pa.array([block]), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), chunk], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, schema.field("rows").type), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), chunk], schema=schema)
 
     def run(batches):
         split, block = splitter(), TaskContext.get().partitionId() << 32
@@ -215,9 +221,13 @@ def _joined(make: Callable[[list[bytes]], list[pa.Array]], schema: pa.Schema):
             for slot, a, b in zip(numbers[1 : n + 1].tolist(), [0, *ends[:-1]], ends, strict=True):
                 ids[slot] = data[a:b]
         out = []
-        for batch in texts.to_batches(max_chunksize=256):
-            made = make([b"".join(map(ids.__getitem__, _unpack(s.as_py()).tolist())) for s in batch.column("slots")])
-            out.append(pa.RecordBatch.from_arrays([batch.column("row").cast(schema.field("row").type), *made], schema=schema))
+        for rows, slots in zip(texts.column("rows"), texts.column("slots"), strict=True):
+            numbers = _unpack(slots.as_py())
+            n = int(numbers[0])
+            ends = (n + 1 + np.cumsum(numbers[1 : n + 1], dtype=np.int64)).tolist()
+            for i in range(0, n, 256):
+                made = make([b"".join(map(ids.__getitem__, numbers[a:b].tolist())) for a, b in zip([n + 1, *ends[:-1]][i : i + 256], ends[i : i + 256], strict=True)])
+                out.append(pa.RecordBatch.from_arrays([rows.values.slice(i, 256).cast(schema.field("row").type), *made], schema=schema))
         trim()
         return pa.Table.from_batches(out, schema)
 
@@ -232,11 +242,11 @@ def _apply(df: DataFrame, text_col: str, vocabulary: str, make: Callable[[list[b
     keep = [c for c in df.columns if c not in taken]
     rows = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("one")).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     row = T.StructField("row", T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema["row"].dataType]))
-    cut = T.StructType([row, T.StructField("block", T.LongType()), T.StructField("slots", T.BinaryType()), T.StructField("first", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
-    blocks = Stored(rows.mapInArrow(steady(_cut(to_arrow_schema(cut))), cut), "blocks")
-    words = blocks.df.where("words IS NOT NULL").select("block", "first", F.posexplode("words").alias("at", "word")).select("block", (F.col("first") + F.col("at")).alias("slot"), "word")
+    cut = T.StructType([T.StructField("block", T.LongType()), T.StructField("rows", T.ArrayType(row.dataType)), T.StructField("slots", T.BinaryType()), T.StructField("first", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    blocks = bucketed(rows.mapInArrow(steady(_cut(to_arrow_schema(cut))), cut), "block", "blocks")
+    words = blocks.where("words IS NOT NULL").select("block", "first", F.posexplode("words").alias("at", "word")).select("block", (F.col("first") + F.col("at")).alias("slot"), "word")
     words = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(vocabulary), "block long, of binary")
-    texts = blocks.df.where("slots IS NOT NULL").select("block", "row", "slots")
+    texts = blocks.where("slots IS NOT NULL").select("block", "rows", "slots")
     out = T.StructType([row, *[T.StructField(*r) for r in returns]])
     made = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_joined(make, to_arrow_schema(out)), out)
     return made.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(keep)], *[name for name, _ in returns])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociflow.cluster import ship
+from lociflow.cluster import shared_dir, ship
 
 #: Letters A-Z and a-z for translate(), where only ASCII is to be lower-cased.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,3 +81,12 @@ def per_class_sample(df: DataFrame, class_col: str, id_col: str, bound: int) ->
     """
     share = df.groupBy(class_col).agg(F.least(F.lit(1.0), F.lit(float(bound)) / F.count(F.lit(1))).alias("__share"))
     return df.join(F.broadcast(share), class_col).where(spread(id_col, 7) < F.col("__share")).drop("__share")
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df written to the shared folder in buckets of the key, so that a join or grouping by it reads them without a shuffle."""
+    spark = df.sparkSession
+    table = f"lociflow_{name}_{uuid.uuid4().hex}"
+    buckets = min(100_000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.option("path", f"{shared_dir(spark)}/lociflow/{table}").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
