@@ -53,10 +53,12 @@ def rate_through_time(edges: DataFrame, nodes: DataFrame, q: np.ndarray, pi: np.
     dwell, jumps = np.zeros((cells, k)), np.zeros((cells, k, k))
     for it in range(iterations):
         rates = weave.ByCell(generators(now), times)
-        _, joints, roots = weave.posteriors(edges, nodes, rates, pi, width)
-        for r in weave.cell_statistics(joints, rates).collect():  # a row a cell
+        sums = weave.expected(edges, nodes, rates, pi)
+        roots = weave.part(sums, "roots", False)
+        for r in weave.cell_statistics(weave.part(sums, "branches", False), rates).collect():  # a row a cell
             dwell[r.cell], jumps[r.cell] = r.dwell, np.reshape(r.jumps, (k, k))
         whole = roots.agg(F.sum(F.col("loglik") * (F.col("right") - F.col("left")))).first()[0]
+        sums.drop()
         if whole is None:
             break
         history.append(whole)

@@ -1,17 +1,22 @@
 """Painting genealogies that change along the genome, for any number of states, from edges alone.
 
 No tree is ever written out. What a node's lower neighbours say of it changes only where an edge begins or ends, so messages
-are interval-keyed rows, and the sum over a node's children is a running sum of what enters and leaves: a branch counts once, however many
-trees share it. Nodes are passed height by height, first up, then down; each height is a few joins and one running sum, and
-its tables are stored.
+have stretches of the axis, and the sum over a node's children is a running sum of what enters and leaves: a branch counts once, however many
+trees share it. The axis is dealt to tasks in windows (see sweep); inside one, nodes are passed height by height, first up, then down, all of a height at
+once. What a branch is expected to do needs its parent's posterior summed over the branch's stretch only, so a node with very many children costs no more than they
+do.
 
-edges: (left, right, parent, child); nodes: (node, time, e), e an array with a state's emission each (1 for nodes that say nothing).
+edges: (left, right, parent, child); nodes: (node, time, e), e an array with a state's emission each (1 for nodes that say nothing). Edges and
+nodes with a `member` are an ensemble of genealogies, all painted in one job.
 Messages are in log space; zeros are counted apart, so they leave a sum as they came. Rows with null ends or nodes meet
 nothing, edges of no length or no time don't count, empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,9 +24,13 @@ from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored, ship
 from lociflow.functions.ctmc import reward_integral, transition
+from lociflow.operators import chains
 from lociflow.operators import intervals as iv
+from lociflow.operators.sweep import LEAST, Window, running, spread, swept
 
 _NONE = float("-inf")
+#: Rows that a node's stretches are expanded to at once.
+_EXPANDED = 100_000
 
 
 def spectrum(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -116,172 +125,273 @@ def _rates(q) -> Constant | ByCell:
     return q if hasattr(q, "moves") else Constant(q)
 
 
-def heights(edges: DataFrame) -> Stored:
-    """(node, height): 0 for nodes without children, else one more than the highest child, anywhere on the axis."""
-    links = edges.select("parent", "child").distinct()
-    nodes = links.select(F.col("parent").alias("node")).union(links.select(F.col("child").alias("node"))).distinct()
-    now = Stored(nodes.withColumn("height", F.lit(0)), "heights")
-    while True:
-        above = links.join(now.df.withColumnRenamed("node", "child"), "child").groupBy(F.col("parent").alias("node")).agg((F.max("height") + 1).alias("above"))
-        after = Stored(now.df.join(above, "node", "left").select("node", F.greatest("height", F.coalesce("above", F.lit(0))).alias("height")), "heights")
-        same = after.df.agg(F.sum("height")).first()[0] == now.df.agg(F.sum("height")).first()[0]
-        now.drop()
-        now = after
-        if same:
-            return now
+def _get(name: str, k: int) -> Column:
+    return F.get(F.col(name), F.lit(k))
 
 
-def _ln(x: Column) -> Column:
-    return F.when(x > 0, F.ln(x)).otherwise(F.lit(_NONE))
+_KINDS = {"marginals": 0, "joints": 1, "roots": 2, "branches": 3}
+_SCHEMA = "kind tinyint, node long, child long, left double, right double, tc double, tp double, a array<double>, b array<double>, loglik double"
 
 
-def _lse(terms: list[Column]) -> Column:
-    top = F.greatest(*terms) if len(terms) > 1 else terms[0]
-    return F.when(top == F.lit(_NONE), top).otherwise(top + F.ln(sum((F.exp(x - top) for x in terms), F.lit(0.0))))
+def _log(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(x)
 
 
-def _get(name: str, k: int) -> Column:
-    return F.get(F.col(name), F.lit(k))
+def _shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of logarithms to (shares that sum to one, logarithm of each row's sum)."""
+    top = x.max(axis=1, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    e = np.exp(x - top)
+    total = e.sum(axis=1, keepdims=True)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return e / total, (np.log(total) + top)[:, 0]
 
 
-def _with_transitions(edges: DataFrame, rates: Constant | ByCell) -> DataFrame:
-    """edges (child's time tc, parent's tp) with p: the branch's transition matrix, row by row; numpy makes those of many edges at once."""
-    ship(edges.sparkSession)
-    kind = edges.schema.simpleString()[7:-1].replace(":", " ")
+def _through(p: np.ndarray, x: np.ndarray, up: bool) -> np.ndarray:
+    """Logarithms of states at one end of branches to those at the other."""
+    top = x.max(axis=1, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    return _log(np.einsum("rsj,rj->rs" if up else "rsj,rs->rj", p, np.exp(x - top))) + top
 
-    def run(batches):
-        for batch in batches:
-            p = rates.moves(batch.column("tc").to_numpy(), batch.column("tp").to_numpy()).reshape(batch.num_rows, rates.states**2)
-            rows = pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), p.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, rows], [*batch.schema.names, "p"])
 
-    return edges.mapInArrow(run, f"{kind}, p array<double>")
+@dataclass
+class _Below:
+    """What is known from below of a node's stretches: sums of its children's messages and counts of impossible ones, its own emission, and both together."""
 
+    node: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    finite: np.ndarray
+    lost: np.ndarray
+    own: np.ndarray
 
-def _sums(k: int) -> list[str]:
-    return [*[f"f{s}" for s in range(k)], *[f"n{s}" for s in range(k)], "held"]
+    @property
+    def low(self) -> np.ndarray:
+        return np.where(self.lost > 0, _NONE, self.finite)
 
+    def take(self, i: np.ndarray, node: np.ndarray | None = None, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> _Below:
+        pick = lambda new, old: old[i] if new is None else new
+        return _Below(pick(node, self.node), pick(lo, self.lo), pick(hi, self.hi), self.finite[i], self.lost[i], self.own[i])
 
-def _collected(below: DataFrame, k: int) -> list[Column]:
-    """ln of what the lower neighbours say of each state, from finite sums and counts of impossible ones."""
-    return [F.when(F.col(f"n{s}") > 0, F.lit(_NONE)).otherwise(F.col(f"f{s}")) for s in range(k)]
+    @property
+    def key(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.node, self.lo, self.hi
 
 
-def posteriors(edges: DataFrame, nodes: DataFrame, q, pi: np.ndarray, width: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(marginals, joints, roots) of all nodes of all trees; q is a generator, or ByCell.
+def _joined(parts: list[_Below]) -> _Below:
+    return _Below(*[np.concatenate([getattr(p, f) for p in parts]) for f in ("node", "lo", "hi", "finite", "lost", "own")])
 
-    marginals: (node, left, right, g, loo), arrays over the states; loo leaves the node's own emission out. joints: (parent, child, left,
-    right, tc, tp, x), x the joint distribution of the parent's and the child's state, row by row. roots: (node, left, right, g, loglik).
+
+def _painted(rates: Constant | ByCell, pi: np.ndarray, kinds: tuple[str, ...], marked: bool):
+    """A sweep that yields the kinds of rows asked for; marked: marginals only of nodes whose value begins with a 1."""
+    k, prior = rates.states, _log(pi)
+
+    def sweep(w: Window) -> Iterator[dict[str, np.ndarray]]:
+        values = w.value().flatten().to_numpy(zero_copy_only=False).reshape(len(w.ids), -1)
+        wanted = values[:, 0] > 0 if marked else np.ones(len(w.ids), bool)
+        emitted = _log(values[:, -k:])
+        p = rates.moves(w.tc, w.tp)
+        at = w.pos
+        inner = w.height[w.mark]
+        below: list[_Below] = []
+        sent: list[tuple[np.ndarray, _Below, np.ndarray]] = []  # edge, the child's stretch, message
+        came: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(w.top + 1)]
+        for h in range(w.top + 1):
+            # what begins and ends: messages of children (of leaves: their own branches), and masked stretches
+            if h == 0:
+                e = w.edges_at[0]
+                node, lo, hi = w.child[e], w.lo[e], w.hi[e]
+                finite, lost = np.zeros((len(e), k)), np.zeros((len(e), k), np.int64)
+            else:
+                node = np.concatenate([w.parent[sent[c][0][i]] for c, i in came[h]])
+                lo, hi = (np.concatenate([getattr(sent[c][1], x)[i] for c, i in came[h]]) for x in ("lo", "hi"))
+                m = np.concatenate([sent[c][2][i] for c, i in came[h]])
+                lost = (m == _NONE).astype(np.int64)
+                finite = np.where(lost > 0, 0.0, m)
+            marks = np.flatnonzero(inner == h)
+            none = np.zeros((2 * len(marks), k))
+            sums = np.concatenate([finite, -finite, none])
+            counts = np.concatenate([np.pad(lost, ((0, 0), (0, 2))), np.pad(-lost, ((0, 0), (0, 2))), np.zeros((2 * len(marks), k + 2), np.int64)])
+            n = len(node)
+            counts[:n, k], counts[n : 2 * n, k] = 1, -1
+            counts[2 * n : 2 * n + len(marks), k + 1], counts[2 * n + len(marks) :, k + 1] = 1, -1
+            owner, lo, hi, total, count = running(np.concatenate([node, node, w.mark[marks], w.mark[marks]]), np.concatenate([lo, hi, w.mark_lo[marks], w.mark_hi[marks]]), sums, counts)
+            held = count[:, k] > 0
+            owner, lo, hi, total, count = owner[held], lo[held], hi[held], total[held], count[held]
+            own = np.where(count[:, k + 1 :] > 0, prior[None], emitted[owner])
+            below.append(_Below(owner, lo, hi, total, count[:, :k], own))
+            b = below[h]
+            e = w.edges_at[h]
+            i, j, lo, hi = w.meet(b.key, w.child[e], w.lo[e], w.hi[e])
+            edge = e[j]
+            message = _through(p[edge], b.own[i] + b.low[i], up=True)
+            sent.append((edge, b.take(i, lo=lo, hi=hi), message))
+            above = w.height[w.parent[edge]]
+            order = np.argsort(above, kind="stable")
+            for g in np.unique(above).tolist():
+                came[g].append((h, order[np.searchsorted(above[order], g) : np.searchsorted(above[order], g, side="right")]))
+        arrived: list[list[tuple[_Below, np.ndarray]]] = [[] for _ in range(w.top + 1)]
+        weight = np.zeros((len(w.child), k, k))
+
+        def told(b: _Below, u: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+            keep = wanted[b.node]
+            b, u = b.take(np.flatnonzero(keep)), u[keep]
+            if len(b.node):
+                yield {"kind": np.zeros(len(b.node), np.int8), "node": w.ids[b.node], "left": at[b.lo], "right": at[b.hi], "a": _shares(u + b.own + b.low)[0], "b": _shares(u + b.low)[0]}
+
+        for h in range(w.top, -1, -1):
+            b = below[h]
+            if h:  # where a node with children has no parent it is a root
+                edge, c, _ = sent[h]
+                node = np.concatenate([b.node, b.node, c.node, c.node])
+                ends = np.zeros((len(node), 2), np.int64)
+                n, m = len(b.node), len(c.node)
+                ends[:n, 0], ends[n : 2 * n, 0], ends[2 * n : 2 * n + m, 1], ends[2 * n + m :, 1] = 1, -1, 1, -1
+                node, lo, hi, ends = running(node, np.concatenate([b.lo, b.hi, c.lo, c.hi]), ends)
+                bare = (ends[:, 0] > 0) & (ends[:, 1] == 0)
+                i, j, lo, hi = w.meet(b.key, node[bare], lo[bare], hi[bare])
+                top = b.take(i, lo=lo, hi=hi)
+                arrived[h].append((top, np.tile(prior, (len(i), 1))))
+                if "roots" in kinds and len(i):
+                    g, loglik = _shares(prior + top.own + top.low)
+                    yield {"kind": np.full(len(i), 2, np.int8), "node": w.ids[top.node], "left": at[lo], "right": at[hi], "a": g, "loglik": loglik}
+            if not arrived[h]:
+                continue
+            b, u = _joined([x for x, _ in arrived[h]]), np.concatenate([x for _, x in arrived[h]])
+            arrived[h] = []
+            order = np.argsort(w.code(b.node, b.lo))
+            b, u = b.take(order), u[order]
+            if "marginals" in kinds:
+                yield from told(b, u)
+            if "branches" in kinds and h:
+                g, _ = _shares(u + b.own + b.low)
+                integral = np.concatenate([np.zeros((1, k)), np.cumsum(np.nan_to_num(g) * (at[b.hi] - at[b.lo])[:, None], axis=0)])
+            for c, i in came[h]:
+                edge, child, message = sent[c][0][i], sent[c][1].take(i), sent[c][2][i]
+                first, last = w.ranges(b.key, w.parent[edge], child.lo, child.hi)
+                if "branches" in kinds:  # the parent's posterior, then the branch given the parent's state: the parent's changes need no rows
+                    below_it = child.own + child.low
+                    peak = below_it.max(axis=1, keepdims=True)
+                    given = np.exp(below_it - np.where(np.isfinite(peak), peak, 0.0))[:, None, :] * p[edge]
+                    with np.errstate(invalid="ignore"):
+                        given = np.nan_to_num(given / given.sum(axis=2, keepdims=True))
+                    np.add.at(weight, edge, (integral[last] - integral[first])[:, :, None] * given)
+                if c == 0 and "joints" not in kinds:  # leaves pass nothing on
+                    keep = np.flatnonzero(wanted[child.node]) if "marginals" in kinds else np.zeros(0, np.int64)
+                    edge, child, message, first, last = edge[keep], child.take(keep), message[keep], first[keep], last[keep]
+                sizes = np.cumsum(last - first)
+                cuts = np.unique(np.append(np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, _EXPANDED)), len(sizes))) if len(sizes) else []
+                for s, t in zip(cuts[:-1], cuts[1:], strict=True):
+                    x, row = spread(first[s:t], last[s:t])
+                    row = row + s
+                    lost = message[row] == _NONE
+                    others = np.where(b.lost[x] > lost, _NONE, b.finite[x] - np.where(lost, 0.0, message[row]))
+                    cavity = u[x] + b.own[x] + others
+                    passed = _through(p[edge[row]], cavity, up=False)
+                    part = child.take(row, lo=np.maximum(b.lo[x], child.lo[row]), hi=np.minimum(b.hi[x], child.hi[row]))
+                    top = passed.max(axis=1, keepdims=True)
+                    passed = passed - np.where(np.isfinite(top), top, 0.0)
+                    if "joints" in kinds:
+                        both = cavity[:, :, None] + _log(p[edge[row]]) + (part.own + part.low)[:, None, :]
+                        yield {"kind": np.ones(len(row), np.int8), "node": w.ids[w.parent[edge[row]]], "child": w.ids[part.node], "left": at[part.lo], "right": at[part.hi], "tc": w.tc[edge[row]], "tp": w.tp[edge[row]], "a": _shares(both.reshape(len(row), -1))[0]}
+                    if c:
+                        arrived[c].append((part, passed))
+                    elif "marginals" in kinds:
+                        yield from told(part, passed)
+        if "branches" in kinds:
+            yield {"kind": np.full(len(weight), 3, np.int8), "node": w.ids[w.parent], "child": w.ids[w.child], "tc": w.tc, "tp": w.tp, "a": weight.reshape(len(weight), -1)}
+
+    return sweep
+
+
+def swept_posteriors(edges: DataFrame, nodes: DataFrame, q, pi: np.ndarray, kinds: tuple[str, ...], masks: DataFrame | None = None, samples: DataFrame | None = None, least: int = LEAST) -> Stored:
+    """One sweep's rows of the kinds asked for, stored: take them apart with part(), drop() them when read.
+
+    kinds: marginals, joints, roots, branches (a branch's joint distributions added up along the axis). masks: (node, left, right), where a
+    node says no more than one without label. samples: (sample), the only nodes whose marginals are wanted.
     """
     rates, pi = _rates(q), np.asarray(pi, float)
-    k = rates.states
-    height = heights(edges)
-    times = nodes.select("node", "time")
-    placed = edges.where("left < right").join(times.select(F.col("node").alias("child"), F.col("time").alias("__c")), "child").join(times.select(F.col("node").alias("parent"), F.col("time").alias("__p")), "parent")
-    placed = placed.where("__p > __c").select("parent", "child", "left", "right", F.col("__c").alias("tc"), F.col("__p").alias("tp"))
-    up = height.df.withColumnsRenamed({"node": "parent", "height": "ph"})
-    placed = Stored(_with_transitions(placed, rates).join(height.df.withColumnsRenamed({"node": "child", "height": "h"}), "child").join(up, "parent"), "edges")
-    own = Stored(nodes.select("node", "e").join(height.df, "node"), "nodes")
-    top = own.df.agg(F.max("height")).first()[0]
-    zero = {**{f"f{s}": F.lit(0.0) for s in range(k)}, **{f"n{s}": F.lit(0).cast("long") for s in range(k)}}
-    below: dict[int, Stored] = {}
-    sent: dict[int, Stored] = {}
-    for h in range(0 if top is None else top + 1):
-        if h == 0:
-            held = placed.df.where("h = 0").select(F.col("child").alias("node"), "left", "right")
-            rows = held.withColumns(zero)
-        else:
-            came = None
-            for lower in range(h):
-                some = sent[lower].df.where(F.col("ph") == h).select("parent", "left", "right", "m")
-                came = some if came is None else came.unionByName(some)
-            finite = [F.when(_get("m", s) > F.lit(_NONE), _get("m", s)).otherwise(0.0) for s in range(k)]
-            lost = [(_get("m", s) == F.lit(_NONE)).cast("long") for s in range(k)]
-            ends = came.select(F.col("parent").alias("node"), F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("sign")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("sign")))).alias("end"), *[x.alias(f"f{s}") for s, x in enumerate(finite)], *[x.alias(f"n{s}") for s, x in enumerate(lost)])
-            ends = ends.select("node", "end.pos", *[(F.col(c) * F.col("end.sign")).alias(c) for c in zero], F.col("end.sign").cast("long").alias("held"))
-            rows = iv.running(ends, "node", "pos", _sums(k), width).where("held > 0").drop("held")
-        rows = rows.join(own.df.where(F.col("height") == h).select("node", "e"), "node")
-        low = _collected(rows, k)
-        below[h] = Stored(rows.withColumn("l", F.array(*[_ln(_get("e", s)) + low[s] for s in range(k)])), f"below-{h}")
-        if h < top:
-            links = placed.df.where(F.col("h") == h).select(F.col("child").alias("node"), "parent", "left", "right", "tc", "tp", "p", "ph")
-            if h == 0:  # a row of a node without children is an edge's own stretch
-                both = links.join(own.df.where("height = 0").select("node", "e"), "node").withColumns(zero).withColumns({"lo": F.col("left"), "hi": F.col("right"), "l": F.array(*[_ln(_get("e", s)) for s in range(k)])})
-            else:
-                both = iv.overlap_join(below[h].df, links, ["node"], width)
-            message = F.array(*[_lse([_ln(_get("p", s * k + j)) + _get("l", j) for j in range(k)]) for s in range(k)])
-            sent[h] = Stored(both.select("parent", F.col("node").alias("child"), F.col("lo").alias("left"), F.col("hi").alias("right"), "tc", "tp", "p", "ph", "e", "l", message.alias("m"), *zero), f"sent-{h}")
-    out: dict[int, Stored] = {}
-    joints, roots = None, None
-    for h in range(-1 if top is None else top, -1, -1):
-        # where a node has children (or is itself a child) but no parent it is a root
-        marks = [below[h].df.select("node", "left", "right", F.lit(1).alias("in"), F.lit(0).alias("up"))]
-        if h < top:
-            marks.append(sent[h].df.select(F.col("child").alias("node"), "left", "right", F.lit(0).alias("in"), F.lit(1).alias("up")))
-        marks = marks[0] if len(marks) == 1 else marks[0].unionByName(marks[1])
-        ends = marks.select("node", F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("sign")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("sign")))).alias("end"), "in", "up")
-        ends = ends.select("node", "end.pos", (F.col("in") * F.col("end.sign")).alias("in"), (F.col("up") * F.col("end.sign")).alias("up"))
-        bare = iv.running(ends, "node", "pos", ["in", "up"], width).where("in > 0 AND up = 0").select("node", "left", "right")
-        fields = ["node", "left", "right", "e", "l", *zero, "u"]
-        rows = iv.overlap_join(bare, below[h].df, ["node"], width).withColumnsRenamed({"lo": "left", "hi": "right"}).withColumn("u", F.array(*[F.lit(float(np.log(x)) if x > 0 else _NONE) for x in pi])).select(*fields)
-        found = rows.select("node", "left", "right", "l")
-        found = found.withColumns({"loglik": _lse([F.lit(float(np.log(x)) if x > 0 else _NONE) + _get("l", s) for s, x in enumerate(pi)])})
-        found = found.select("node", "left", "right", F.array(*[F.exp(F.lit(float(np.log(x)) if x > 0 else _NONE) + _get("l", s) - F.col("loglik")) for s, x in enumerate(pi)]).alias("g"), "loglik")
-        roots = found if roots is None else roots.unionByName(found)
-        if h < top:
-            wider = None
-            for higher in range(h + 1, top + 1):
-                some = out[higher].df.select("node", "left", "right", F.col("u").alias("pu"), F.col("e").alias("pe"), *[F.col(c).alias(f"p{c}") for c in zero])
-                links = sent[h].df.where(F.col("ph") == higher).withColumnRenamed("parent", "node")
-                some = iv.overlap_join(some, links, ["node"], width)
-                wider = some if wider is None else wider.unionByName(some)
-            lost = [(_get("m", s) == F.lit(_NONE)).cast("long") for s in range(k)]
-            others = [F.when(F.col(f"pn{s}") > lost[s], F.lit(_NONE)).otherwise(F.col(f"pf{s}") - F.when(lost[s] > 0, F.lit(0.0)).otherwise(_get("m", s))) for s in range(k)]
-            wider = wider.withColumn("cavity", F.array(*[_get("pu", s) + _ln(_get("pe", s)) + others[s] for s in range(k)]))
-            wider = wider.withColumn("u", F.array(*[_lse([_get("cavity", s) + _ln(_get("p", s * k + j)) for s in range(k)]) for j in range(k)]))
-            wider = wider.withColumn("x", F.array(*[_get("cavity", s) + _ln(_get("p", s * k + j)) + _get("l", j) for s in range(k) for j in range(k)]))
-            wider = Stored(wider.select("node", "child", F.col("lo").alias("left"), F.col("hi").alias("right"), "tc", "tp", "e", "l", *zero, "u", "x"), f"down-{h}")
-            whole = _lse([_get("x", i) for i in range(k * k)])
-            pairs = wider.df.withColumn("__z", whole).select(F.col("node").alias("parent"), "child", "left", "right", "tc", "tp", F.transform("x", lambda v: F.exp(v - F.col("__z"))).alias("x"))
-            joints = pairs if joints is None else joints.unionByName(pairs)
-            rows = rows.unionByName(wider.df.select(F.col("child").alias("node"), *fields[1:]))
-        out[h] = Stored(rows, f"out-{h}")
-    marginals = None
-    for h, table in out.items():
-        low = _collected(table.df, k)
-        rows = table.df.withColumns({"__a": _lse([_get("u", s) + _get("l", s) for s in range(k)]), "__b": _lse([_get("u", s) + low[s] for s in range(k)])})
-        rows = rows.select("node", "left", "right", F.array(*[F.exp(_get("u", s) + _get("l", s) - F.col("__a")) for s in range(k)]).alias("g"), F.array(*[F.exp(_get("u", s) + low[s] - F.col("__b")) for s in range(k)]).alias("loo"))
-        marginals = rows if marginals is None else marginals.unionByName(rows)
-    spark = edges.sparkSession
-    marginals = spark.createDataFrame([], "node long, left double, right double, g array<double>, loo array<double>") if marginals is None else marginals
-    joints = spark.createDataFrame([], "parent long, child long, left double, right double, tc double, tp double, x array<double>") if joints is None else joints
-    roots = spark.createDataFrame([], "node long, left double, right double, g array<double>, loglik double") if roots is None else roots
-    return marginals, joints, roots
-
-
-def paint(edges: DataFrame, nodes: DataFrame, samples: DataFrame, q, pi: np.ndarray, length: float, width: float, leave_one_out: bool = False, digits: int | None = 9) -> DataFrame:
-    """Tracks (sample, left, right, p0, p1, ..., status) of the samples (sample), tiling 0 to length.
+    rows = nodes.where(F.col("e").isNotNull())
+    if samples is None:
+        rows = rows.withColumnRenamed("e", "value")
+    else:
+        mine = samples.select(F.col("sample").alias("node"), F.lit(1.0).alias("__mine")).distinct()
+        rows = rows.join(mine, "node", "left").withColumn("value", F.concat(F.array(F.coalesce("__mine", F.lit(0.0))), "e")).drop("e", "__mine")
+    return Stored(swept(edges, rows, _painted(rates, pi, kinds, samples is not None), _SCHEMA, masks, least), "swept")
+
+
+def part(table: Stored, kind: str, member: bool) -> DataFrame:
+    """The rows of one kind; member: with the genealogy's name."""
+    rows, who = table.df.where(F.col("kind") == _KINDS[kind]), ["member"] if member else []
+    columns = {
+        "marginals": ["node", "left", "right", F.col("a").alias("g"), F.col("b").alias("loo")],
+        "joints": [F.col("node").alias("parent"), "child", "left", "right", "tc", "tp", F.col("a").alias("x")],
+        "roots": ["node", "left", "right", F.col("a").alias("g"), "loglik"],
+        "branches": [F.col("node").alias("parent"), "child", "tc", "tp", F.col("a").alias("x")],
+    }
+    return rows.select(*who, *columns[kind])
+
+
+def posteriors(edges: DataFrame, nodes: DataFrame, q, pi: np.ndarray, width: float | None = None, masks: DataFrame | None = None, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marginals, joints, roots) of all nodes of all trees; q is a generator, or ByCell. Edges with a member give rows with one.
 
-    Where a sample hangs on no edge it has pi and missing information. Neighbours that agree to `digits` places are one (None: every stretch on its own). leave_one_out:
-    a sample's own emission doesn't count, as quality control of references needs it.
+    marginals: (node, left, right, g, loo), arrays over the states; loo leaves the node's own emission out. joints: (parent, child, left,
+    right, tc, tp, x), x the joint distribution of the parent's and the child's state, row by row: a row for each child and each stretch of its parent, so
+    sums over branches are better made of the kind branches, see expected(). roots: (node, left, right, g, loglik). Stretches also end where windows do.
     """
-    k, field = _rates(q).states, "loo" if leave_one_out else "g"
+    table = swept_posteriors(edges, nodes, q, pi, ("marginals", "joints", "roots"), masks, least=least)
+    member = "member" in edges.columns
+    return part(table, "marginals", member), part(table, "joints", member), part(table, "roots", member)
+
+
+def expected(edges: DataFrame, nodes: DataFrame, q, pi: np.ndarray, masks: DataFrame | None = None, least: int = LEAST) -> Stored:
+    """The sums over branches and the roots that statistics() and cell_statistics() need, over all members together."""
+    return swept_posteriors(edges, nodes, q, pi, ("branches", "roots"), masks, least=least)
+
+
+def tracks(marginals: DataFrame, samples: DataFrame, pi: np.ndarray, length: float, width: float | None, leave_one_out: bool = False, digits: int | None = 9, smoothing: float = 0.0) -> DataFrame:
+    """Tracks (sample, left, right, p0, p1, ..., status) of the samples (sample) from marginals, tiling 0 to length; see paint(). With members, each member's own."""
+    k, field, who = len(pi), "loo" if leave_one_out else "g", ["member"] if "member" in marginals.columns else []
+    states = [f"p{s}" for s in range(k)]
     rounded = lambda x: x if digits is None else F.round(x, digits)
-    marginals, _, _ = posteriors(edges, nodes, q, pi, width)
     mine = samples.select("sample").distinct()
-    seen = marginals.join(mine, F.col("node") == F.col("sample")).select("sample", F.greatest("left", F.lit(0.0)).alias("left"), F.least("right", F.lit(float(length))).alias("right"), *[rounded(_get(field, s)).alias(f"p{s}") for s in range(k)], F.lit("informative").alias("status")).where("left < right")
-    ends = seen.select("sample", F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("held")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("held")))).alias("end")).select("sample", "end.*")
-    ends = ends.unionByName(mine.select("sample", F.explode(F.array(F.lit(0.0), F.lit(float(length)))).alias("pos"), F.lit(0).alias("held")))
-    gaps = iv.running(ends, "sample", "pos", ["held"], width).where("held = 0 AND left < right").drop("held")
-    gaps = gaps.select("sample", "left", "right", *[rounded(F.lit(float(pi[s]))).alias(f"p{s}") for s in range(k)], F.lit("missing-info").alias("status"))
-    states = [f"p{s}" for s in range(k)]
+    seen = marginals.join(mine, F.col("node") == F.col("sample")).select(*who, "sample", F.greatest("left", F.lit(0.0)).alias("left"), F.least("right", F.lit(float(length))).alias("right"), *[_get(field, s).alias(f"p{s}") for s in range(k)], F.lit("informative").alias("status")).where("left < right")
+    if who:  # members are few: a name each on the driver
+        names = [r.member for r in marginals.select("member").distinct().collect()]
+        mine = mine.withColumn("member", F.explode(F.array(*[F.lit(x) for x in names]))) if names else mine.withColumn("member", F.lit(0)).limit(0)
+    key = F.struct(*who, "sample").alias("key")
+    ends = seen.select(key, F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("held")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("held")))).alias("end")).select("key", "end.*")
+    ends = ends.unionByName(mine.select(key, F.explode(F.array(F.lit(0.0), F.lit(float(length)))).alias("pos"), F.lit(0).alias("held")))
+    gaps = iv.running(ends, "key", "pos", ["held"], width or length).where("held = 0 AND left < right").select("key.*", "left", "right")
+    gaps = gaps.select(*who, "sample", "left", "right", *[F.lit(float(pi[s])).alias(f"p{s}") for s in range(k)], F.lit("missing-info").alias("status"))
     every = seen.unionByName(gaps)
-    return (every if digits is None else iv.merge_runs(every, ["sample"], [*states, "status"], width)).select("sample", "left", "right", *states, "status")
+    if smoothing:
+        every = chains.smooth(every, smoothing, width or length, tuple(float(x) for x in pi), by=[*who, "sample"])
+    every = every.withColumns({s: rounded(F.col(s)) for s in states})
+    return (every if digits is None else iv.merge_runs(every, [*who, "sample"], [*states, "status"], width)).select(*who, "sample", "left", "right", *states, "status")
+
+
+def paint(edges: DataFrame, nodes: DataFrame, samples: DataFrame, q, pi: np.ndarray, length: float, width: float | None, leave_one_out: bool = False, digits: int | None = 9, masks: DataFrame | None = None, smoothing: float = 0.0, merge: bool = True, least: int = LEAST) -> DataFrame:
+    """Tracks (sample, left, right, p0, p1, ..., status) of the samples (sample), tiling 0 to length.
+
+    Where a sample hangs on no edge it has pi and missing information. Neighbours that agree to `digits` places are one (None: every stretch on its own). leave_one_out:
+    a sample's own emission doesn't count, as quality control of references needs it. masks: (node, left, right), where a node says no more than one without label. smoothing: the chance of
+    a fresh draw between neighbouring stretches (see chains.smooth). width: bins of the axis that a sample's stretches are joined in.
+
+    Edges with a member are an ensemble: with merge the members' tracks become one, mean and deviation (p0, p0_std, ...) over their common refinement with n_informative;
+    without it each keeps its own, with its member.
+    """
+    stored = swept_posteriors(edges, nodes, q, pi, ("marginals",), masks, samples, least)
+    found = tracks(part(stored, "marginals", "member" in edges.columns), samples, pi, length, width, leave_one_out, digits, smoothing)
+    if "member" not in edges.columns or not merge:
+        return found
+    return iv.merge_members(found, ["sample"], "member", [f"p{s}" for s in range(len(pi))], width or length)
 
 
 def _by_branch(joints: DataFrame, k: int) -> DataFrame:
-    """A branch's joint distributions added up along the axis, so its integrals are made once."""
-    span = F.col("right") - F.col("left")
+    """A branch's joint distributions added up along the axis, so its integrals are made once; rows of expected() are sums already."""
+    span = F.col("right") - F.col("left") if "left" in joints.columns else F.lit(1.0)
     return joints.groupBy("parent", "child", "tc", "tp").agg(*[F.sum(_get("x", i) * span).alias(f"x{i}") for i in range(k * k)])
 
 
@@ -331,16 +441,17 @@ def cell_statistics(joints: DataFrame, rates: ByCell) -> DataFrame:
     return got.select("cell", F.slice("v", 1, k).alias("dwell"), F.slice("v", k + 1, k * k).alias("jumps"))
 
 
-def fit(edges: DataFrame, nodes_of, q: np.ndarray, pi: np.ndarray, width: float, iterations: int = 200, tolerance: float = 1e-6, estimate_root: bool = True) -> tuple[np.ndarray, np.ndarray, list[float]]:
+def fit(edges: DataFrame, nodes_of, q: np.ndarray, pi: np.ndarray, width: float | None = None, iterations: int = 200, tolerance: float = 1e-6, estimate_root: bool = True) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """(generator, root distribution, log-likelihoods) by expectation-maximisation; K * (K + 2) sums a pass reach the driver.
 
-    nodes_of(pi) gives the nodes, as the emissions of unsure labels depend on pi. It ends when a pass gains less than `tolerance` of the
+    nodes_of(pi) gives the nodes, as the emissions of unsure labels depend on pi; an ensemble's members are fitted together. It ends when a pass gains less than `tolerance` of the
     log-likelihood.
     """
     history: list[float] = []
     for _ in range(iterations):
-        _, joints, roots = posteriors(edges, nodes_of(pi), q, pi, width)
-        s = statistics(joints, roots, q).first()
+        sums = expected(edges, nodes_of(pi), q, pi)
+        s = statistics(part(sums, "branches", False), part(sums, "roots", False), q).first()
+        sums.drop()
         if s is None or s.loglik is None:
             break
         history.append(s.loglik)

@@ -93,8 +93,8 @@ _COUNTS = _SQL + f""", y AS (SELECT hi - lo AS span, {", ".join(f"exp(v{i} - gre
 
 def _counts(spark, sf):
     edges, nodes, _ = _inputs(spark, sf)
-    _, joints, roots = weave.posteriors(edges, nodes, Q, PI, WIDTH)
-    return weave.statistics(joints, roots, Q)
+    sums = weave.expected(edges, nodes, Q, PI)
+    return weave.statistics(weave.part(sums, "branches", False), weave.part(sums, "roots", False), Q)
 
 
 @register("edge_statistics", _COUNTS + " SELECT " + ", ".join([*[f"round(b{s}{s}, 3) AS dwell{s}" for s in range(K)], *[f"round(b{i}{j}, 3) AS jump{i}{j}" for i in range(K) for j in range(K) if i != j], *[f"round(r{s}, 3) AS root{s}" for s in range(K)], "round(loglik, 2) AS loglik"]) + " FROM b, z")
@@ -168,6 +168,6 @@ _CELL_SQL = _sql(_PC) + f""", y AS (SELECT hi - lo AS span, {", ".join(f"exp(v{i
 def _time_cells(spark, sf):
     """Time in each state and jumps in each cell of a time grid, under a generator for each cell."""
     edges, nodes, _ = _inputs(spark, sf)
-    _, joints, _ = weave.posteriors(edges, nodes, CELLS, PI, WIDTH)
+    joints = weave.part(weave.expected(edges, nodes, CELLS, PI), "branches", False)
     at = lambda c, i: F.round(F.get(F.col(c), F.lit(i)), 3)
     return weave.cell_statistics(joints, CELLS).select("cell", *[(at("dwell", m).alias(f"dwell{m}") if m == n else at("jumps", m * K + n).alias(f"jump{m}{n}")) for m in range(K) for n in range(K)])
