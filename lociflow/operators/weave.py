@@ -198,22 +198,18 @@ def _painted(rates: Constant | ByCell, pi: np.ndarray, kinds: tuple[str, ...], m
         sent: list[tuple[np.ndarray, _Below, np.ndarray]] = []  # edge, the child's stretch, message
         came: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(w.top + 1)]
         for h in range(w.top + 1):
-            # what begins and ends: messages of children (of leaves: their own branches), and masked stretches
-            if h == 0:
-                e = w.edges_at[0]
-                node, lo, hi = w.child[e], w.lo[e], w.hi[e]
-                finite, lost = np.zeros((len(e), k)), np.zeros((len(e), k), np.int64)
-            else:
-                node = np.concatenate([w.parent[sent[c][0][i]] for c, i in came[h]])
-                lo, hi = (np.concatenate([getattr(sent[c][1], x)[i] for c, i in came[h]]) for x in ("lo", "hi"))
-                m = np.concatenate([sent[c][2][i] for c, i in came[h]])
-                lost = (m == _NONE).astype(np.int64)
-                finite = np.where(lost > 0, 0.0, m)
+            # what begins and ends: a node's own branch, its children's messages, masked stretches
+            e = w.edges_at[h]
+            parts = [(w.child[e], w.lo[e], w.hi[e], np.zeros((len(e), k)))]
+            parts += [(w.parent[sent[c][0][i]], sent[c][1].lo[i], sent[c][1].hi[i], sent[c][2][i]) for c, i in came[h]]
+            node, lo, hi, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+            lost = (m == _NONE).astype(np.int64)
+            finite = np.where(lost > 0, 0.0, m)
             marks = np.flatnonzero(inner == h)
-            none = np.zeros((2 * len(marks), k))
-            sums = np.concatenate([finite, -finite, none])
-            counts = np.concatenate([np.pad(lost, ((0, 0), (0, 2))), np.pad(-lost, ((0, 0), (0, 2))), np.zeros((2 * len(marks), k + 2), np.int64)])
+            sums = np.concatenate([finite, -finite, np.zeros((2 * len(marks), k))])
+            counts = np.zeros((len(sums), k + 2), np.int64)
             n = len(node)
+            counts[:n, :k], counts[n : 2 * n, :k] = lost, -lost
             counts[:n, k], counts[n : 2 * n, k] = 1, -1
             counts[2 * n : 2 * n + len(marks), k + 1], counts[2 * n + len(marks) :, k + 1] = 1, -1
             owner, lo, hi, total, count = running(np.concatenate([node, node, w.mark[marks], w.mark[marks]]), np.concatenate([lo, hi, w.mark_lo[marks], w.mark_hi[marks]]), sums, counts)
@@ -222,7 +218,6 @@ def _painted(rates: Constant | ByCell, pi: np.ndarray, kinds: tuple[str, ...], m
             own = np.where(count[:, k + 1 :] > 0, prior[None], emitted[owner])
             below.append(_Below(owner, lo, hi, total, count[:, :k], own))
             b = below[h]
-            e = w.edges_at[h]
             i, j, lo, hi = w.meet(b.key, w.child[e], w.lo[e], w.hi[e])
             edge = e[j]
             message = _through(p[edge], b.own[i] + b.low[i], up=True)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lociflow.plans import models, panels, tracks, trees, weaving
+from lociflow.plans import layers, models, panels, tracks, trees, weaving
 
-_PARTS = (tracks, trees, weaving, panels, models)
+_PARTS = (tracks, trees, weaving, layers, panels, models)
 QUERIES: dict = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}

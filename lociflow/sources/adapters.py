@@ -73,3 +73,26 @@ def woven(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     customers = table(spark, sf_dir, "customer").select(key.cast("long").alias("node"), F.lit(0.0).alias("time"), label.cast("int").alias("label"), F.when(F.col("c_mktsegment") == "BUILDING", 0.5).otherwise(0.8).alias("w"))
     nations = table(spark, sf_dir, "nation").select((-1 - F.col("n_nationkey")).cast("long").alias("node"), F.lit(2.0).alias("time"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("w"))
     return edges.select("left", "right", "parent", F.col("child").cast("long").alias("child")), customers.unionByName(nations)
+
+
+#: The layered genealogy: length of its axis in days; times of customers, nations, regions and the root.
+DAYS, TIMES = 4000.0, (0.0, 2.0, 3.0, 5.0)
+
+
+def layered(spark: SparkSession, sf_dir: str, later: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of four levels that all change along the axis: customers under nations as in woven(), nations under regions under one root.
+
+    A nation moves to the next region at day 600 + 40 * its key + later; a region has no parent for 200 days from day 1000 + 100 * its key. Nations are
+    numbered from -1 down, regions from -101, the root is -1000.
+    """
+    edges, nodes = woven(spark, sf_dir)
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    key, at = F.col("n_nationkey").cast("long"), F.lit(600.0 + later) + 40.0 * F.col("n_nationkey")
+    over = lambda left, right, parent, child: F.struct(F.lit(left).alias("left") if isinstance(left, float) else left.alias("left"), F.lit(right).alias("right") if isinstance(right, float) else right.alias("right"), parent.cast("long").alias("parent"), child.cast("long").alias("child"))
+    moves = F.array(over(0.0, at, -101 - F.col("n_regionkey"), -1 - key), over(at, DAYS, -101 - (F.col("n_regionkey") + 1) % 5, -1 - key))
+    gap = F.lit(1000.0) + 100.0 * F.col("r_regionkey")
+    tops = F.array(over(0.0, gap, F.lit(-1000), -101 - F.col("r_regionkey")), over(gap + 200.0, DAYS, F.lit(-1000), -101 - F.col("r_regionkey")))
+    edges = edges.unionByName(nation.select(F.explode(moves).alias("e")).select("e.*")).unionByName(region.select(F.explode(tops).alias("e")).select("e.*"))
+    bare = lambda node, time: [node.cast("long").alias("node"), F.lit(time).alias("time"), F.lit(None).cast("int").alias("label"), F.lit(None).cast("double").alias("w")]
+    nodes = nodes.unionByName(region.select(*bare(-101 - F.col("r_regionkey"), TIMES[2]))).unionByName(spark.range(1).select(*bare(F.lit(-1000), TIMES[3])))
+    return edges, nodes
