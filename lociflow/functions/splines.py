@@ -35,61 +35,78 @@ def basis(x: np.ndarray, inner: int, degree: int = 3) -> np.ndarray:
     return out
 
 
-def poisson_spline(centers: np.ndarray, events: np.ndarray, exposure: np.ndarray, smoothing: float, inner: int = 25) -> tuple[np.ndarray, float, float]:
-    """(rates, deviance, effective parameters) of a penalised Poisson fit by reweighted least squares.
+#: Points of the basis, the weights tried, and where exponents end.
+INNER, WEIGHTS, FURTHEST = 25, np.geomspace(1e-2, 1e4, 18), 30.0
 
-    The splines span all cells; cells without exposure only get rates. Second differences of the coefficients are penalised.
+
+def poisson_splines(centers: np.ndarray, events: np.ndarray, exposure: np.ndarray, weights: np.ndarray, inner: int = INNER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rates[weight, cell], deviance[weight], effective parameters[weight]) of Poisson fits whose second differences are penalised, one for each weight.
+
+    All fits climb together by Newton's method: a batch of gradients and curvatures and one batched solve a step, until no gradient is left to speak of.
+    The splines span all cells; cells without exposure only get rates.
     """
-    b, use = basis(np.log(centers), inner), exposure > 0
-    rough = np.diff(np.eye(b.shape[1]), n=2, axis=0)
-    penalty = smoothing * rough.T @ rough
-    seen, met, over = b[use], events[use], exposure[use]
-    coef = np.full(b.shape[1], np.log(met.sum() / over.sum()) if met.sum() > 0 else 0.0)
-    inside = lambda x: np.clip(x, -30.0, 30.0)
+    every, told = basis(np.log(centers), inner), np.flatnonzero(exposure > 0)
+    b, y, t = every[told], events[told], exposure[told]
+    bends = np.diff(np.eye(b.shape[1]), n=2, axis=0)
+    penalty = np.asarray(weights, float)[:, None, None] * (bends.T @ bends)
+    level = np.log(y.sum() / t.sum()) if y.sum() > 0 else 0.0
+    coef = np.full((len(penalty), b.shape[1]), level)
+
+    def expected() -> np.ndarray:
+        return np.maximum(t * np.exp(np.clip(coef @ b.T, -FURTHEST, FURTHEST)), 1e-12)
 
-    def parts() -> tuple[np.ndarray, np.ndarray]:
-        mean = np.maximum(over * np.exp(inside(seen @ coef)), 1e-12)
-        return mean, (seen * mean[:, None]).T @ seen
+    def curvature(mean: np.ndarray) -> np.ndarray:
+        return np.einsum("ci,wc,cj->wij", b, mean, b, optimize=True)
 
+    enough = 1e-9 * (1.0 + y.sum())
     for _ in range(60):
-        mean, left = parts()
-        new = np.linalg.solve(left + penalty, (seen * mean[:, None]).T @ (seen @ coef + (met - mean) / mean))
-        step, coef = np.abs(new - coef).max(), new
-        if step < 1e-7:
+        mean = expected()
+        gradient = (y - mean) @ b - np.einsum("wij,wj->wi", penalty, coef)
+        if np.abs(gradient).max(initial=0.0) < enough:
             break
-    mean, left = parts()
-    term = np.where(met > 0, met * np.log(np.where(met > 0, met, 1) / mean), 0.0)
-    return np.exp(inside(b @ coef)), float(2 * (term - (met - mean)).sum()), float(np.trace(np.linalg.solve(left + penalty, left)))
+        coef = coef + np.linalg.solve(curvature(mean) + penalty, gradient[:, :, None])[:, :, 0]
+    mean = expected()
+    gain = np.where(y > 0, y, 1.0) * np.log(np.where(y > 0, y, 1.0) / mean)
+    deviance = 2.0 * (np.where(y > 0, gain, 0.0) - (y - mean)).sum(axis=1)
+    fisher = curvature(mean)
+    parameters = np.einsum("wii->w", np.linalg.solve(fisher + penalty, fisher))
+    return np.exp(np.clip(coef @ every.T, -FURTHEST, FURTHEST)), deviance, parameters
+
+
+def poisson_spline(centers: np.ndarray, events: np.ndarray, exposure: np.ndarray, smoothing: float, inner: int = INNER) -> tuple[np.ndarray, float, float]:
+    """(rates, deviance, effective parameters) of the fit with one weight."""
+    rates, deviance, parameters = poisson_splines(centers, events, exposure, np.array([smoothing]), inner)
+    return rates[0], float(deviance[0]), float(parameters[0])
 
 
 def best_spline(centers: np.ndarray, events: np.ndarray, exposure: np.ndarray) -> tuple[np.ndarray, float]:
-    """(rates, smoothing) with the least generalised cross-validation; fits with hardly a cell more than parameters don't count."""
-    n, best = int((exposure > 0).sum()), None
-    for smoothing in np.geomspace(1e-2, 1e4, 18):
-        rates, deviance, edf = poisson_spline(centers, events, exposure, smoothing)
-        score = n * deviance / (n - edf) ** 2 if n > edf + 1 else np.inf
-        if best is None or score < best[0]:
-            best = (score, rates, float(smoothing))
-    return best[1], best[2]
+    """(rates, weight) with the least generalised cross-validation; fits with hardly a cell more than parameters don't count."""
+    rates, deviance, parameters = poisson_splines(centers, events, exposure, WEIGHTS)
+    spare = np.count_nonzero(exposure > 0) - parameters
+    with np.errstate(divide="ignore"):
+        score = np.where(spare > 1, (spare + parameters) * deviance / spare**2, np.inf)
+    chosen = int(score.argmin())
+    return rates[chosen], float(WEIGHTS[chosen])
 
 
 def split_time(centers: np.ndarray, rates: np.ndarray, exposure: np.ndarray, least_share: float = 0.01) -> float | None:
-    """Where the rate first crosses half way between its least and its greatest value, going up with age if the oldest quarter of the
-    cells has the higher mean, else down. Cells under a share of the largest exposure don't count; two are needed, and some change."""
-    use = (exposure >= least_share * np.nanmax(exposure, initial=0.0)) & np.isfinite(rates)
-    c, r = centers[use], rates[use]
-    if len(c) < 2 or r.max() <= 0 or r.max() == r.min():
+    """The youngest cell that lies on the old side of the middle between the least and the greatest rate; the old side is the upper one where the oldest
+    quarter of the cells has a mean no lower than the youngest quarter's. Cells under a share of the largest exposure don't count; without two cells or any change
+    there is no split."""
+    told = np.isfinite(rates) & (exposure >= least_share * np.nanmax(exposure, initial=0.0))
+    rate = rates[told]
+    if np.count_nonzero(told) < 2 or np.ptp(rate) == 0 or rate.max() <= 0:
         return None
-    half, q = r.min() + 0.5 * (r.max() - r.min()), max(1, len(c) // 4)
-    rising = r[-q:].mean() >= r[:q].mean()
-    return float(c[np.flatnonzero(r >= half if rising else r <= half)[0]])
+    ends = np.split(rate, [max(1, len(rate) // 4), len(rate) - max(1, len(rate) // 4)]) if len(rate) > 1 else [rate] * 3
+    side = 1.0 if ends[2].mean() >= ends[0].mean() else -1.0
+    above = side * (rate - (rate.min() + rate.max()) / 2) >= 0
+    return float(centers[told][above.argmax()])
 
 
 def split_times(centers: np.ndarray, dwell: np.ndarray, jumps: np.ndarray, least_share: float = 0.01) -> dict[tuple[int, int], float | None]:
     """The split time of each unordered pair of states, from both directions' rates and both states' exposure.
 
     dwell: cells by states; jumps: cells by states by states."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        q = np.where(dwell[:, :, None] > 0, jumps / dwell[:, :, None], 0.0)
-    k = dwell.shape[1]
-    return {(m, n): split_time(centers, q[:, m, n] + q[:, n, m], dwell[:, m] + dwell[:, n], least_share) for m in range(k) for n in range(m + 1, k)}
+    q = np.divide(jumps, dwell[:, :, None], out=np.zeros_like(jumps, dtype=float), where=dwell[:, :, None] > 0)
+    both = q + q.transpose(0, 2, 1)
+    return {(int(m), int(n)): split_time(centers, both[:, m, n], dwell[:, m] + dwell[:, n], least_share) for m, n in np.transpose(np.triu_indices(dwell.shape[1], 1))}

@@ -360,11 +360,11 @@ def tracks(marginals: DataFrame, samples: DataFrame, pi: np.ndarray, length: flo
     ends = ends.unionByName(mine.select(key, F.explode(F.array(F.lit(0.0), F.lit(float(length)))).alias("pos"), F.lit(0).alias("held")))
     gaps = iv.running(ends, "key", "pos", ["held"], width or length).where("held = 0 AND left < right").select("key.*", "left", "right")
     gaps = gaps.select(*who, "sample", "left", "right", *[F.lit(float(pi[s])).alias(f"p{s}") for s in range(k)], F.lit("missing-info").alias("status"))
-    every = seen.unionByName(gaps)
-    if smoothing:
-        every = chains.smooth(every, smoothing, width or length, tuple(float(x) for x in pi), by=[*who, "sample"])
-    every = every.withColumns({s: rounded(F.col(s)) for s in states})
-    return (every if digits is None else iv.merge_runs(every, [*who, "sample"], [*states, "status"], width)).select(*who, "sample", "left", "right", *states, "status")
+    every = seen.unionByName(gaps).withColumns({s: rounded(F.col(s)) for s in states})
+    every = every if digits is None else iv.merge_runs(every, [*who, "sample"], [*states, "status"], width)
+    if smoothing:  # along whole runs, so it doesn't matter where windows end
+        every = chains.smooth(every, smoothing, width or length, tuple(float(x) for x in pi), by=[*who, "sample"]).withColumns({s: rounded(F.col(s)) for s in states})
+    return every.select(*who, "sample", "left", "right", *states, "status")
 
 
 def paint(edges: DataFrame, nodes: DataFrame, samples: DataFrame, q, pi: np.ndarray, length: float, width: float | None, leave_one_out: bool = False, digits: int | None = 9, masks: DataFrame | None = None, smoothing: float = 0.0, merge: bool = True, least: int = LEAST) -> DataFrame:

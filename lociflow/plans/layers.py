@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lociflow.operators import ghosts, nearest, weave
+from lociflow.operators import ghosts, merging, nearest, weave
 from lociflow.plans.weaving import PI, Q, K
 from lociflow.sources import adapters as ad
 from lociflow.sources.adapters import DAYS, TIMES
+from lociflow.streaming.painting import paint_windows
+from lociflow.streaming.windows import scratch
 
 WIDTH = 256.0
 #: Passes of the ghost fit, as its SQL writes them out; whole fits run to a tolerance.
@@ -245,3 +247,51 @@ def _ghost_detection(spark, sf):
 @register("ghost_shares", f"""{_DETECTED} SELECT sample, round(sum(CASE WHEN x IS NOT NULL THEN g1 * w END) / sum(CASE WHEN x IS NOT NULL THEN w END), 5) AS burden FROM g{PASSES} GROUP BY sample""")
 def _ghost_shares(spark, sf):
     return _detected(spark, sf).burden().select("sample", F.round("burden", 5).alias("burden"))
+
+
+#: Days of a window that is inferred, or painted, on its own.
+PIECE = 800.0
+_SAMPLE_SHARES = f"""SELECT node AS sample, sum(hi - lo) AS told, {_list(f"round(sum((hi - lo) * g[{s + 1}]), 2) AS p{s}" for s in _S)} FROM g WHERE node >= 0 GROUP BY node"""
+
+
+def _shares(tracks, *by):
+    span = F.col("right") - F.col("left")
+    return tracks.where("status = 'informative'").groupBy(*by, "sample").agg(F.sum(span).alias("told"), *[F.round(F.sum(F.col(f"p{s}") * span), 2).alias(f"p{s}") for s in _S])
+
+
+@register("merged_windows", f"WITH {_paint()} {_SAMPLE_SHARES}")
+def _merged_windows(spark, sf):
+    """The layered genealogy cut into windows with positions and node numbers of their own, put together again and painted."""
+    edges, nodes = _inputs(spark, sf)
+    samples = ad.table(spark, sf, "customer").count()
+    own = lambda c: F.when(F.col(c) >= 0, F.col(c)).when(F.col(c) >= -25, samples - 1 - F.col(c)).when(F.col(c) >= -105, samples + 25 - 101 - F.col(c)).otherwise(F.lit(samples + 30))
+    windows = spark.range(int(DAYS / PIECE)).select(F.col("id").cast("int").alias("window"), (F.col("id") * PIECE).alias("left"), ((F.col("id") + 1) * PIECE).alias("right"))
+    touched = F.explode(F.sequence(F.floor(F.col("left") / PIECE).cast("int"), F.ceil(F.col("right") / PIECE).cast("int") - 1))
+    begin = F.col("window") * F.lit(PIECE)
+    cut = edges.withColumn("window", touched).select("window", (F.greatest("left", begin) - begin).alias("left"), (F.least("right", begin + PIECE) - begin).alias("right"), own("parent").alias("parent"), own("child").alias("child"))
+    each = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(int(DAYS / PIECE) - 1))).alias("window"), own("node").cast("long").alias("node"), "time")
+    joined, numbered = merging.merged(cut, each, windows)
+    told = nodes.where("time = 0").select("node", "e")
+    told = numbered.join(told, "node", "left").select("node", "time", F.coalesce("e", F.array(*[F.lit(1.0)] * K)).alias("e"))
+    tracks = weave.paint(joined, told, nodes.where("time = 0").select(F.col("node").alias("sample")), Q, PI, DAYS, WIDTH)
+    return _shares(tracks)
+
+
+@register("windowed_painting", f"""WITH {_paint()}, w AS (SELECT k AS "window", k * {_n(PIECE)} AS a, (k + 1) * {_n(PIECE)} AS z FROM (SELECT unnest(range({int(DAYS / PIECE)}))::INT AS k))
+    SELECT "window", node AS sample, sum(least(hi, z) - greatest(lo, a)) AS told, {_list(f"round(sum((least(hi, z) - greatest(lo, a)) * g[{s + 1}]), 2) AS p{s}" for s in _S)} FROM g JOIN w ON lo < z AND a < hi WHERE node >= 0 GROUP BY ALL""")
+def _windowed_painting(spark, sf):
+    """Painted window by window by a stream that could be stopped at any of them."""
+    edges, nodes = _inputs(spark, sf)
+    folder, _ = scratch(spark, "painting")
+    got = paint_windows(edges, nodes, nodes.where("time = 0").select(F.col("node").alias("sample")), Q, PI, DAYS, PIECE, folder)
+    return _shares(got.tracks(), "window").select("window", "sample", "told", *[f"p{s}" for s in _S])
+
+
+@register("usable_windows", """WITH w AS (SELECT p_partkey AS "window", p_partkey * 100::DOUBLE AS "left", (p_partkey + 1) * 100::DOUBLE AS "right" FROM part), g AS (SELECT s_suppkey * 1300::DOUBLE AS a, s_suppkey * 1300::DOUBLE + 100 + 60 * s_nationkey AS z FROM supplier)
+    SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM g WHERE a < "right" AND "left" < z)""")
+def _usable(spark, sf):
+    """Windows, one a part, that no gap, one a supplier, touches."""
+    key, supplier = F.col("p_partkey"), F.col("s_suppkey") * 1300.0
+    windows = ad.table(spark, sf, "part").select(key.alias("window"), (key * 100.0).alias("left"), ((key + 1) * 100.0).alias("right"))
+    gaps = ad.table(spark, sf, "supplier").select(supplier.alias("left"), (supplier + 100.0 + 60.0 * F.col("s_nationkey")).alias("right"))
+    return merging.usable_windows(windows, gaps, 1000.0)

@@ -55,6 +55,26 @@ def _smoother(spark, sf):
     return _rounded(chains.smooth(ad.event_tracks(spark, sf), EPSILON, 7 * BIN).select("sample", "left", "right", "p0", "status"))
 
 
+def _three_sql() -> str:
+    """Forward and backward steps for three states, whose chance of a fresh draw is EPSILON."""
+    stay, fresh = 1 - EPSILON, EPSILON / 3
+    step = lambda a, j: f"({stay!r}::DOUBLE * {a}{j} + {fresh!r}::DOUBLE * ({a}0 + {a}1 + {a}2))"
+    norm = lambda x: ", ".join(f"{v} / ({' + '.join(x)})" for v in x)
+    on = [f"{step('f.f', j)} * c.e{j}" for j in range(3)]
+    back = [f"({stay!r}::DOUBLE * c.e{j} * b.b{j} + {fresh!r}::DOUBLE * (c.e0 * b.b0 + c.e1 * b.b1 + c.e2 * b.b2))" for j in range(3)]
+    return f"""c AS (SELECT *, p0 / 0.5::DOUBLE AS e0, p1 * 0.6::DOUBLE / 0.3::DOUBLE AS e1, p1 * 0.4::DOUBLE / 0.2::DOUBLE AS e2, row_number() OVER (PARTITION BY sample ORDER BY "left") AS n, count(*) OVER (PARTITION BY sample) AS k FROM t),
+    fw(sample, n, f0, f1, f2) AS (SELECT sample, n, {norm(["e0", "e1", "e2"])} FROM c WHERE n = 1 UNION ALL SELECT c.sample, c.n, {norm(on)} FROM fw f JOIN c ON c.sample = f.sample AND c.n = f.n + 1),
+    bw(sample, n, b0, b1, b2) AS (SELECT sample, n, 1::DOUBLE, 1::DOUBLE, 1::DOUBLE FROM c WHERE n = k UNION ALL SELECT c.sample, c.n - 1, {norm(back)} FROM bw b JOIN c ON c.sample = b.sample AND c.n = b.n AND c.n > 1)
+    SELECT sample, "left", "right", {", ".join(f"round(CASE WHEN k < 2 THEN {'p0' if j == 0 else 'p1 * ' + str((0.6, 0.4)[j - 1]) + '::DOUBLE'} ELSE f{j} * b{j} / (f0 * b0 + f1 * b1 + f2 * b2) END, 6) AS p{j}" for j in range(3))} FROM c JOIN fw USING (sample, n) JOIN bw USING (sample, n)"""
+
+
+@register("smoother_three", "WITH RECURSIVE " + _tracks_sql() + ", " + _three_sql())
+def _smoother_three(spark, sf):
+    """Tracks of three states, smoothed along each sample."""
+    tracks = ad.event_tracks(spark, sf).withColumns({"p1": F.col("p1") * 0.6, "p2": F.col("p1") * 0.4})
+    return _rounded(chains.smooth(tracks, EPSILON, 7 * BIN, (0.5, 0.3, 0.2)).select("sample", "left", "right", "p0", "p1", "p2"))
+
+
 def _depths(spark, sf):
     tiled = iv.tile_markers(ad.event_markers(spark, sf), ["sample"], "pos", ad.LENGTH, ["event_id"], ad.BIN)
     return tiled.select("sample", "left", "right", F.when(F.col("event_type") != "error", F.col("value")).alias("depth"), F.when(F.col("event_type") == "error", "missing-info").otherwise("informative").alias("status"))
