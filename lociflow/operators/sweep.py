@@ -47,7 +47,7 @@ def _members(rows: DataFrame) -> DataFrame:
 def dealt(edges: DataFrame, nodes: DataFrame, masks: DataFrame | None = None, least: int = LEAST) -> tuple[DataFrame, int]:
     """(rows, number of tasks): (member, window, left, right, parent, child, tp, tc, vp, vc) sorted by member and window, a task a window or a few.
 
-    masks: (node, left, right) come as rows without parent. Edges without stretch, without time, with null ends or unknown nodes are left out.
+    masks: (node, left, right), perhaps with a value, come as rows without parent. Edges without stretch, without time, with null ends or unknown nodes are left out.
     """
     ship(edges.sparkSession)
     own = "member" in edges.columns
@@ -58,7 +58,7 @@ def dealt(edges: DataFrame, nodes: DataFrame, masks: DataFrame | None = None, le
     rows = rows.select("member", "left", "right", "parent", "child", "tp", "tc", "vp", "vc")
     cuts = np.array(borders(edges, least))
     if masks is not None:
-        spans = _members(masks).where("left < right").select("member", "left", "right", F.col("node").alias("child"))
+        spans = _members(masks).where("left < right").select("member", "left", "right", F.col("node").alias("child"), *([F.col("value").alias("vc")] if "value" in masks.columns else []))
         spans = spans if "member" in masks.columns or not own else spans.drop("member").crossJoin(F.broadcast(edges.select("member").distinct()))  # few members, each with the masks of all
         rows = rows.unionByName(spans, allowMissingColumns=True)
     if not len(cuts):
@@ -118,6 +118,7 @@ class Window:
         known = np.isin(marks.column("child").to_numpy(), self.ids)
         self.mark_lo, self.mark_hi = self.mark_lo[known], self.mark_hi[known]
         self.mark = np.searchsorted(self.ids, marks.column("child").to_numpy()[known])
+        self.mark_values = marks.column("vc").filter(pa.array(known))
         self.first = np.empty(len(self.ids), np.int64)  # a place in (children, parents) where each node stands
         self.first[self.parent], self.first[self.child] = n + np.arange(n), np.arange(n)
         self.tc, self.tp = self.rows.column("tc").to_numpy(), self.rows.column("tp").to_numpy()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lociflow.operators import ghosts, merging, nearest, weave
+from lociflow.operators import ghosts, merging, mutations, nearest, weave
 from lociflow.plans.weaving import PI, Q, K
 from lociflow.sources import adapters as ad
 from lociflow.sources.adapters import DAYS, TIMES
@@ -295,3 +295,24 @@ def _usable(spark, sf):
     windows = ad.table(spark, sf, "part").select(key.alias("window"), (key * 100.0).alias("left"), ((key + 1) * 100.0).alias("right"))
     gaps = ad.table(spark, sf, "supplier").select(supplier.alias("left"), (supplier + 100.0 + 60.0 * F.col("s_nationkey")).alias("right"))
     return merging.usable_windows(windows, gaps, 1000.0)
+
+
+_SITES = """st AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE)::DOUBLE + (o_orderkey % 1000) / 1024::DOUBLE + 1 / 2048::DOUBLE AS pos, c_custkey, c_nationkey, n_regionkey, o_orderkey % 3 AS kind FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+    mu AS (SELECT pos, kind, CASE kind WHEN 0 THEN c_custkey WHEN 1 THEN c_nationkey ELSE n_regionkey END AS place, min(1 + o_orderkey % 4) AS state FROM st GROUP BY ALL UNION ALL SELECT pos, 0, c_custkey, 9 FROM st WHERE kind > 0 AND NOT EXISTS (SELECT 1 FROM st o WHERE o.pos = st.pos AND o.c_custkey = st.c_custkey AND o.kind = 0) GROUP BY ALL)"""
+
+
+@register("mutation_genotypes", f"""WITH {_axis()}, {_SITES},
+    al AS (SELECT pos, e.k, nat.nation, nat.region FROM (SELECT DISTINCT pos FROM mu) JOIN iv ON iv.lo <= pos AND pos < iv.hi JOIN e ON e.a <= pos AND pos < e.z JOIN nat ON nat.lo = iv.lo AND nat.nation = e.nation),
+    ca AS (SELECT pos, k, arg_min(state, kind) AS state FROM (SELECT pos, place AS k, kind, state FROM mu WHERE kind = 0 UNION ALL SELECT mu.pos, al.k, kind, state FROM mu JOIN al ON al.pos = mu.pos AND ((kind = 1 AND place = nation) OR (kind = 2 AND place = region))) GROUP BY ALL)
+    SELECT pos, count(*) AS carriers, sum(k * state)::BIGINT AS weighted FROM ca GROUP BY pos""")
+def _mutations(spark, sf):
+    """Mutations on customers, nations and regions, one an order, handed down the layered genealogy: who carries what at each place."""
+    edges, nodes = ad.layered(spark, sf)
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
+    orders = ad.table(spark, sf, "orders").join(ad.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(ad.table(spark, sf, "nation").select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows at every size
+    key = F.col("o_orderkey")
+    places = orders.select((days + (key % 1000) / 1024.0 + 1 / 2048.0).alias("pos"), (key % 3).alias("kind"), F.col("c_custkey").cast("long").alias("own"), (-1 - F.col("c_nationkey")).cast("long").alias("nation"), (-101 - F.col("n_regionkey")).cast("long").alias("region"), (1 + key % 4).cast("long").alias("state"))
+    first = places.select("pos", F.when(F.col("kind") == 0, F.col("own")).when(F.col("kind") == 1, F.col("nation")).otherwise(F.col("region")).alias("node"), "state", F.lit(0.0).alias("time"))
+    again = places.where("kind > 0").select("pos", F.col("own").alias("node"), F.lit(9).cast("long").alias("state"), F.lit(1.0).alias("time"))
+    got = mutations.genotypes(edges, nodes.select("node", "time"), first.unionByName(again), nodes.where("time = 0").select(F.col("node").alias("sample")))
+    return got.groupBy("pos").agg(F.count(F.lit(1)).alias("carriers"), F.sum(F.col("sample") * F.col("state")).alias("weighted"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from lociflow.cluster import Stored
 from lociflow.operators import references, weave
 from lociflow.sources import adapters as ad
 
@@ -171,3 +172,38 @@ def _time_cells(spark, sf):
     joints = weave.part(weave.expected(edges, nodes, CELLS, PI), "branches", False)
     at = lambda c, i: F.round(F.get(F.col(c), F.lit(i)), 3)
     return weave.cell_statistics(joints, CELLS).select("cell", *[(at("dwell", m).alias(f"dwell{m}") if m == n else at("jumps", m * K + n).alias(f"jump{m}{n}")) for m in range(K) for n in range(K)])
+
+
+_FOREIGN = _SQL + """, fo AS (SELECT k, lo, hi, CASE label WHEN 0 THEN 1 - o0 WHEN 1 THEN 1 - o1 WHEN 2 THEN 1 - o2 ELSE (1 - greatest(o0, o1, o2)) / (1 - 1 / 3::DOUBLE) END AS score FROM g JOIN lab USING (k)),
+    i AS (SELECT *, sum(CASE WHEN ph = lo THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY lo) AS n FROM (SELECT *, lag(hi) OVER (PARTITION BY k ORDER BY lo) AS ph FROM fo WHERE score >= 0.6::DOUBLE))
+    SELECT k::BIGINT AS sample, min(lo) AS "left", max(hi) AS "right", round(sum(score * (hi - lo)) / sum(hi - lo), 5) AS score FROM i GROUP BY k, n"""
+
+
+@register("foreign_by_the_rest", _FOREIGN)
+def _foreign_tracts(spark, sf):
+    """Stretches that the rest of the genealogy withholds from a reference's label, or that fit no state, from real leave-one-out tracks."""
+    got = references.foreign_tracts(_loo_tracks(spark, sf), _labelled(spark, sf), [f"p{s}" for s in range(K)], 0.6, width=WIDTH)
+    return got.select("sample", "left", "right", F.round("score", 5).alias("score"))
+
+
+@register("reference_summary", _AGREE + """, f AS (SELECT k, sum(span) AS f FROM r WHERE greatest(CASE WHEN label = 0 THEN -1 ELSE o0 END, CASE WHEN label = 1 THEN -1 ELSE o1 END, CASE WHEN label = 2 THEN -1 ELSE o2 END) - own >= 0.1::DOUBLE GROUP BY k),
+    ck AS (SELECT lab.k, label, agreement, row_number() OVER (ORDER BY coalesce(agreement, -1) DESC, lab.k) AS place, count(*) OVER () AS n FROM lab LEFT JOIN a ON a.k = lab.k WHERE label IS NOT NULL)
+    SELECT ck.k::BIGINT AS node, label, round(agreement, 6) AS agreement, place <= round_even(0.5::DOUBLE * n, 0) AS is_anchor, round(coalesce(f, 0) / 20000::DOUBLE, 6) AS foreign_share FROM ck LEFT JOIN f ON f.k = ck.k""")
+def _summary(spark, sf):
+    """What an audit reads from one leave-one-out painting: agreement, who may be an anchor, and how much of the axis is foreign."""
+    states = [f"p{s}" for s in range(K)]
+    tracks = Stored(_loo_tracks(spark, sf), "loo-tracks").df
+    agreed = Stored(references.agreement(tracks, _labelled(spark, sf), states), "agreement").df
+    best = references.anchors(agreed).withColumn("is_anchor", F.lit(True))
+    table = agreed.join(best, "node", "left").withColumn("is_anchor", F.coalesce("is_anchor", F.lit(False)))
+    got = references.Audit(table, tracks, Q).summary(states, DAYS, 0.1)
+    return got.select("node", "label", F.round("agreement", 6).alias("agreement"), "is_anchor", F.round("foreign_share", 6).alias("foreign_share"))
+
+
+@register("reference_audit")
+def _audit(spark, sf):
+    """The whole audit, two passes of learning each: credibility of every reference, its anchors and its foreign share."""
+    edges, nodes = ad.woven(spark, sf)
+    told = references.audit(edges, nodes.select("node", "time"), _labelled(spark, sf), Q, PI, DAYS, WIDTH, iterations=2)
+    got = told.summary([f"p{s}" for s in range(K)], DAYS)
+    return got.select("node", "label", *[F.round(c, 6).alias(c) for c in ("agreement", "learned", "credibility")], "is_anchor", F.round("foreign_share", 6).alias("foreign_share"))
