@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
-from lociflow.operators import chains, dating, intervals, metrics, references, weave
+from lociflow.operators import chains, dating, ghosts, intervals, metrics, mutations, nearest, painters, references, weave
 from lociflow.operators.segmentation import hard_segments
 from lociflow.sources import stores
+from lociflow.streaming.painting import paint_windows
 
 
 def _states(o: argparse.Namespace) -> list[str]:
@@ -29,16 +30,50 @@ def _start(o: argparse.Namespace) -> tuple[np.ndarray, np.ndarray]:
 
 def _told(spark: SparkSession, o: argparse.Namespace, pi: np.ndarray) -> DataFrame:
     """(node, time, e) from nodes (node, time) and labels (node, label, w)."""
-    rows = spark.read.parquet(o.nodes).select("node", "time").join(spark.read.parquet(o.labels), "node", "left")
+    nodes = spark.read.parquet(o.nodes)
+    who = [c for c in ("member",) if c in nodes.columns]
+    rows = nodes.select(*who, "node", "time").join(spark.read.parquet(o.labels), "node", "left")
     rows = rows if "w" in rows.columns else rows.withColumn("w", F.lit(1.0))
     even = F.array(*[F.lit(1.0)] * len(pi))
-    return rows.select("node", "time", F.when(F.col("label").isNotNull() | (F.col("time") == 0), weave.emissions(rows, pi)).otherwise(even).alias("e"))
+    return rows.select(*who, "node", "time", F.when(F.col("label").isNotNull() | (F.col("time") == 0), weave.emissions(rows, pi)).otherwise(even).alias("e"))
+
+
+def _samples(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    return spark.read.parquet(o.nodes).where("time = 0").select(F.col("node").alias("sample")).distinct()
 
 
 def _paint(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     q, pi = _start(o)
-    samples = spark.read.parquet(o.nodes).where("time = 0").select(F.col("node").alias("sample"))
-    return weave.paint(spark.read.parquet(o.edges), _told(spark, o, pi), samples, q, pi, o.length, o.width, o.leave_one_out)
+    masks = spark.read.parquet(o.masks) if o.masks else None
+    return weave.paint(spark.read.parquet(o.edges), _told(spark, o, pi), _samples(spark, o), q, pi, o.length, o.width, o.leave_one_out, masks=masks, smoothing=o.smoothing)
+
+
+def _windows(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    q, pi = _start(o)
+    return paint_windows(spark.read.parquet(o.edges), _told(spark, o, pi), _samples(spark, o), q, pi, o.length, o.size or o.length, o.folder).painting()
+
+
+def _panel(spark: SparkSession, o: argparse.Namespace) -> painters.Panel:
+    q, pi = _start(o)
+    return painters.Panel(spark.read.parquet(o.edges), spark.read.parquet(o.nodes), spark.read.parquet(o.labels), _samples(spark, o), q, pi, o.length, o.width)
+
+
+def _nearest(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    return painters.PAINTERS["nearest"](_panel(spark, o))
+
+
+def _compare(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    return painters.head_to_head(_panel(spark, o), spark.read.parquet(o.truth))
+
+
+def _detect(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    p = _panel(spark, o)
+    depths = nearest.depths(p.edges, p.nodes, p.references, p.samples, o.length, o.width)
+    return ghosts.detect(depths, p.references, o.width, o.by, o.iterations).posteriors
+
+
+def _genotypes(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    return mutations.genotypes(spark.read.parquet(o.edges), spark.read.parquet(o.nodes), spark.read.parquet(o.mutations), _samples(spark, o))
 
 
 def _fit(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
@@ -79,7 +114,7 @@ def _segments(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
 
 
 def _smooth(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
-    return chains.smooth(spark.read.parquet(o.tracks), o.epsilon, o.width)
+    return chains.smooth(spark.read.parquet(o.tracks), o.epsilon, o.width, tuple([1.0 / o.states] * o.states))
 
 
 def _score(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
@@ -107,6 +142,11 @@ COMMANDS = {
     "smooth": (_smooth, ["tracks"]),
     "score": (_score, ["tracks", "truth"]),
     "ghost": (_ghost, ["depths"]),
+    "windows": (_windows, ["edges", "nodes", "labels", "folder"]),
+    "nearest": (_nearest, ["edges", "nodes", "labels"]),
+    "compare": (_compare, ["edges", "nodes", "labels", "truth"]),
+    "detect": (_detect, ["edges", "nodes", "labels"]),
+    "genotypes": (_genotypes, ["edges", "nodes", "mutations"]),
 }
 
 
@@ -118,11 +158,13 @@ def parser() -> argparse.ArgumentParser:
         for table in inputs:
             one.add_argument(f"--{table}", required=True)
         one.add_argument("--out", required=True)
-        for number, default in (("rate", 1e-3), ("least-score", 0.5), ("length", 1.0), ("width", 1e5), ("deadband", 0.0), ("epsilon", 1e-3), ("mu", 0.0), ("sd", 1.0), ("floor", 1.0)):
+        for number, default in (("rate", 1e-3), ("least-score", 0.5), ("length", 1.0), ("width", 1e5), ("deadband", 0.0), ("epsilon", 1e-3), ("mu", 0.0), ("sd", 1.0), ("floor", 1.0), ("smoothing", 0.0), ("size", 0.0)):
             one.add_argument(f"--{number}", type=float, default=default)
         one.add_argument("--states", type=int, default=2)
         one.add_argument("--cells", type=int, default=40)
         one.add_argument("--iterations", type=int, default=50)
+        one.add_argument("--by", default="time", choices=["time", "rank"])
+        one.add_argument("--masks", help="stretches (node, left, right) where a reference says nothing")
         one.add_argument("--params", help="a stored fit to start from")
         one.add_argument("--leave-one-out", action="store_true")
     return top

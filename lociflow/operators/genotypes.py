@@ -1,4 +1,4 @@
-"""Genotype tables (site, hap, individual, grp, allele): diversity, sex and joint panels."""
+"""Genotype tables (site, hap, individual, grp, allele): diversity, sex, copies of a sex chromosome and joint panels."""
 
 from __future__ import annotations
 
@@ -34,6 +34,55 @@ def largest_gap(positions: DataFrame, pos: str, width: float) -> DataFrame:
     return gaps.agg(F.max_by(F.struct(F.col(pos).alias("left"), F.col("following").alias("right")), F.struct("gap", -F.col(pos))).alias("x")).select("x.*")
 
 
+def _copies(calls: DataFrame) -> DataFrame:
+    """(name, pos, told, differ) of individuals with two copies or more somewhere: their first two at each position, both told or not."""
+    first = F.min(F.when(F.col("hap") == 0, F.struct("allele", "missing"))).alias("a"), F.min(F.when(F.col("hap") == 1, F.struct("allele", "missing"))).alias("b")
+    both = calls.where("hap < 2").groupBy("name", "pos").agg(*first).where("a IS NOT NULL AND b IS NOT NULL")
+    told = ~F.col("a.missing") & ~F.col("b.missing")
+    return both.select("name", "pos", told.alias("told"), (told & (F.col("a.allele") != F.col("b.allele"))).alias("differ"))
+
+
+def sexes(calls: DataFrame, length: float, known: DataFrame | None = None) -> DataFrame:
+    """(name, sex) of individuals from calls (pos, name, hap, allele, missing) of a sex chromosome; known (name, sex) holds where it is given.
+
+    A male has one copy, or differs between both, over the middle half of the chromosome, at no more than a tenth of the sites where the upper decile of all individuals does.
+    """
+    middle = (F.col("pos") >= 0.25 * length) & (F.col("pos") < 0.75 * length)
+    names = calls.groupBy("name").agg((F.max("hap") + 1).alias("__n"))
+    shares = _copies(calls.where(middle)).groupBy("name").agg(F.try_divide(F.count_if("differ"), F.count_if("told")).alias("__h"))
+    rows = names.join(shares, "name", "left").withColumn("__h", F.coalesce("__h", F.lit(0.0)))
+    limit = rows.agg(F.percentile("__h", 0.9).alias("__u"))  # one row
+    male = (F.col("__n") < 2) | ((F.col("__u") > 0) & (F.col("__h") <= 0.1 * F.col("__u")))
+    found = rows.join(F.broadcast(limit)).select("name", F.when(male, "M").otherwise("F").alias("sex"))
+    if known is None:
+        return found
+    return found.join(known.select("name", F.col("sex").alias("__k")), "name", "left").select("name", F.coalesce("__k", "sex").alias("sex"))
+
+
+def pseudo_autosomal(calls: DataFrame, sex: DataFrame, length: float, width: float) -> DataFrame:
+    """(left, right): the ends of the chromosome where males have two copies, around the largest gap between places where any male's differ; none without such places."""
+    males = sex.where("sex = 'M'").select("name")
+    places = _copies(calls.join(males, "name", "left_semi")).where("differ").select("pos")
+    ends = calls.sparkSession.createDataFrame([(0.0,), (float(length),)], "pos double")
+    gap = largest_gap(places.select(F.col("pos").cast("double")).unionByName(ends), "pos", width)
+    some = places.limit(1).select(F.lit(1).alias("__some"))
+    sides = F.array(F.struct(F.lit(0.0).alias("left"), F.col("left").alias("right")), F.struct(F.col("right").alias("left"), F.lit(float(length)).alias("right")))
+    return gap.join(F.broadcast(some)).select(F.explode(sides).alias("x")).select("x.*").where("left < right")
+
+
+def haploid(calls: DataFrame, sex: DataFrame, autosomal: DataFrame, keep: bool = False) -> DataFrame:
+    """calls with one row for each real copy: females keep theirs, males their first. keep: a male's second copy stays too, missing outside the pseudo-autosomal ends.
+
+    autosomal: (left, right), two rows at most. A call that is missing stays missing.
+    """
+    ends = autosomal.agg(F.collect_list(F.struct("left", "right")).alias("__ends"))
+    rows = calls.join(sex, "name").join(F.broadcast(ends))
+    inside = F.exists("__ends", lambda e: (F.col("pos") >= e["left"]) & (F.col("pos") < e["right"]))
+    second = (F.col("sex") == "M") & (F.col("hap") > 0)
+    rows = rows.where(~second | (F.lit(keep) & (F.col("hap") == 1)))
+    return rows.withColumn("missing", F.col("missing") | (second & ~inside)).select(*calls.columns)
+
+
 def join_panels(query: DataFrame, reference: DataFrame) -> DataFrame:
     """Sites that both panels have, with both alleles' counts: an inner join on position."""
     return query.join(reference, "site")

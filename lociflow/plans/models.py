@@ -297,3 +297,33 @@ def _stream(spark, sf):
     out, state = scratch(spark, "stream")
     table = stream_windows(spark, sf, "events", ad.table(spark, sf, "events").schema, 259200.0, out, state)
     return table.groupBy("window").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+
+
+#: Calls of a sex chromosome: one site a line item, two copies of its supplier; males' copies are alike but near both ends.
+_SEX = """lx AS (SELECT 8 * (max(o_orderkey) + 1)::DOUBLE AS len FROM orders),
+    ca AS (SELECT (l_orderkey * 8 + l_linenumber)::DOUBLE AS pos, l_suppkey AS name, l_quantity::INT % 2 AS a, CASE WHEN l_suppkey % 2 = 0 AND l_orderkey * 8 + l_linenumber BETWEEN 0.3 * len AND 0.7 * len THEN l_quantity::INT % 2 ELSE l_linenumber % 2 END AS b, l_discount > 0.085 AS ma, l_tax > 0.075 AS mb, len FROM lineitem, lx),
+    hs AS (SELECT name, count(*) FILTER (NOT ma AND NOT mb AND a <> b) / nullif(count(*) FILTER (NOT ma AND NOT mb), 0)::DOUBLE AS h FROM ca WHERE pos >= 0.25 * len AND pos < 0.75 * len GROUP BY name),
+    sx AS (SELECT name, CASE WHEN coalesce(h, 0) <= 0.1 * (SELECT quantile_cont(coalesce(h, 0), 0.9) FROM (SELECT DISTINCT name FROM ca) LEFT JOIN hs USING (name)) THEN 'M' ELSE 'F' END AS sex FROM (SELECT DISTINCT name FROM ca) LEFT JOIN hs USING (name)),
+    pl AS (SELECT DISTINCT pos FROM (SELECT pos FROM ca JOIN sx USING (name) WHERE sex = 'M' AND NOT ma AND NOT mb AND a <> b UNION ALL SELECT 0 UNION ALL SELECT len FROM lx)),
+    gp AS (SELECT pos AS lo, hi FROM (SELECT pos, lead(pos) OVER (ORDER BY pos) AS hi FROM pl) WHERE hi IS NOT NULL ORDER BY hi - pos DESC, pos LIMIT 1)"""
+
+
+def _sex_calls(spark, sf):
+    length = 8.0 * (ad.table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0] + 1)
+    pos = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    a = F.col("l_quantity").cast("int") % 2
+    b = F.when((F.col("l_suppkey") % 2 == 0) & pos.between(0.3 * length, 0.7 * length), a).otherwise(F.col("l_linenumber") % 2)
+    copy = lambda hap, allele, missing: F.struct(F.lit(hap).alias("hap"), allele.cast("int").alias("allele"), missing.alias("missing"))
+    rows = ad.table(spark, sf, "lineitem").select(pos.cast("double").alias("pos"), F.col("l_suppkey").alias("name"), F.explode(F.array(copy(0, a, F.col("l_discount") > 0.085), copy(1, b, F.col("l_tax") > 0.075))).alias("x"))
+    return rows.select("pos", "name", "x.*"), length
+
+
+@register("haploid_copies", f"""WITH {_SEX}, ro AS (SELECT name, sex, 0 AS hap, a AS allele, ma AS missing FROM ca JOIN sx USING (name) UNION ALL SELECT name, sex, 1, b, mb OR (sex = 'M' AND NOT (pos < lo OR pos >= hi)) FROM ca JOIN sx USING (name), gp)
+    SELECT name, sex, hap, count(*) AS calls, count(*) FILTER (missing) AS missing, sum(allele)::BIGINT AS alleles FROM ro GROUP BY ALL""")
+def _haploid(spark, sf):
+    """Sex and pseudo-autosomal ends inferred from the calls, then a row for each real copy; males' second ones are missing between the ends."""
+    calls, length = _sex_calls(spark, sf)
+    sex = genotypes.sexes(calls, length)
+    ends = genotypes.pseudo_autosomal(calls, sex, length, length / 100)
+    got = genotypes.haploid(calls, sex, ends, keep=True).join(sex, "name")
+    return got.groupBy("name", "sex", "hap").agg(F.count(F.lit(1)).alias("calls"), F.count_if("missing").alias("missing"), F.sum("allele").alias("alleles"))

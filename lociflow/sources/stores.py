@@ -47,6 +47,28 @@ def load_audit(spark: SparkSession, path: str):
     return Audit(spark.read.parquet(f"{path}/credibility"), spark.read.parquet(f"{path}/tracks"), load_params(f"{path}/params")[0])
 
 
+def save_ghosts(found, path: str) -> None:
+    """What ghosts.detect finds: its posteriors, and one row with the law and the anchor it was fitted from."""
+    found.posteriors.write.mode("overwrite").parquet(f"{path}/posteriors")
+    a = found.anchor
+    law = [(a.mean, a.deviation, a.deepest, a.floor, a.scale, found.mean, found.deviation, found.transition.ravel().tolist(), found.start.tolist(), list(map(float, found.history)))]
+    kinds = "known_mean double, known_deviation double, deepest double, floor double, scale double, mean double, deviation double, transition array<double>, start array<double>, loglik array<double>"
+    found.posteriors.sparkSession.createDataFrame([tuple(float(x) if isinstance(x, (int, float, np.floating)) else x for x in law[0])], kinds).write.mode("overwrite").parquet(f"{path}/law")
+
+
+def load_ghosts(spark: SparkSession, path: str):
+    from lociflow.operators.ghosts import Anchor, Ghosts
+
+    r = spark.read.parquet(f"{path}/law").first()
+    anchor = Anchor(r.known_mean, r.known_deviation, r.deepest, r.floor, r.scale)
+    return Ghosts(spark.read.parquet(f"{path}/posteriors"), anchor, r.mean, r.deviation, np.reshape(r.transition, (2, 2)), np.array(r.start), list(r.loglik))
+
+
+def save_tracts(tracts: DataFrame, path: str) -> None:
+    """Tracts (sample or node, left, right, ...) as one table."""
+    tracts.write.mode("overwrite").parquet(path)
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(id, label) of JSON files that hold one object of identifiers and labels each; labels as text."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"))
