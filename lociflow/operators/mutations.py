@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociflow.operators.sweep import LEAST, Window, spread, swept
+from lociflow.operators.sweep import LEAST, Window, for_members, spread, swept
 
 
 def _handed_down(w: Window) -> Iterator[dict[str, np.ndarray]]:
@@ -57,7 +57,7 @@ def _handed_down(w: Window) -> Iterator[dict[str, np.ndarray]]:
 def genotypes(edges: DataFrame, nodes: DataFrame, mutations: DataFrame, samples: DataFrame, least: int = LEAST) -> DataFrame:
     """(member, pos, sample, state) of every sample that carries a mutation; nodes: (node, time), samples: (sample)."""
     who = ["member"] if "member" in edges.columns else []
-    rows = mutations if "member" in mutations.columns or not who else mutations.join(F.broadcast(edges.select("member").distinct()), how="cross")  # few members
+    rows = mutations if "member" in mutations.columns or not who else for_members(mutations, edges)
     named = ["member"] if "member" in rows.columns else []
     one = rows.groupBy(*named, "pos", "node").agg(F.min(F.struct("time", "state"))["state"].cast("long").alias("value"))
     # a place is a stretch too short for anything else to lie in

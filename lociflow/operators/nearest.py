@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored
 from lociflow.operators import intervals as iv
-from lociflow.operators.sweep import LEAST, Window, swept
+from lociflow.operators.sweep import LEAST, Window, for_members, swept
 
 _NOBODY = np.iinfo(np.int64).max
 _SCHEMA = "sample long, left double, right double, reference long, depth double"
@@ -141,9 +141,8 @@ def _tiled(rows: DataFrame, samples: DataFrame, members: DataFrame | None, by: l
     """rows and the stretches of 0 to length that a sample has none in, other columns null."""
     inside = rows.withColumns({"left": F.greatest("left", F.lit(0.0)), "right": F.least("right", F.lit(float(length)))}).where("left < right")
     every = samples.select("sample").distinct()
-    if members is not None:  # members are few: a name each on the driver
-        names = [r.member for r in members.select("member").distinct().collect()]
-        every = every.withColumn("member", F.explode(F.array(*[F.lit(x) for x in names]))) if names else every.withColumn("member", F.lit(0)).limit(0)
+    if members is not None:
+        every = for_members(every, members)
     key = F.struct(*by).alias("key")
     ends = inside.select(key, F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("held")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("held")))).alias("end")).select("key", "end.*")
     ends = ends.unionByName(every.select(key, F.explode(F.array(F.lit(0.0), F.lit(float(length)))).alias("pos"), F.lit(0).alias("held")))
@@ -169,7 +168,7 @@ def paint(edges: DataFrame, nodes: DataFrame, references: DataFrame, samples: Da
     labels = references.select(*on, F.col("node").alias("reference"), "label")
     own = samples.select("sample").distinct().join(labels.withColumnRenamed("reference", "sample"), "sample").withColumns({"left": F.lit(0.0), "right": F.lit(float(length))})
     if who and not on:
-        own = own.join(F.broadcast(edges.select("member").distinct()), how="cross")  # few members, each with the same references
+        own = for_members(own, edges)
     found = nearest(edges, nodes, references, samples, least=least).join(labels, [*on, "reference"])
     found = found.join(references.select(*on, F.col("node").alias("sample")).distinct(), [*on, "sample"], "left_anti")
     rows = Stored(found.select(*who, "sample", "left", "right", "label").unionByName(own.select(*who, "sample", "left", "right", "label")), "nearest").df

@@ -44,6 +44,14 @@ def _members(rows: DataFrame) -> DataFrame:
     return rows if "member" in rows.columns else rows.withColumn("member", F.lit(0))
 
 
+def for_members(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows once for each member of an ensemble's edges; members are few, a name each on the driver."""
+    names = [r.member for r in edges.select("member").distinct().collect()]
+    if not names:
+        return rows.withColumn("member", F.lit(None).cast(edges.schema["member"].dataType)).limit(0)
+    return rows.withColumn("member", F.explode(F.array(*[F.lit(x) for x in names])))
+
+
 def dealt(edges: DataFrame, nodes: DataFrame, masks: DataFrame | None = None, least: int = LEAST) -> tuple[DataFrame, int]:
     """(rows, number of tasks): (member, window, left, right, parent, child, tp, tc, vp, vc) sorted by member and window, a task a window or a few.
 
@@ -59,7 +67,7 @@ def dealt(edges: DataFrame, nodes: DataFrame, masks: DataFrame | None = None, le
     cuts = np.array(borders(edges, least))
     if masks is not None:
         spans = _members(masks).where("left < right").select("member", "left", "right", F.col("node").alias("child"), *([F.col("value").alias("vc")] if "value" in masks.columns else []))
-        spans = spans if "member" in masks.columns or not own else spans.drop("member").crossJoin(F.broadcast(edges.select("member").distinct()))  # few members, each with the masks of all
+        spans = spans if "member" in masks.columns or not own else for_members(spans.drop("member"), edges)
         rows = rows.unionByName(spans, allowMissingColumns=True)
     if not len(cuts):
         rows = rows.withColumn("window", F.lit(0))

@@ -26,7 +26,7 @@ from lociflow.cluster import Stored, ship
 from lociflow.functions.ctmc import reward_integral, transition
 from lociflow.operators import chains
 from lociflow.operators import intervals as iv
-from lociflow.operators.sweep import LEAST, Window, running, spread, swept
+from lociflow.operators.sweep import LEAST, Window, for_members, running, spread, swept
 
 _NONE = float("-inf")
 #: Rows that a node's stretches are expanded to at once.
@@ -352,9 +352,8 @@ def tracks(marginals: DataFrame, samples: DataFrame, pi: np.ndarray, length: flo
     rounded = lambda x: x if digits is None else F.round(x, digits)
     mine = samples.select("sample").distinct()
     seen = marginals.join(mine, F.col("node") == F.col("sample")).select(*who, "sample", F.greatest("left", F.lit(0.0)).alias("left"), F.least("right", F.lit(float(length))).alias("right"), *[_get(field, s).alias(f"p{s}") for s in range(k)], F.lit("informative").alias("status")).where("left < right")
-    if who:  # members are few: a name each on the driver
-        names = [r.member for r in marginals.select("member").distinct().collect()]
-        mine = mine.withColumn("member", F.explode(F.array(*[F.lit(x) for x in names]))) if names else mine.withColumn("member", F.lit(0)).limit(0)
+    if who:
+        mine = for_members(mine, marginals)
     key = F.struct(*who, "sample").alias("key")
     ends = seen.select(key, F.explode(F.array(F.struct(F.col("left").alias("pos"), F.lit(1).alias("held")), F.struct(F.col("right").alias("pos"), F.lit(-1).alias("held")))).alias("end")).select("key", "end.*")
     ends = ends.unionByName(mine.select(key, F.explode(F.array(F.lit(0.0), F.lit(float(length)))).alias("pos"), F.lit(0).alias("held")))
