@@ -120,14 +120,14 @@ def _long(h: Column) -> Column:
 
 
 def _bands(words: Column) -> Column:
-    """All bands of a text, each once."""
+    """All bands of a text."""
     half = WINDOW // 2
 
     def signed(hashes: Column) -> Column:
         last = F.greatest(F.lit(0), F.ceil(F.size(hashes) / F.lit(half)).cast("int") - 2)
         begins = F.when(F.size(hashes) > 0, F.transform(F.sequence(F.lit(0), last), lambda j: j * half)).otherwise(F.array().cast("array<int>"))
         least = F.flatten(F.transform(begins, lambda j: _least(F.slice(hashes, j + 1, F.lit(WINDOW)))))
-        return F.array_distinct(F.concat(F.transform(hashes, _short), F.transform(least, _long)))
+        return F.concat(F.transform(hashes, _short), F.transform(least, _long))
 
     return _let(_hashes(words), signed)
 
@@ -140,16 +140,40 @@ def _table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
     return table.select("license_id", F.size(F.array_distinct("all")).alias("n"), F.explode(F.array_distinct("all")).alias("x")).select("license_id", "n", "x.s", "x.h")
 
 
-def _candidates(texts: DataFrame, bands: DataFrame, few: bool) -> DataFrame:
-    """(id, words, licenses) of texts that meet a template in a band.
+def _places_of(band: Column, size: int) -> list[Column]:
+    """Two of 2^size bits for a band."""
+    return [F.shiftrightunsigned(band, 1 + k * size).bitwiseAND(F.lit((1 << size) - 1)) for k in range(2)]
 
-    few: the bands are broadcast, so a text's rows stay in their task and only texts that meet a template are sent on, once each.
+
+def _marks(bands: DataFrame, size: int) -> DataFrame:
+    """One row: 2^size bits in long integers, two set for each band, so that a text can leave out bands of no template before it makes rows of them."""
+    at = bands.select(F.explode(F.array(*_places_of(F.col("band"), size))).alias("at"))
+    words = at.select(F.shiftright("at", 6).alias("i"), F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("bit")).groupBy("i").agg(F.bit_or("bit").alias("bits"))
+    words = bands.sparkSession.range(1 << (size - 6)).select(F.col("id").alias("i")).join(words, "i", "left")
+    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda x: x["bits"]).alias("marks"))
+
+
+def _marked(bands: Column, marks: Column, size: int) -> Column:
+    """The bands that may be a template's, each once."""
+    known = lambda at: F.getbit(F.get(marks, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    both = lambda b: known(_places_of(b, size)[0]) & known(_places_of(b, size)[1])
+    return F.array_distinct(F.filter(bands, both))
+
+
+def _candidates(texts: DataFrame, bands: DataFrame, characters: int) -> DataFrame:
+    """(row, id, words, licenses) of texts that meet a template in a band; characters: of all templates.
+
+    Up to FEW_CHARACTERS the bands are broadcast, and a set of bits (at least 16 a character) leaves out other bands first: a text makes at most a
+    row for each distinct band of the templates, in its own task, and only texts that meet a template are sent on, once each.
     Otherwise bands are joined without the texts, which are then met again by id; equal ids share their candidates.
+    explode_outer, here and below: for explode the optimizer would add a filter that makes the same arrays again.
     """
-    if few:
-        met = texts.select("row", "id", "words", F.explode(_bands(F.col("words"))).alias("band")).join(F.broadcast(bands), "band")
+    if characters <= FEW_CHARACTERS:
+        size = max(20, (16 * characters).bit_length())
+        marked = texts.withColumn("marks", _marks(bands, size).scalar()).withColumn("bands", _marked(_bands(F.col("words")), F.col("marks"), size))
+        met = marked.select("row", "id", "words", F.explode_outer("bands").alias("band")).join(F.broadcast(bands), "band")
         return met.groupBy("row").agg(F.first("id").alias("id"), F.first("words").alias("words"), F.collect_set("license_id").alias("licenses"))
-    met = texts.select("id", F.explode(_bands(F.col("words"))).alias("band")).join(bands, "band")
+    met = texts.select("id", F.explode_outer(F.array_distinct(_bands(F.col("words")))).alias("band")).join(bands, "band")
     met = met.groupBy(F.col("id").alias("__id")).agg(F.collect_set("license_id").alias("licenses"))
     return texts.join(met, F.col("id").eqNullSafe(F.col("__id"))).drop("__id")
 
@@ -157,13 +181,13 @@ def _candidates(texts: DataFrame, bands: DataFrame, few: bool) -> DataFrame:
 def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
     """(id, license_id, n_shingles of the template, n_matched, containment) of each template that a text holds."""
     templates = TEMPLATES if templates is None else templates
-    small = sum(map(len, templates.values())) <= FEW_CHARACTERS
-    few = F.broadcast if small else lambda table: table
+    characters = sum(map(len, templates.values()))
+    few = F.broadcast if characters <= FEW_CHARACTERS else lambda table: table
     table = _table(df.sparkSession, templates)
     bands = table.select(F.when(F.col("n") < LONG, _short(F.col("h"))).otherwise(_long(F.col("h"))).alias("band"), "license_id").distinct()
     texts = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), _words(F.col(f"`{text_col}`")).alias("words"))
-    found = _candidates(texts, bands, small).select("row", "id", "words", F.explode("licenses").alias("license_id"))
-    shingles = found.select("row", "id", "license_id", F.explode(F.array_distinct(F.transform(_places(F.col("words")), lambda i: _shingle(F.col("words"), i)))).alias("s"))
+    found = _candidates(texts, bands, characters).select("row", "id", "words", F.explode("licenses").alias("license_id"))
+    shingles = found.select("row", "id", "license_id", F.explode_outer(F.array_distinct(F.transform(_places(F.col("words")), lambda i: _shingle(F.col("words"), i)))).alias("s"))
     counted = shingles.join(few(table.select("license_id", "n", "s")), ["license_id", "s"]).groupBy("row", "id", "license_id", "n").agg(F.count(F.lit(1)).alias("m")).where(100 * F.col("m") >= percent * F.col("n"))
     out = f"{id_col}_in" if id_col.lower() in NEW else id_col
     return counted.select(F.col("id").alias(out), "license_id", F.col("n").cast("long").alias("n_shingles"), F.col("m").alias("n_matched"), (F.col("m") / F.col("n")).alias("containment"))
