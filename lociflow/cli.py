@@ -11,7 +11,7 @@ import numpy as np
 
 from lociflow.operators import chains, dating, ghosts, intervals, metrics, mutations, nearest, painters, references, weave
 from lociflow.operators.segmentation import hard_segments
-from lociflow.sources import stores
+from lociflow.sources import arrays, stores
 from lociflow.streaming.painting import paint_windows
 
 
@@ -76,6 +76,10 @@ def _genotypes(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     return mutations.genotypes(spark.read.parquet(o.edges), spark.read.parquet(o.nodes), spark.read.parquet(o.mutations), _samples(spark, o))
 
 
+def _variants(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
+    return arrays.read_variants(spark, o.source, spark.read.parquet(o.sex) if o.sex else None)
+
+
 def _fit(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     q, pi = _start(o)
     q, pi, history = weave.fit(spark.read.parquet(o.edges), lambda now: _told(spark, o, now), q, pi, o.width, o.iterations)
@@ -147,6 +151,7 @@ COMMANDS = {
     "compare": (_compare, ["edges", "nodes", "labels", "truth"]),
     "detect": (_detect, ["edges", "nodes", "labels"]),
     "genotypes": (_genotypes, ["edges", "nodes", "mutations"]),
+    "variants": (_variants, ["source"]),
 }
 
 
@@ -165,6 +170,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--iterations", type=int, default=50)
         one.add_argument("--by", default="time", choices=["time", "rank"])
         one.add_argument("--masks", help="stretches (node, left, right) where a reference says nothing")
+        one.add_argument("--sex", help="(name, sex) of individuals, where the calls are of a sex chromosome")
         one.add_argument("--params", help="a stored fit to start from")
         one.add_argument("--leave-one-out", action="store_true")
     return top

@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-_stored: dict[str, Stored] = {}
+_stored: dict[str, Folder] = {}
 
 
 def drop_stored() -> None:
@@ -58,15 +58,12 @@ def drop_stored() -> None:
         table.drop()
 
 
-class Stored:
-    """A DataFrame written to the shared folder: lineage ends here, and a lost executor costs nothing."""
+class Folder:
+    """A new place in the shared folder, for files of any kind."""
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/lociflow/{name}-{uuid.uuid4().hex}"
-        schema = df.schema
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(schema).parquet(self.path)
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/lociflow/{name}-{uuid.uuid4().hex}"
         _stored[self.path] = self
 
     def drop(self) -> None:
@@ -75,3 +72,13 @@ class Stored:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Stored(Folder):
+    """A DataFrame written to the shared folder: lineage ends here, and a lost executor costs nothing."""
+
+    def __init__(self, df: DataFrame, name: str):
+        super().__init__(df.sparkSession, name)
+        schema = df.schema
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(schema).parquet(self.path)

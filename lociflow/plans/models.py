@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociflow.cluster import Folder
 from lociflow.functions import splines
 from lociflow.operators import chains, genotypes, order
 from lociflow.operators import intervals as iv
 from lociflow.operators import metrics as mt
 from lociflow.plans.tracks import BIN, STATES, _BOTH, _tracks_sql
 from lociflow.sources import adapters as ad
-from lociflow.sources import formats
+from lociflow.sources import arrays, formats
 from lociflow.streaming.windows import scratch, stream_windows
 
 EPSILON, MU, SD = 0.05, (50.0, 150.0), (40.0, 60.0)
@@ -259,6 +260,17 @@ def _vcf(spark, sf):
     return formats.read_vcf(head.unionAll(body)).select("pos", "name", "hap", "allele", "missing")
 
 
+@register("array_store", "SELECT p_partkey::DOUBLE AS pos, 'A' AS ref, CASE WHEN p_partkey % 2 = 0 THEN 'T' ELSE 'G' END AS alt, 's' || k AS name, h AS hap, (CASE WHEN (p_partkey + k * 2 + h) % 7 = 3 THEN 0 ELSE (p_partkey + k + h) % 2 END)::TINYINT AS allele, (p_partkey + k * 2 + h) % 7 = 3 AS missing FROM part, (SELECT unnest([1, 2, 3]) AS k), (SELECT unnest([0, 1])::INT AS h) WHERE p_partkey >= 100")
+def _store(spark, sf):
+    """Calls written as chunks of an array store, and those from a position on read back from their chunks only."""
+    p, k, h = F.col("p_partkey"), F.col("k"), F.col("h")
+    cells = ad.table(spark, sf, "part").select(p, F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).select(p, k, F.explode(F.sequence(F.lit(0), F.lit(1))).alias("h"))
+    calls = cells.select(p.cast("double").alias("pos"), F.lit("A").alias("ref"), F.when(p % 2 == 0, "T").otherwise("G").alias("alt"), F.concat(F.lit("s"), k.cast("string")).alias("name"), h.alias("hap"), ((p + k + h) % 2).alias("allele"), ((p + k * 2 + h) % 7 == 3).alias("missing"))
+    store = Folder(spark, "calls").path
+    arrays.write_calls(calls, store, 4096.0, sites=2000, samples=2)
+    return arrays.read_calls(spark, store, left=100.0)
+
+
 @register("panel_resolve", "SELECT l_partkey AS site, count(DISTINCT CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey END) AS query_haps, count(DISTINCT CASE WHEN l_suppkey % 2 = 1 THEN l_suppkey END) AS reference_haps FROM lineitem GROUP BY 1 HAVING query_haps > 0 AND reference_haps > 0")
 def _panel(spark, sf):
     calls = _calls(spark, sf)

@@ -1,5 +1,6 @@
 from lociflow import cli
 from lociflow.operators import painters
+from lociflow.sources import arrays
 from tests.test_nearest import EDGE, NODE, genealogy
 
 
@@ -40,6 +41,11 @@ def test_every_command_writes_its_table(spark, tmp_path):
     assert run("compare").count() == 4 * len(painters.PAINTERS)
     assert {r["sample"] for r in run("detect").collect()} == {1, 2, 4, 7, 8}
     assert run("genotypes").where("sample = 2 AND state = 2").count() == 1
+    calls = spark.createDataFrame([(5.0 + k, "A", "T", "m", h, k % 2, False) for k in range(6) for h in range(2)], "pos double, ref string, alt string, name string, hap int, allele int, missing boolean")
+    arrays.write_calls(calls, f"file://{tmp_path}/calls.vcz", 9.0)
+    put([("m", "M")], "name string, sex string", "sex")
+    tables["source"] = f"file://{tmp_path}/calls.vcz"
+    assert run("variants", "--sex", f"{tmp_path}/sex").count() == 6
     fitted = run("fit")
     assert len(fitted.first().q) == 4
     assert run("paint", "--params", f"{tmp_path}/out-fit").count() > 0
