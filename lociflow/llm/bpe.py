@@ -26,14 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lociflow.llm.common import with_text_udf
-from lociflow.llm.text import Words, buffers, slices
+from lociflow.llm.text import Words, buffers, ranges, slices
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes that the rolling hash sees; a gap is no cut of pieces where its lowest KEEP_BITS bits are 0, and one of chunks where
 #: also the next CHUNK_BITS bits are 0.
 WINDOW, KEEP_BITS, CHUNK_BITS = 6, 6, 4
-#: Pieces and chunks of a generation (a worker keeps two); bits (as a power of two) of the table of chunks met; pieces encoded in one call.
-PIECES, CHUNKS, MET_POWER, TOGETHER = 100_000, 20_000, 25, 256
+#: Pieces and chunks of a generation (a worker keeps two); bits (as a power of two) of the table of chunks met; pieces encoded together, and
+#: how many such groups in one call; chunks put together, and tokens spelled, at once.
+PIECES, CHUNKS, MET_POWER, TOGETHER, GROUPS, BLOCK = 100_000, 20_000, 25, 256, 32, 1 << 14
+#: Stands between pieces that are encoded together: one token, which nothing else gives.
+APART = "\x01"
 #: Ids decoded in one call; a longer text is decoded alone.
 DECODED = 1 << 18
 _TABLE = np.random.default_rng(606).integers(0, 2**32, (WINDOW, 256), dtype=np.uint32)
@@ -53,52 +56,61 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(name)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-        self.older: dict[bytes, tuple[bytes, bytes]] = {}
-        self.shared: dict[bytes, tuple[bytes, bytes]] = {}
-        self.passed: dict[bytes, tuple[bytes, bytes]] = {}
+        self.apart = self.tokenizer.encode(APART, add_special_tokens=False).ids
+        words = [f"{self.tokenizer.id_to_token(i)} ".encode() for i in range(self.tokenizer.get_vocab_size())]
+        self.letters = np.frombuffer(b"".join(words), np.uint8)  # all tokens, a space behind each
+        self.lengths = np.array([len(w) for w in words], np.int32)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.shared: dict[bytes, bytes] = {}
+        self.passed: dict[bytes, bytes] = {}
         self.met = bytearray(1 << (MET_POWER - 3))
         self.reused = 0
 
     def forget(self) -> None:
         """Drop all pieces and chunks."""
-        for table in (self.known, self.older, self.shared, self.passed):
-            table.clear()
-
-    def _encode(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, their decoded text) of each chunk."""
-        texts, out = [c.decode("utf-8", "replace") for c in chunks], []
-        # many short chunks in one call, apart by line ends, which the tokenizer drops; offsets tell whose each id is
-        groups = [texts[i : i + TOGETHER] for i in range(0, len(texts), TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            starts = np.cumsum([0, *(len(t) + 1 for t in group)])
-            ends = np.searchsorted(np.fromiter((a for a, _ in e.offsets), np.int64, len(ids)), starts).tolist()
-            data, tokens = ids.tobytes(), [self.words[i] for i in ids.tolist()]
-            out += [(data[4 * a : 4 * b], " ".join(tokens[a:b]).encode()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.known, self.older, self.shared, self.passed = {}, {}, {}, {}
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids, as little-endian 32-bit integers, of each chunk."""
+        out: list[bytes] = []
+        # many short chunks in one text, apart by line ends, which the tokenizer drops, and a sign whose token tells where each begins
+        groups = [[c.decode("utf-8", "replace") for c in chunks[i : i + TOGETHER]] for i in range(0, len(chunks), TOGETHER)]
+        between = f"\n{APART}\n"
+        for i in range(0, len(groups), GROUPS):
+            some = groups[i : i + GROUPS]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([between.join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype="<u4")
+                data, at = ids.tobytes(), np.flatnonzero(ids == self.apart[0])
+                if len(at) == len(group) - 1:
+                    begins, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(data)]
+                    out += [data[a:b] for a, b in zip(begins, ends, strict=True)]
+                else:  # a text holds the sign itself
+                    out += [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
         return out
 
-    def learn(self, chunks: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
-        """A table that holds the chunks. Once a generation is full, only what is used again outlives the next."""
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of the distinct pieces. Once a generation is full, only what is used again outlives the next."""
         if len(self.known) > PIECES:
             self.known, self.older = {}, self.known
-        missing = [c for c in chunks if c not in self.known]
-        for c in missing:
-            if c in self.older:
-                self.known[c] = self.older[c]
-        new = [c for c in missing if c not in self.known]
-        self.known.update(zip(new, self._encode(new), strict=True))
-        return self.known
+        known, older = self.known, self.older
+        out = [known.get(p) for p in pieces]
+        missing = [k for k, got in enumerate(out) if got is None]
+        for k in missing:
+            out[k] = older.get(pieces[k])
+        new = [k for k in missing if out[k] is None]
+        for k, ids in zip(new, self._encode([pieces[k] for k in new]), strict=True):
+            out[k] = ids
+        known.update((pieces[k], out[k]) for k in missing)
+        return out
 
     def agree(self, left: bytes, gap: bytes, right: bytes) -> bool:
         apart, joined = self._encode([left, right]), self._encode([left + gap + right])[0]
-        return apart[0][0] + apart[1][0] == joined[0]
+        return apart[0] + apart[1] == joined
 
-    def _chunk(self, key: bytes, parts: list[bytes]) -> tuple[bytes, bytes]:
-        """A chunk of known pieces, kept from the second time on."""
-        found = [self.known[p] for p in parts if p]
-        made = b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
+    def _keep(self, key: bytes, made: bytes) -> None:
+        """Keep a chunk from the second time on."""
         spot = hash(key) & ((1 << MET_POWER) - 1)
         if self.met[spot >> 3] >> (spot & 7) & 1:
             if len(self.shared) > CHUNKS:
@@ -106,10 +118,22 @@ class Coder:
             self.shared[key] = made
         else:
             self.met[spot >> 3] |= 1 << (spot & 7)
-        return made
 
-    def texts(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
-        """(ids, decoded text) of each text; see _encode."""
+    def _chunks(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """The ids of chunks: of each, the pieces from begin on, so many."""
+        at = ranges(begin, count)
+        sizes = ends[at] - starts[at]
+        offs = np.concatenate([[0], np.cumsum(sizes)])
+        column = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offs), pa.py_buffer(raw[ranges(starts[at], sizes)])])
+        coded = column.dictionary_encode()
+        which, found = coded.indices.to_numpy(), self.learn(coded.dictionary.to_pylist())
+        length = np.array([len(f) >> 2 for f in found], np.int64)
+        tokens = np.frombuffer(b"".join(found), "<u4")[ranges((np.cumsum(length) - length)[which], length[which])].tobytes()
+        until = 4 * np.concatenate([[0], np.cumsum(length[which])])[np.concatenate([[0], np.cumsum(count)])]
+        return [tokens[a:b] for a, b in zip(until[:-1].tolist(), until[1:].tolist(), strict=True)]
+
+    def ids(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; see _encode."""
         words, (raw, offs) = Words(texts), buffers(texts)
         cut, far = _cuts(words, raw, offs)
         data = raw.tobytes()
@@ -119,26 +143,37 @@ class Coder:
         for k in np.flatnonzero(raw[starts] >= 0xCC) if len(starts) else ():
             self._repair(data, starts, ends, int(k), int(floor[np.searchsorted(floor, k, side="right") - 1]))
         first = np.flatnonzero(far[cut])
-        borders = np.append(first, len(starts)).tolist()
-        begin, end = starts.tolist(), ends.tolist()
-        keys, made, missing = [], [], []
-        for i, j in zip(borders[:-1], borders[1:], strict=True):
-            key = data[begin[i] : end[j - 1]]
-            got = self.shared.get(key) or self.passed.get(key)
-            if got is None:
-                missing.append(len(keys))
-            else:
-                self.reused += 1
-            keys.append(key)
-            made.append(got)
-        parts = {k: [data[a:b] for a, b in zip(begin[borders[k] : borders[k + 1]], end[borders[k] : borders[k + 1]], strict=True)] for k in missing}
-        self.learn({p for some in parts.values() for p in some if p})
-        for k, some in parts.items():
-            made[k] = self._chunk(keys[k], some)
-        of, out = np.searchsorted(starts[first], offs).tolist() if len(first) else [0] * len(offs), []
-        for a, b in zip(of[:-1], of[1:], strict=True):
-            out.append((b"".join([m[0] for m in made[a:b]]), b" ".join([m[1] for m in made[a:b] if m[1]])))
-        return out
+        borders = np.append(first, len(starts))
+        begin, end = starts[first].tolist(), ends[borders[1:] - 1].tolist() if len(first) else []
+        keys = [data[a:b] for a, b in zip(begin, end, strict=True)]
+        shared, passed = self.shared, self.passed
+        made = [shared.get(key) or passed.get(key) for key in keys]
+        missing = np.array([k for k, got in enumerate(made) if got is None], np.int64)
+        self.reused += len(made) - len(missing)
+        for i in range(0, len(missing), BLOCK):
+            some = missing[i : i + BLOCK]
+            for k, got in zip(some.tolist(), self._chunks(raw, starts, ends, borders[some], borders[some + 1] - borders[some]), strict=True):
+                made[k] = got
+                self._keep(keys[k], got)
+        of = np.searchsorted(starts[first], offs).tolist() if len(first) else [0] * len(offs)
+        return [b"".join(made[a:b]) for a, b in zip(of[:-1], of[1:], strict=True)]
+
+    def decoded(self, ids: list[bytes]) -> list[bytes]:
+        """The tokens of each text, apart by spaces."""
+        tokens, parts, size = np.frombuffer(b"".join(ids), "<u4"), [], np.zeros(1, np.int64)
+        until = np.cumsum([0, *(len(i) >> 2 for i in ids)])
+        for i in range(0, len(tokens), 8 * BLOCK):
+            some = tokens[i : i + 8 * BLOCK]
+            parts.append(self.letters[ranges(self.begins[some], self.lengths[some])].tobytes())
+        if len(tokens):
+            size = np.concatenate([size, np.cumsum(self.lengths[tokens], dtype=np.int64)])
+        data, ends = b"".join(parts), size[until].tolist()
+        return [data[a : max(a, b - 1)] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def texts(self, texts: pa.Array) -> list[tuple[bytes, bytes]]:
+        """(ids, decoded text) of each text."""
+        ids = self.ids(texts)
+        return list(zip(ids, self.decoded(ids), strict=True))
 
     def _repair(self, data: bytes, starts: np.ndarray, ends: np.ndarray, k: int, floor: int) -> None:
         """Join piece k to the one before while they read differently together; a piece joined is left empty."""
@@ -185,7 +220,7 @@ def coder(name: str) -> Coder:
 
 def _apply(df: DataFrame, text_col: str, tokenizer: str, make, returns: T.StructType) -> DataFrame:
     def run(texts: pa.Array) -> pa.Array:
-        made = [make(coder(tokenizer).texts(texts.slice(i, j - i))) for i, j in slices(texts)]
+        made = [make(coder(tokenizer).ids(texts.slice(i, j - i))) for i, j in slices(texts)]
         columns = [pa.concat_arrays([m[k] for m in made]) for k in range(len(returns.fields))] if made else make([])
         return pa.StructArray.from_arrays(columns, returns.fieldNames())
 
@@ -196,7 +231,7 @@ def encode(df: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER) ->
     """df with ids (array of int) of each whole text, as the tokenizers library encodes it without special tokens added."""
 
     def make(found):
-        ids = [np.frombuffer(i, dtype="<u4").astype(np.int32) for i, _ in found]
+        ids = [np.frombuffer(i, dtype="<i4") for i in found]
         return [pa.array(ids, pa.list_(pa.int32()))]
 
     return _apply(df, text_col, tokenizer, make, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -226,7 +261,7 @@ def encode_and_decode(df: DataFrame, text_col: str = "text", tokenizer: str = TO
     """df with ids as encode() gives them, and decoded_sha256 of what decode() makes of these ids; one worker does both."""
 
     def make(found):
-        ids = [np.frombuffer(i, dtype="<u4").astype(np.int32) for i, _ in found]
+        ids = [np.frombuffer(i, dtype="<i4") for i in found]
         sha = [hashlib.sha256(t.encode()).hexdigest() for t in _decoded(ids, tokenizer)]
         return [pa.array(ids, pa.list_(pa.int32())), pa.array(sha, pa.string())]
 
@@ -238,8 +273,8 @@ def digests(df: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER) -
     """df with n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded_sha256 (of the decoded text)."""
 
     def make(found):
-        sha = [[hashlib.sha256(x[k]).hexdigest() for x in found] for k in (0, 1)]
-        return [pa.array([len(i) // 4 for i, _ in found], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())]
+        sha = [[hashlib.sha256(x).hexdigest() for x in some] for some in (found, coder(tokenizer).decoded(found))]
+        return [pa.array([len(i) // 4 for i in found], pa.int64()), pa.array(sha[0], pa.string()), pa.array(sha[1], pa.string())]
 
     kinds = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     return _apply(df, text_col, tokenizer, make, T.StructType([T.StructField(*k) for k in kinds]))

@@ -2,6 +2,7 @@ import itertools
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,24 @@ def test_bpe_chunks_are_shared_across_texts():
     assert own.reused >= 0.8 * chunks * (len(texts) - 3)
 
 
+def test_bpe_reads_the_sign_between_pieces_as_text(coder):
+    texts = ["a \x01 b", "\x01", "x\x01y \x01\x01 z", " ".join(f"w{k} \x01" for k in range(300)), "plain words"]
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert coder.texts(pa.array(texts)) == [(np.array(i, "<u4").tobytes(), coder.tokenizer.decode(i, skip_special_tokens=False).encode()) for i in want]
+
+
+def test_bpe_keeps_little_of_a_piece():
+    """A worker's memory: a piece is kept with its ids alone, under 250 bytes each with its place in the table."""
+    own, texts = bpe.Coder(), pa.array([" ".join(f"q{k * 7919 % 1_000_003:x}z" for k in range(i, i + 500)) for i in range(0, 40_000, 500)])
+    tracemalloc.start()
+    try:
+        own.texts(texts)
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(own.known) > 30_000 and kept < 250 * len(own.known)
+
+
 def test_bpe_repairs_until_the_pieces_agree(coder, monkeypatch):
     """A tokenizer that reads a mark together with both words before it: the repair goes on past the first join."""
     data = "ab cd \u0301x yz".encode()
