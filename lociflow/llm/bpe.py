@@ -34,11 +34,11 @@ TOKENIZER = "word_bpe_49k.json"
 WINDOW, KEEP_BITS, CHUNK_BITS = 6, 6, 4
 #: Pieces and chunks of a generation (a worker keeps two); bits (as a power of two) of the table of chunks met; pieces encoded together, and
 #: how many such groups in one call; chunks put together, and tokens spelled, at once.
-PIECES, CHUNKS, MET_POWER, TOGETHER, GROUPS, BLOCK = 100_000, 20_000, 25, 256, 32, 1 << 14
+PIECES, CHUNKS, MET_POWER, TOGETHER, GROUPS, BLOCK = 50_000, 10_000, 25, 256, 8, 1 << 14
 #: Stands between pieces that are encoded together: one token, which nothing else gives.
 APART = "\x01"
 #: Ids decoded in one call; a longer text is decoded alone.
-DECODED = 1 << 18
+DECODED = 1 << 16
 _TABLE = np.random.default_rng(606).integers(0, 2**32, (WINDOW, 256), dtype=np.uint32)
 
 
