@@ -3,7 +3,8 @@
 Of the references a node's lower neighbours lead to, the two of least id stay with each stretch of the axis: enough to name one that isn't the sample
 itself. A least value has no inverse, so what comes and goes can't be a running sum: each child's stretch is laid over its parent's
 in two blocks whose length is a power of two, and blocks hand their least values down to their halves. On the way down a node passes its two nearest references, with the
-times of the nodes where they meet, to every child; the sample's own is the one that it isn't.
+times of the nodes where they meet, to every child; the sample's own is the one that it isn't. Stretches that touch and say the same are one before they are passed on,
+so a node with very many children has few, and leaves are told in slices.
 
 edges: (left, right, parent, child); nodes: (node, time); references: (node, label); all with a `member` if they are an ensemble (references may do without). Several
 references that meet a sample in one node are equally near: the least id counts. Samples that meet none have no row there. Empty tables give empty results.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lociflow.cluster import Stored
 from lociflow.operators import intervals as iv
-from lociflow.operators.sweep import LEAST, Window, for_members, swept
+from lociflow.operators.sweep import LEAST, Window, for_members, slices, spread, swept
 
 _NOBODY = np.iinfo(np.int64).max
 _SCHEMA = "sample long, left double, right double, reference long, depth double"
@@ -53,6 +54,15 @@ def least_two(code: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -
     return points, one, two
 
 
+def _runs(node: np.ndarray, lo: np.ndarray, hi: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows, sorted by node and lo and apart, with those that touch and have equal values (or none) joined."""
+    new = (node[1:] != node[:-1]) | (lo[1:] != hi[:-1])
+    for x in values:
+        new |= (x[1:] != x[:-1]) & ((x[1:] == x[1:]) | (x[:-1] == x[:-1]))
+    head = np.flatnonzero(np.append(True, new)[: len(node)])
+    return (node[head], lo[head], hi[np.append(head[1:], len(node)) - 1 if len(node) else head], *(x[head] for x in values))
+
+
 def _sweep(w: Window) -> Iterator[dict[str, np.ndarray]]:
     flags = w.value().to_numpy(zero_copy_only=False).astype(np.int64)
     reference, asked = flags & 1 > 0, flags & 2 > 0
@@ -66,7 +76,7 @@ def _sweep(w: Window) -> Iterator[dict[str, np.ndarray]]:
         points, one, two = least_two(w.code(node, lo), w.code(node, hi), a, b)
         at = np.flatnonzero(one[:-1] != _NOBODY) if len(points) else np.zeros(0, np.int64)
         # a gap lies inside one node, as no row reaches from one to another
-        here = (points[at] // w.stride, points[at] % w.stride, points[at + 1] % w.stride, one[at], two[at]) if len(at) else tuple(np.zeros(0, np.int64) for _ in range(5))
+        here = _runs(points[at] // w.stride, points[at] % w.stride, points[at + 1] % w.stride, one[at], two[at]) if len(at) else tuple(np.zeros(0, np.int64) for _ in range(5))
         known.append(here)
         e = w.edges_at[h]
         i, j, lo, hi = w.meet(here[:3], w.child[e], w.lo[e], w.hi[e])
@@ -82,7 +92,7 @@ def _sweep(w: Window) -> Iterator[dict[str, np.ndarray]]:
             edges_of[h].append((g, e[up == h]))
     passed: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(w.top + 1)]
     none, never = np.full(0, _NOBODY), np.zeros(0)
-    for h in range(w.top, -1, -1):
+    for h in range(w.top, 0, -1):
         node, lo, hi, a, b = known[h]
         got = passed[h] or [(np.zeros(0, np.int64),) * 3 + (none, never, none, never)]
         cn, cl, ch, ca, cta, cb, ctb = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -112,7 +122,7 @@ def _sweep(w: Window) -> Iterator[dict[str, np.ndarray]]:
         two = np.where(a == _NOBODY, cb, np.where(below, b, np.where(above, ca, cb)))
         two_at = np.where(a == _NOBODY, ctb, np.where(below, t, np.where(above, cta, ctb)))
         keep = one != _NOBODY
-        v, l, r, one, one_at, two, two_at = (x[keep] for x in (v, l, r, one, one_at, two, two_at))
+        v, l, r, one, one_at, two, two_at = _runs(*(x[keep] for x in (v, l, r, one, one_at, two, two_at)))
         s = np.flatnonzero(asked[v])
         other = one[s] == v[s]
         who, when = np.where(other, two[s], one[s]), np.where(other, two_at[s], one_at[s])
@@ -120,6 +130,21 @@ def _sweep(w: Window) -> Iterator[dict[str, np.ndarray]]:
         if len(s):
             yield {"sample": w.ids[v[s]], "left": w.pos[l[s]], "right": w.pos[r[s]], "reference": w.ids[who], "depth": when}
         for g, e in edges_of[h]:
+            if not g:  # leaves pass nothing on: what isn't themselves is theirs
+                e = e[asked[w.child[e]]]
+                first, last = w.ranges((v, l, r), w.parent[e], w.lo[e], w.hi[e])
+                for x, y in slices(last - first):
+                    i, j = spread(first[x:y], last[x:y])
+                    edge = e[x:y][j]
+                    leaf = w.child[edge]
+                    other = one[i] == leaf
+                    who, when = np.where(other, two[i], one[i]), np.where(other, two_at[i], one_at[i])
+                    met = who != _NOBODY
+                    # by edge, as a leaf's edges may follow in any order
+                    edge, lo, hi, who, when = _runs(*(z[met] for z in (edge, np.maximum(l[i], w.lo[edge]), np.minimum(r[i], w.hi[edge]), who, when)))
+                    if len(edge):
+                        yield {"sample": w.ids[w.child[edge]], "left": w.pos[lo], "right": w.pos[hi], "reference": w.ids[who], "depth": when}
+                continue
             i, j, lo, hi = w.meet((v, l, r), w.parent[e], w.lo[e], w.hi[e])
             passed[g].append((w.child[e[j]], lo, hi, one[i], one_at[i], two[i], two_at[i]))
 

@@ -174,6 +174,17 @@ def spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), row
 
 
+#: Rows that stretches are laid over each other to at once.
+EXPANDED = 100_000
+
+
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows (from, to) that come to about EXPANDED together, or single ones."""
+    upto = np.cumsum(sizes)
+    cuts = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1] if len(upto) else 0, EXPANDED)), len(upto))) if len(upto) else []
+    yield from zip(cuts[:-1], cuts[1:], strict=True)
+
+
 def swept(edges: DataFrame, nodes: DataFrame, sweep: Callable[[Window], Iterator[dict[str, np.ndarray]]], schema: str, masks: DataFrame | None = None, least: int = LEAST) -> DataFrame:
     """What `sweep` yields for each window, with its member: columns of the schema, two-dimensional ones as arrays; missing ones are null."""
     rows, _ = dealt(edges, nodes, masks, least)

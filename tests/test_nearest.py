@@ -90,3 +90,24 @@ def test_members_and_empty_tables(spark):
         assert {(m, *tuple(r)[1:]) for r in alone} == {r for r in both if r[0] == m}
     assert nearest.nearest(spark.createDataFrame([], EDGE), nodes, refs, samples).count() == 0
     assert [(r.left, r.right, r.status) for r in nearest.paint(spark.createDataFrame([], EDGE), nodes, refs, samples, 2, 9.0, 3.0).where("sample = 1").collect()] == [(0.0, 9.0, "missing-info")]
+
+
+def test_a_node_with_many_children_passes_few_rows_on():
+    """1500 leaves that come and go under one node, 3 references that stay: a leaf's track is one row, not one for each change of its siblings, and slices are whole."""
+    import pyarrow as pa
+
+    from lociflow.operators.nearest import _sweep
+    from lociflow.operators.sweep import EXPANDED, Window, slices
+
+    n = 1500
+    left = np.append(np.arange(n - 3) / n, [0.0, 0.0, 0.0])
+    right = np.append(left[:-3] + 10.0, [20.0, 20.0, 20.0])
+    flags = np.append(np.full(n - 3, 2), [1, 1, 3])
+    rows = {"left": left, "right": right, "parent": np.full(n, -1), "child": np.arange(n), "tp": np.full(n, 2.0), "tc": np.zeros(n), "vp": np.zeros(n, int), "vc": flags}
+    made = list(_sweep(Window(pa.RecordBatch.from_pydict(rows))))
+    sample, lo, hi, who = (np.concatenate([m[c] for m in made]) for c in ("sample", "left", "right", "reference"))
+    assert len(sample) == n - 2 and sorted(sample.tolist()) == [*range(n - 3), n - 1]
+    assert set(who.tolist()) == {n - 3} and (lo == left[sample]).all() and (hi == right[sample]).all()
+    assert max(len(m["sample"]) for m in made) <= EXPANDED
+    sizes = np.array([0, 60_000, 60_000, 0, 250_000, 1, 0])
+    assert [x for a, b in slices(sizes) for x in range(a, b)] == list(range(7)) and max(sizes[a:b].sum() for a, b in slices(sizes)) <= 250_000 + EXPANDED
