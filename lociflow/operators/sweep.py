@@ -3,7 +3,8 @@
 edges: (left, right, parent, child); nodes: (node, time, value). Both may have a `member`, the genealogy of an ensemble they belong to; nodes
 without one serve all members. A window is a stretch of the axis with about as many edge ends as a quarter of the edges that live at one place (LEAST at
 least), so clipping edges to windows adds a few rows an edge; a task holds one member's window. Borders of windows are
-quantiles of edge ends, one number a window on the driver, MOST at most.
+quantiles of edge ends, moved on to where no edge ends, so that whatever ends at a border is cut there; one number a window on the driver, MOST at most.
+Edges may have `n`: so many alike.
 
 Inside a window positions are numbered, so intervals of a node are pairs of whole numbers and (node, position) is one key to search for.
 """
@@ -24,8 +25,8 @@ LEAST, MOST = 4096, 10_000
 _ROWS = 50_000
 
 
-def borders(edges: DataFrame, least: int = LEAST) -> list[float]:
-    """Where windows meet; edges have a member."""
+def borders(edges: DataFrame, least: int = LEAST, masks: DataFrame | None = None) -> list[float]:
+    """Where windows meet, between the ends of edges (and masks); edges have a member."""
     span = F.col("right") - F.col("left")
     s = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(span).alias("alive"), F.min("left").alias("a"), F.max("right").alias("b"), F.approx_count_distinct("member").alias("m")).first()
     if not s.n:
@@ -37,7 +38,23 @@ def borders(edges: DataFrame, least: int = LEAST) -> list[float]:
         return []
     shares = [k / n for k in range(1, n)]
     cuts = edges.select(F.explode(F.array("left", "right")).alias("x")).agg(F.percentile_approx("x", F.array(*[F.lit(x) for x in shares]), F.lit(max(10_000, 10 * n)))).first()[0]
-    return sorted({float(x) for x in cuts if s.a < x < s.b})
+    cuts = sorted({float(x) for x in cuts if s.a < x < s.b})
+    places = [rows.select(F.explode(F.array(*[F.col(c).cast("double") for c in ("left", "right")])).alias("x")) for rows in (edges, masks) if rows is not None]
+    places = places[0] if len(places) == 1 else places[0].unionByName(places[1])
+    walls = np.array(cuts)
+
+    def following(batches):
+        for batch in batches:
+            x = batch.column("x").drop_null().to_numpy()
+            x = x[x > walls[0]] if len(walls) else x[:0]
+            at, least_x = np.searchsorted(walls, x) - 1, np.full(len(walls), np.inf)
+            np.minimum.at(least_x, at, x)
+            met = np.flatnonzero(np.isfinite(least_x))
+            yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(least_x[met])], ["k", "x"])
+
+    after = {r.k: r.x for r in places.mapInArrow(following, "k int, x double").groupBy("k").agg(F.min("x").alias("x")).collect()} if cuts else {}
+    moved = [(x, x + (after[k] - x) / 2, after[k]) for k, x in enumerate(cuts) if k in after]
+    return [m for x, m, y in moved if x < m < y]
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -52,19 +69,20 @@ def for_members(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.withColumn("member", F.explode(F.array(*[F.lit(x) for x in names])))
 
 
-def dealt(edges: DataFrame, nodes: DataFrame, masks: DataFrame | None = None, least: int = LEAST) -> tuple[DataFrame, int]:
-    """(rows, number of tasks): (member, window, left, right, parent, child, tp, tc, vp, vc) sorted by member and window, a task a window or a few.
+def dealt(edges: DataFrame, nodes: DataFrame, masks: DataFrame | None = None, least: int = LEAST) -> tuple[DataFrame, np.ndarray]:
+    """(rows, borders of windows): (member, window, left, right, parent, child, n, tp, tc, vp, vc) sorted by member and window, a task a window or a few.
 
     masks: (node, left, right), perhaps with a value, come as rows without parent. Edges without stretch, without time, with null ends or unknown nodes are left out.
     """
     ship(edges.sparkSession)
     own = "member" in edges.columns
-    edges = _members(edges).where("left < right").select("member", "left", "right", "parent", "child")
+    n = F.col("n").cast("double") if "n" in edges.columns else F.lit(1.0)
+    edges = _members(edges).where("left < right").select("member", "left", "right", "parent", "child", n.alias("n"))
     on = ["member"] if own and "member" in nodes.columns else []
     end = lambda name, t, v: nodes.select(*on, F.col("node").alias(name), F.col("time").alias(t), F.col("value").alias(v))
     rows = edges.join(end("child", "tc", "vc"), [*on, "child"]).join(end("parent", "tp", "vp"), [*on, "parent"]).where("tp > tc")
-    rows = rows.select("member", "left", "right", "parent", "child", "tp", "tc", "vp", "vc")
-    cuts = np.array(borders(edges, least))
+    rows = rows.select("member", "left", "right", "parent", "child", "n", "tp", "tc", "vp", "vc")
+    cuts = np.array(borders(edges, least, masks))
     if masks is not None:
         spans = _members(masks).where("left < right").select("member", "left", "right", F.col("node").alias("child"), *([F.col("value").alias("vc")] if "value" in masks.columns else []))
         spans = spans if "member" in masks.columns or not own else for_members(spans.drop("member"), edges)
@@ -88,7 +106,7 @@ def dealt(edges: DataFrame, nodes: DataFrame, masks: DataFrame | None = None, le
 
         rows = rows.mapInArrow(clip, f"{kinds}, window int")
     tasks = min(MOST, max(8, 4 * (len(cuts) + 1)))  # a number of its own: what a window makes is far more than it reads
-    return rows.repartition(tasks, "member", "window").sortWithinPartitions("member", "window"), tasks
+    return rows.repartition(tasks, "member", "window").sortWithinPartitions("member", "window"), cuts
 
 
 def running(node: np.ndarray, pos: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -104,9 +122,10 @@ def running(node: np.ndarray, pos: np.ndarray, *values: np.ndarray) -> tuple[np.
     stays = np.flatnonzero(node[1:] == node[:-1])
     out = []
     for v in values:
-        each = np.add.reduceat(v[order], new, axis=0)
+        wide = v.astype(np.longdouble) if v.dtype.kind == "f" else v  # what came and went leaves nothing behind
+        each = np.add.reduceat(wide[order], new, axis=0)
         total = np.cumsum(each, axis=0)
-        out.append((total - np.repeat(total[head] - each[head], sizes, axis=0))[stays])
+        out.append((total - np.repeat(total[head] - each[head], sizes, axis=0))[stays].astype(v.dtype))
     return (node[stays], pos[stays], pos[stays + 1], *out)
 
 
@@ -130,6 +149,7 @@ class Window:
         self.first = np.empty(len(self.ids), np.int64)  # a place in (children, parents) where each node stands
         self.first[self.parent], self.first[self.child] = n + np.arange(n), np.arange(n)
         self.tc, self.tp = self.rows.column("tc").to_numpy(), self.rows.column("tp").to_numpy()
+        self.n = self.rows.column("n").to_numpy() if "n" in self.rows.schema.names else np.ones(n)
         self.time = np.concatenate([self.tc, self.tp])[self.first]
         self.stride = len(self.pos) + 1
         self.height = np.zeros(len(self.ids), np.int64)
@@ -186,8 +206,11 @@ def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def swept(edges: DataFrame, nodes: DataFrame, sweep: Callable[[Window], Iterator[dict[str, np.ndarray]]], schema: str, masks: DataFrame | None = None, least: int = LEAST) -> DataFrame:
-    """What `sweep` yields for each window, with its member: columns of the schema, two-dimensional ones as arrays; missing ones are null."""
-    rows, _ = dealt(edges, nodes, masks, least)
+    """What `sweep` yields for each window, with its member: columns of the schema, two-dimensional ones as arrays; missing ones are null.
+
+    A column `cut` of the schema is filled in: 1 where a row's left end is a border of windows, and 2 more where its right end is.
+    """
+    rows, walls = dealt(edges, nodes, masks, least)
     member = dict(rows.dtypes)["member"]
     out = edges.sparkSession.createDataFrame([], f"member {member}, {schema}").schema
     names = out.fieldNames()
@@ -211,6 +234,8 @@ def swept(edges: DataFrame, nodes: DataFrame, sweep: Callable[[Window], Iterator
                 if part.column("parent").null_count == part.num_rows:
                     continue
                 for made in sweep(Window(part)):
+                    if "cut" in names and "left" in made:
+                        made["cut"] = (np.isin(made["left"], walls) + 2 * np.isin(made["right"], walls)).astype(np.int8)
                     total = len(next(iter(made.values())))
                     for i in range(0, total, _ROWS):
                         n = min(_ROWS, total - i)

@@ -145,16 +145,19 @@ def _tracts(spark, sf):
     return references.flagged(_loo_tracks(spark, sf), _labelled(spark, sf), [f"p{s}" for s in range(K)], 0.1, WIDTH)
 
 
+def _end_states(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dwell, jumps) of each cell for a branch whose end states are i and j."""
+    x = np.zeros((1, K, K))
+    x[0, i, j] = 1.0
+    return CELLS.rewards(np.array([0.0]), np.array([T]), x)
+
+
+_BY_ENDS = [[_end_states(i, j) for j in range(K)] for i in range(K)]
+
+
 def _cell_weights(c: int, m: int, n: int) -> np.ndarray:
     """What cell c adds for a branch whose end states are i and j, for all i and j."""
-    out = np.zeros((K, K))
-    for i in range(K):
-        for j in range(K):
-            x = np.zeros((1, K, K))
-            x[0, i, j] = 1.0
-            dwell, jumps = CELLS.rewards(np.array([0.0]), np.array([T]), x)
-            out[i, j] = dwell[c, m] if m == n else jumps[c, m, n]
-    return out
+    return np.array([[dwell[c, m] if m == n else jumps[c, m, n] for dwell, jumps in row] for row in _BY_ENDS])
 
 
 _YC = _plus(f"exp(v{i} - greatest(v0, v1, v2)) * {_n(_PC[i, j])} * e{j}" for i in range(K) for j in range(K))
