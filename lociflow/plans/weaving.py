@@ -78,10 +78,9 @@ _SHARES = _SQL + f", w AS (SELECT k, sum(hi - lo) AS n, {', '.join(f'sum(g{j} *
 
 @register("paint_shares", _SHARES)
 def _shares(spark, sf):
-    """Each sample's share of every state over the whole axis, from its merged tracks; stretches without information count as pi."""
-    w = F.col("right") - F.col("left")
-    rows = _painted(spark, sf, False, 9).groupBy("sample")
-    return rows.agg(F.sum(F.when(F.col("status") == "informative", 0.0).otherwise(w)).alias("missing"), *[F.round(F.sum(F.col(f"p{s}") * w) / F.lit(DAYS), 6).alias(f"p{s}") for s in range(K)])
+    """Each sample's share of every state over the whole axis, added up along it; stretches without information count as pi."""
+    missing = F.lit(DAYS) - F.col("told")
+    return weave.added(*_inputs(spark, sf), Q, PI, DAYS).select("sample", missing.alias("missing"), *[F.round((F.col(f"g{s}") + missing * F.lit(float(PI[s]))) / F.lit(DAYS), 6).alias(f"p{s}") for s in range(K)])
 
 
 _Y = _plus(f"exp(v{i} - greatest(v0, v1, v2)) * {_n(_P[i, j])} * e{j}" for i in range(K) for j in range(K))
@@ -116,8 +115,14 @@ def _labelled(spark, sf):
     return ad.woven(spark, sf)[1].where("label IS NOT NULL").select("node", "label")
 
 
-def _loo_tracks(spark, sf):
-    return _painted(spark, sf, True, 9)
+def _by_kind(spark, sf):
+    """(painting by kinds, samples)"""
+    edges, nodes, samples = _inputs(spark, sf)
+    return weave.by_kind(edges, nodes, Q, PI, samples=samples), samples
+
+
+def _agreed(spark, sf):
+    return references.agreement_along(weave.added(*_inputs(spark, sf), Q, PI, DAYS).withColumnRenamed("sample", "node"), _labelled(spark, sf), K)
 
 
 _OWN = ", r AS (SELECT g.*, hi - lo AS span, label, CASE label WHEN 0 THEN o0 WHEN 1 THEN o1 ELSE o2 END AS own FROM g JOIN lab USING (k) WHERE label IS NOT NULL)"
@@ -127,13 +132,13 @@ _AGREE = _SQL + _OWN + ", a AS (SELECT k, sum(own * span) / sum(span) AS agreeme
 @register("reference_agreement", _AGREE + " SELECT lab.k::BIGINT AS node, label, round(agreement, 6) AS agreement, coalesce(told, 0)::DOUBLE AS told FROM lab LEFT JOIN a ON lab.k = a.k WHERE label IS NOT NULL")
 def _agreement(spark, sf):
     """What the rest of the genealogy says of each reference's own label, along its informative stretches."""
-    got = references.agreement(_loo_tracks(spark, sf), _labelled(spark, sf), [f"p{s}" for s in range(K)])
+    got = _agreed(spark, sf)
     return got.select("node", "label", F.round("agreement", 6).alias("agreement"), "told")
 
 
 @register("learned_credibility", _AGREE + " SELECT lab.k::BIGINT AS node, round((19::DOUBLE + coalesce(agreement * told, 0)) / (19::DOUBLE + coalesce(told, 0)), 6) AS w FROM lab LEFT JOIN a ON lab.k = a.k WHERE label IS NOT NULL")
 def _credibility(spark, sf):
-    got = references.learned_credibility(references.agreement(_loo_tracks(spark, sf), _labelled(spark, sf), [f"p{s}" for s in range(K)]))
+    got = references.learned_credibility(_agreed(spark, sf))
     return got.select("node", F.round("w", 6).alias("w"))
 
 
@@ -142,7 +147,7 @@ def _credibility(spark, sf):
     i AS (SELECT *, sum(CASE WHEN ph = lo AND ps = state THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY lo) AS n FROM (SELECT *, lag(hi) OVER w AS ph, lag(state) OVER w AS ps FROM f WINDOW w AS (PARTITION BY k ORDER BY lo)))
     SELECT k::BIGINT AS node, min(lo) AS "left", max(hi) AS "right", state FROM i GROUP BY k, n, state""")
 def _tracts(spark, sf):
-    return references.flagged(_loo_tracks(spark, sf), _labelled(spark, sf), [f"p{s}" for s in range(K)], 0.1, WIDTH)
+    return references.flagged_along(_by_kind(spark, sf)[0], _labelled(spark, sf), [f"p{s}" for s in range(K)], 0.1)
 
 
 def _end_states(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +190,7 @@ _FOREIGN = _SQL + """, fo AS (SELECT k, lo, hi, CASE label WHEN 0 THEN 1 - o0 WH
 @register("foreign_by_the_rest", _FOREIGN)
 def _foreign_tracts(spark, sf):
     """Stretches that the rest of the genealogy withholds from a reference's label, or that fit no state, from real leave-one-out tracks."""
-    got = references.foreign_tracts(_loo_tracks(spark, sf), _labelled(spark, sf), [f"p{s}" for s in range(K)], 0.6, width=WIDTH)
+    got = references.foreign_along(*_by_kind(spark, sf), _labelled(spark, sf), [f"p{s}" for s in range(K)], 0.6)
     return got.select("sample", "left", "right", F.round("score", 5).alias("score"))
 
 
@@ -195,11 +200,12 @@ def _foreign_tracts(spark, sf):
 def _summary(spark, sf):
     """What an audit reads from one leave-one-out painting: agreement, who may be an anchor, and how much of the axis is foreign."""
     states = [f"p{s}" for s in range(K)]
-    tracks = Stored(_loo_tracks(spark, sf), "loo-tracks").df
-    agreed = Stored(references.agreement(tracks, _labelled(spark, sf), states), "agreement").df
+    kinds, refs = _by_kind(spark, sf)[0], Stored(_labelled(spark, sf), "references").df
+    agreed = Stored(references.agreement_along(kinds.totals(K), refs, K), "agreement").df
     best = references.anchors(agreed).withColumn("is_anchor", F.lit(True))
     table = agreed.join(best, "node", "left").withColumn("is_anchor", F.coalesce("is_anchor", F.lit(False)))
-    got = references.Audit(table, tracks, Q).summary(states, DAYS, 0.1)
+    foreign = references.flagged_along(kinds, refs, states, 0.1).groupBy("node").agg(F.sum(F.col("right") - F.col("left")).alias("__f"))
+    got = table.join(foreign, "node", "left").withColumn("foreign_share", F.coalesce("__f", F.lit(0.0)) / F.lit(DAYS))
     return got.select("node", "label", F.round("agreement", 6).alias("agreement"), "is_anchor", F.round("foreign_share", 6).alias("foreign_share"))
 
 
