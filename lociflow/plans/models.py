@@ -326,8 +326,9 @@ def _sex_calls(spark, sf):
     a = F.col("l_quantity").cast("int") % 2
     b = F.when((F.col("l_suppkey") % 2 == 0) & pos.between(0.3 * length, 0.7 * length), a).otherwise(F.col("l_linenumber") % 2)
     copy = lambda hap, allele, missing: F.struct(F.lit(hap).alias("hap"), allele.cast("int").alias("allele"), missing.alias("missing"))
-    rows = ad.table(spark, sf, "lineitem").select(pos.cast("double").alias("pos"), F.col("l_suppkey").alias("name"), F.explode(F.array(copy(0, a, F.col("l_discount") > 0.085), copy(1, b, F.col("l_tax") > 0.075))).alias("x"))
-    return rows.select("pos", "name", "x.*"), length
+    lines = ad.table(spark, sf, "lineitem").withColumn("call", F.monotonically_increasing_id())  # before the copies are taken apart
+    rows = lines.select(pos.cast("double").alias("pos"), F.col("l_suppkey").alias("name"), "call", F.explode(F.array(copy(0, a, F.col("l_discount") > 0.085), copy(1, b, F.col("l_tax") > 0.075))).alias("x"))
+    return rows.select("pos", "name", "call", "x.*"), length  # an order can have a line number twice: two records of one place
 
 
 @register("haploid_copies", f"""WITH {_SEX}, ro AS (SELECT name, sex, 0 AS hap, a AS allele, ma AS missing FROM ca JOIN sx USING (name) UNION ALL SELECT name, sex, 1, b, mb OR (sex = 'M' AND NOT (pos < lo OR pos >= hi)) FROM ca JOIN sx USING (name), gp)

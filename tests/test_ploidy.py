@@ -43,3 +43,11 @@ def test_younger_mutations_override(spark):
     want = {(2.0, 1, 4), (2.0, 2, 3), (2.0, 3, 1), (8.0, 3, 1), (8.0, 1, 6), (8.0, 2, 6), (3.0, 4, 7), (20.0, 2, 8)}
     for least in (4096, 1):
         assert {(r.pos, r["sample"], r.state) for r in mutations.genotypes(edges, nodes, marks, samples, least).collect()} == want
+
+
+def test_records_of_one_place_count_each(spark):
+    """Two records of a at 50, of which only the second differs; paired across records neither would be told apart right."""
+    rows = [(50.0, "a", 1, 0, 0, False), (50.0, "a", 1, 1, 0, False), (50.0, "a", 2, 0, 1, False), (50.0, "a", 2, 1, 0, False), (50.0, "b", 3, 0, 1, True), (50.0, "b", 3, 1, 0, False)]
+    calls = spark.createDataFrame(rows, "pos double, name string, call long, hap int, allele int, missing boolean")
+    got = sorted((r.name, r.told, r.differ) for r in genotypes._copies(calls).collect())
+    assert got == [("a", True, False), ("a", True, True), ("b", False, False)]
